@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .common import read
 from .decontaminate import contained
+from .langid import identify
+from .pieces import decode, encode
 from .sharding import shard
 from .urls import judge
 
+#: Vocabulary file of the public tokenizers; a parameter of the operator.
+PIECES = os.environ.get("RENTFLOW_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
@@ -19,19 +25,38 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"), "doc_id", "text", shards=8)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with the nearest examples as evidence; labels of held-out rows, and every other column, stay unread."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, "doc_id", "text", read(spark, sf_dir, "labels"), "toxic")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"), "page_id", "url", URL_RULES)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    coded = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", PIECES), "piece_ids", PIECES)
+    return coded.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
+        "op3_toxicity": op3_toxicity,
         "op6_url_filters": op6_url_filters,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_decontamination": op8_decontamination,
+        "op10_language_id": op10_language_id,
     }
 
 
