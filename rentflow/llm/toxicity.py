@@ -26,10 +26,9 @@ from .common import FOLDS, materialise
 SAMPLE_ROWS = 20_000
 MAX_TERMS = 4096
 #: A term needs so many labelled texts, this ratio of its rates in the two classes, and a log-likelihood ratio of
-#: 2 ln(CHANCE n) with n labelled texts: as more texts bring more terms, chance alone would bring more of them through.
+#: 3 ln(n) - 4 with n labelled texts: as more texts bring more terms, chance alone would bring more of them through.
 LEAST_TEXTS = 3
 LEAST_LIFT = 2.0
-CHANCE = 4
 PREFIXES = (4, 5)
 NEIGHBOURS = 15
 BLOCK = 256
@@ -175,7 +174,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_
     df, n = F.col("toxic") + F.col("clean"), n0 + n1
     g2 = sum((F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * n / (df * m))).otherwise(0.0) + F.when(F.col(c) < m, (m - F.col(c)) * F.log((m - F.col(c)) * n / ((n - df) * m))).otherwise(0.0) for c, m in cells), F.lit(0.0)) * 2
     lift = (F.col("toxic") + 0.5) / n1 / ((F.col("clean") + 0.5) / n0)
-    told = counts.where((df >= LEAST_TEXTS) & (df < n)).withColumns({"g2": g2, "lift": lift}).where((F.col("g2") >= 2 * math.log(CHANCE * n)) & (F.greatest("lift", 1 / F.col("lift")) >= LEAST_LIFT))
+    told = counts.where((df >= LEAST_TEXTS) & (df < n)).withColumns({"g2": g2, "lift": lift}).where((F.col("g2") >= 3 * math.log(n) - 4) & (F.greatest("lift", 1 / F.col("lift")) >= LEAST_LIFT))
     vocabulary = [r["term"] for r in told.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()]
     place = {t: i for i, t in enumerate(vocabulary)}
 
