@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words and pairs that a Python worker remembers between batches, at most.
-WORDS_KEPT = 200_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 150_000
+PAIRS_KEPT = 400_000
 #: Text that is encoded at once.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 4_000_000
 
 
 def load(model_file: str) -> tuple[list[str], list[float], list[int]]:
