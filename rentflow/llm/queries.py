@@ -12,6 +12,7 @@ from . import toxicity
 from .common import read
 from .decontaminate import contained
 from .langid import identify
+from .neighbours import search
 from .pieces import decode, encode
 from .sharding import shard
 from .urls import judge
@@ -31,6 +32,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, "doc_id", "text", read(spark, sf_dir, "labels"), "toxic")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return search(vectors, "vec_id", "embedding", vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"), "page_id", "url", URL_RULES)
 
@@ -53,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
         "op3_toxicity": op3_toxicity,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op6_url_filters": op6_url_filters,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_decontamination": op8_decontamination,
