@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .common import read
 from .decontaminate import contained
+from .jaccard import near_duplicates
 from .langid import identify
 from .neighbours import search
 from .pieces import decode, encode
@@ -37,6 +38,10 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, "vec_id", "embedding", vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"), "page_id", "url", URL_RULES)
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_toxicity": op3_toxicity,
         "op4_nearest_neighbours": op4_nearest_neighbours,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_url_filters": op6_url_filters,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_decontamination": op8_decontamination,
@@ -122,8 +128,23 @@ FROM hits JOIN q USING (item_id) WHERE n_shared * 10 >= n_item * 8
 """
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c * 100 >= 80 * (na.n + nb.n - c)),
+r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+k AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+l AS (SELECT a, count(*) AS l FROM e GROUP BY a)
+SELECT doc_id, coalesce(root, doc_id) AS class_id, coalesce(l, 0) AS n_links FROM documents LEFT JOIN k ON k.id = doc_id LEFT JOIN l ON l.a = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_ngram_jaccard_join": OP5_SQL,
         "op6_url_filters": OP6_SQL % "".join(OP6_LEVEL.format(i, i - 1) for i in range(1, 5)),
         "op8_decontamination": OP8_SQL,
     }
