@@ -16,6 +16,7 @@ from .langid import identify
 from .neighbours import search
 from .pieces import decode, encode
 from .sharding import shard
+from .suffixes import digest
 from .urls import judge
 
 #: Vocabulary file of the public tokenizers; a parameter of the operator.
@@ -23,6 +24,10 @@ PIECES = os.environ.get("RENTFLOW_PIECES", "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"), "doc_id", "text", shards=8)
 
@@ -62,6 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_sharding": op2_sharding,
         "op3_toxicity": op3_toxicity,
         "op4_nearest_neighbours": op4_nearest_neighbours,
