@@ -320,13 +320,14 @@ def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = packed.repartition(parts, "gram").mapInArrow(_counted, ", ".join(f"{n} long" for n in FOUND))
     found = materialise(found, "contexts")
 
-    # The exchange of the texts by id is planned once and serves both joins.
+    # Both joins read the same rows, so that Spark shuffles the texts by id once and reuses the exchange.
     open_ = found.where(F.col("kind") == 1).groupBy("doc").agg(F.collect_list("b").alias("open"))  # as many as the text has
-    runs = docs.join(open_, "doc").where(F.col("text").isNotNull()).mapInArrow(_sorted_runs(parts), "to long, shared array<int>, rest array<binary>, before array<binary>, doc array<long>, size array<long>")
+    runs = named.join(open_, "doc").mapInArrow(_sorted_runs(parts), "to long, shared array<int>, rest array<binary>, before array<binary>, doc array<long>, size array<long>")
     ranges = runs.repartition(parts, "to").mapInArrow(_classes, "doc long, a long, b long")
     ranges = ranges.unionByName(found.where(F.col("kind") == 0).select("doc", "a", "b"))
     ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    return docs.join(ranges, "doc", "left")
+    rest = docs.where(F.col("doc").isNull() | F.col("text").isNull()).withColumn("ranges", F.lit(None).cast("array<struct<a: long, b: long>>"))
+    return named.join(ranges, "doc", "left").unionByName(rest)
 
 
 def digest(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
