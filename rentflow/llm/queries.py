@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import quality, toxicity
 from .common import read
 from .decontaminate import contained
 from .jaccard import near_duplicates
@@ -61,6 +61,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, "doc_id", "text", "lang", "source", read(spark, sf_dir, "labels"), "quality")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filters": op6_url_filters,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_decontamination": op8_decontamination,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
     }
 

@@ -100,7 +100,7 @@ FOUND = ["doc", "kind", "a", "b"]
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got, docs = [], []
-        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("body").to_pylist(), strict=True):
             c = contexts(np.frombuffer(text.encode(), np.uint8))
             if len(c[0]):
                 got.append(c)
@@ -232,7 +232,7 @@ def _sorted_runs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, many in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("open").to_pylist(), strict=True):
+            for doc, text, many in zip(batch.column("doc").to_pylist(), batch.column("body").to_pylist(), batch.column("open").to_pylist(), strict=True):
                 b = text.encode()
                 for size in many:
                     start, offset, n = size >> 16, size >> 8 & 255, size & 255
@@ -305,8 +305,9 @@ def _cut(text: str | None, ranges: list | None) -> tuple[bytes, int, int, int]:
     return np.frombuffer(b, np.uint8)[~gone].tobytes(), len(b), int(gone.sum()), runs
 
 
-def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text, ranges): every row, with the ranges (a, b) of bytes to be removed, which may overlap, or null.
+def repeats(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """(doc, body, c0 ..., ranges): every row, with the ranges (a, b) of bytes to be removed, which may overlap, or null;
+    c0 and so on are the columns named in ``keep``.
 
     Null and short texts have none. A null id has no place in the order: its row removes nothing and loses nothing. Rows
     that repeat an id and text are one document and each stay. (An id should name one text: rows of one id with several
@@ -314,9 +315,9 @@ def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     spark = df.sparkSession
     parts = partitions(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    named = docs.where(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    packed = named.mapInArrow(_packed, ", ".join(f"{n} long" for n in CONTEXT))
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(keep or [])])  # a new name, so that Catalyst keeps one shape for both uses
+    named = docs.where(F.col("doc").isNotNull() & F.col("body").isNotNull())
+    packed = named.select("doc", "body").mapInArrow(_packed, ", ".join(f"{n} long" for n in CONTEXT))
     found = packed.repartition(parts, "gram").mapInArrow(_counted, ", ".join(f"{n} long" for n in FOUND))
     found = materialise(found, "contexts")
 
@@ -326,7 +327,7 @@ def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ranges = runs.repartition(parts, "to").mapInArrow(_classes, "doc long, a long, b long")
     ranges = ranges.unionByName(found.where(F.col("kind") == 0).select("doc", "a", "b"))
     ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    rest = docs.where(F.col("doc").isNull() | F.col("text").isNull()).withColumn("ranges", F.lit(None).cast("array<struct<a: long, b: long>>"))
+    rest = docs.where(F.col("doc").isNull() | F.col("body").isNull()).withColumn("ranges", F.lit(None).cast("array<struct<a: long, b: long>>"))
     return named.join(ranges, "doc", "left").unionByName(rest)
 
 
@@ -335,7 +336,7 @@ def digest(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_cut(t, r) for t, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
+            got = [_cut(t, r) for t, r in zip(batch.column("body").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
             columns = [pa.array([g[i] for g in got], pa.int64()) for i in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns, pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string())], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -344,11 +345,15 @@ def digest(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def strip(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(``id_col``, ``text_col``) with repeated passages removed; a character that loses a byte goes, null stays null."""
+    """``df`` with repeated passages removed from the texts; a character that loses a byte goes, null stays null."""
+    others = [n for n in df.columns if n not in (id_col, text_col)]
+    kinds = dict(df.dtypes)
+    plain = [f"c{i}" for i in range(len(others))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else _cut(t, r)[0].decode("utf-8", "ignore") for t, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], ["doc", "text"])
+            texts = [None if t is None else _cut(t, r)[0].decode("utf-8", "ignore") for t, r in zip(batch.column("body").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string()), *(batch.column(n) for n in plain)], ["doc", "body", *plain])
 
-    return repeats(df, id_col, text_col).mapInArrow(run, "doc long, text string").toDF(id_col, text_col)
+    schema = ", ".join(["doc long", "body string", *(f"{n} {kinds[o]}" for n, o in zip(plain, others, strict=True))])
+    return repeats(df, id_col, text_col, others).mapInArrow(run, schema).toDF(id_col, text_col, *others).select(*df.columns)
