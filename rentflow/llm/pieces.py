@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words and pairs that a Python worker remembers between batches, at most.
-WORDS_KEPT = 150_000
-PAIRS_KEPT = 400_000
+WORDS_KEPT = 80_000
+PAIRS_KEPT = 200_000
 #: Text that is encoded at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def load(model_file: str) -> tuple[list[str], list[float], list[int]]:
@@ -187,29 +187,32 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
             begin += n
 
 
-def encode(df: DataFrame, text_col: str, model_file: str, ids_col: str = "piece_ids") -> DataFrame:
-    """``df`` with a column of piece ids (array<int>) for each whole text.
+def encode(df: DataFrame, text_col: str, model_file: str, ids_col: str = "piece_ids", check_col: str | None = None) -> DataFrame:
+    """``df`` with a column of piece ids (array<int>) in place of the texts, each encoded whole.
 
-    A null text has null ids, an empty one none. Repeated rows encode alike, an empty table gives no rows. Characters
-    without a piece are written as their UTF-8 bytes, so that ``decode`` gives back every text. Other columns are kept; one
-    already named ``ids_col`` is replaced.
+    With ``check_col``, a boolean column of that name says whether decoding the ids gave the text back. A null text has null
+    ids (and a true check), an empty one none. Repeated rows encode alike, an empty table gives no rows. Characters without
+    a piece are written as their UTF-8 bytes, so that every text can be decoded. Other columns are kept; one that already
+    has a new column's name is replaced.
     """
     model = df.sparkSession.sparkContext.broadcast(load(model_file))  # as large as the model file
-    kept = df.drop(ids_col)
-    names = kept.columns
+    names = [n for n in df.columns if n not in (text_col, ids_col, check_col)]
+    plain, kinds = [f"c{i}" for i in range(len(names))], dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model.value)
-        for batch in _slices(batches, "__text"):
-            found = encoder.encode(batch.column("__text").to_pylist())
+        for batch in _slices(batches, "body"):
+            texts = batch.column("body").to_pylist()
+            found = encoder.encode(texts)
             ends = np.concatenate([[0], np.cumsum([len(x) // 2 if x else 0 for x in found])]).astype(np.int32)
             flat = np.frombuffer(b"".join(x for x in found if x), np.uint16).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in found]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), ids], [*(f"c{i}" for i in range(len(names))), "ids"])
+            same = [not t or encoder.decode(flat[a:b])[1:] == t.encode() for t, a, b in zip(texts, ends, ends[1:], strict=False)] if check_col else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in plain), ids, *([pa.array(same, pa.bool_())] if check_col else [])], [*plain, "ids", *(["same"] if check_col else [])])
 
-    inner = kept.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)], F.col(f"`{text_col}`").alias("__text"))
-    schema = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(kept.dtypes)) + ", ids array<int>"
-    return inner.mapInArrow(run, schema).toDF(*names, ids_col)
+    inner = df.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, plain, strict=True)], F.col(f"`{text_col}`").alias("body"))
+    schema = ", ".join([*(f"{c} {kinds[n]}" for n, c in zip(names, plain, strict=True)), "ids array<int>", *(["same boolean"] if check_col else [])])
+    return inner.mapInArrow(run, schema).toDF(*names, ids_col, *([check_col] if check_col else []))
 
 
 def decode(df: DataFrame, ids_col: str, model_file: str, text_col: str = "decoded") -> DataFrame:

@@ -14,7 +14,7 @@ from .decontaminate import contained
 from .jaccard import near_duplicates
 from .langid import identify
 from .neighbours import search
-from .pieces import decode, encode
+from .pieces import encode
 from .sharding import shard
 from .suffixes import digest
 from .urls import judge
@@ -53,8 +53,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
-    coded = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", PIECES), "piece_ids", PIECES)
-    return coded.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+    coded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", PIECES, check_col="lossless")
+    return coded.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", "lossless")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
