@@ -76,7 +76,7 @@ class Trees:
             cost = np.concatenate([cost, own])
             where = here
         self.known = where.astype(np.int32)
-        self.cost = np.ascontiguousarray(cost.reshape(-1, m), np.float32)
+        self.cost = np.ascontiguousarray(cost.reshape(len(cost) * k, m), np.float32)
 
     def bits(self, text: str) -> np.ndarray:
         """Code length of the text in each language."""
