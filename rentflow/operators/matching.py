@@ -54,6 +54,10 @@ def complete(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in df.columns})
 
 
+#: The listing columns that each wish looks at.
+LOOKS_AT = {"price_min": ["price_pcm"], "price_max": ["price_pcm"], "bedrooms_min": ["bedrooms"], "bedrooms_max": ["bedrooms"], "property_types": ["property_type"], "districts": ["postcode_district", "tfl_zone"], "zones": ["postcode_district", "tfl_zone"], "furnished": ["furnished"], "pets_allowed": ["pets_allowed"], "bills_included": ["bills_included"], "available_before": ["available_from"], "available_after": ["available_from"], "tenancy_max": ["min_tenancy_months"], "direct_only": ["is_landlord_direct"]}
+
+
 def match(listings: DataFrame, subs: DataFrame) -> DataFrame:
     """(subscription_id, listing id columns) pairs that satisfy every criterion.
 
@@ -83,6 +87,21 @@ def explain(listings: DataFrame, subs: DataFrame) -> DataFrame:
     return both.select(F.col("s.id").alias("subscription_id"), F.col("l.source_key").alias("source_key"), F.col("l.external_id").alias("external_id"), reason().alias("reason"))
 
 
+def refusals(listings: DataFrame, subs: DataFrame) -> DataFrame:
+    """(reason, n): the first failing reasons of all pairs of two tables of any size, counted (null: the matches).
+
+    Listings are counted by the values that the wishes of ``subs`` look at, subscriptions by their wishes; only these
+    distinct groups meet, and their counts multiply.
+    """
+    wishes = [c for c in WISHES if c in subs.columns]
+    looked = sorted({q for c in wishes for q in LOOKS_AT[c] if q in listings.columns})
+    l = listings.groupBy(*looked).agg(F.count(F.lit(1)).alias("listings"))
+    s = subs.groupBy(*wishes).agg(F.count(F.lit(1)).alias("subscriptions"))
+    l = l.repartition(int(l.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but each row meets all of s
+    both = complete(l, QUALITIES).alias("l").join(F.broadcast(complete(s, WISHES)).alias("s"), F.lit(True))
+    return both.groupBy(reason().alias("reason")).agg(F.sum(F.col("l.listings") * F.col("s.subscriptions")).alias("n")).where("n > 0")
+
+
 def eligible(pairs: DataFrame, subs: DataFrame) -> DataFrame:
     """Pairs whose listing was first seen after the subscription began (unknown times pass)."""
     s = subs.select(F.col("id").alias("subscription_id"), "backfill_from", "cap")

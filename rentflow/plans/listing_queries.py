@@ -271,8 +271,18 @@ def subscriptions_of_listing(spark, sf_dir):
     WHEN s.pets_allowed IS NOT NULL AND l.pets_allowed IS NULL THEN 'pets_allowed not stated' WHEN s.pets_allowed <> l.pets_allowed THEN 'pets_allowed differs' END AS reason
   FROM listing l, subscription s WHERE s.active AND s.id % 50 = 7) GROUP BY reason""", "raw_listing", "subscription")
 def match_reasons(spark, sf_dir):
-    some = subs(spark, sf_dir).where("id % 50 = 7")  # explaining every refusal is for a few subscriptions
-    return M.explain(listing(spark, sf_dir), some).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    some = subs(spark, sf_dir).where("id % 50 = 7")  # as in its SQL; match_reasons_all takes every active subscription
+    return M.refusals(listing(spark, sf_dir), some)
+
+
+@query(f"""{LISTING_SQL}, lg AS (SELECT price_pcm, postcode_district, pets_allowed, count(*) AS n FROM listing GROUP BY ALL),
+sg AS (SELECT price_max, district, pets_allowed, count(*) AS n FROM subscription WHERE active GROUP BY ALL)
+SELECT reason, CAST(sum(n) AS BIGINT) AS n FROM (SELECT l.n * s.n AS n, CASE WHEN l.price_pcm IS NULL THEN 'price_pcm unknown' WHEN l.price_pcm > s.price_max THEN 'price_pcm above'
+    WHEN s.district IS NOT NULL AND l.postcode_district IS NULL THEN 'location unknown' WHEN s.district IS NOT NULL AND l.postcode_district <> s.district THEN 'outside areas'
+    WHEN s.pets_allowed IS NOT NULL AND l.pets_allowed IS NULL THEN 'pets_allowed not stated' WHEN s.pets_allowed <> l.pets_allowed THEN 'pets_allowed differs' END AS reason
+  FROM lg l, sg s) GROUP BY reason""", "raw_listing", "subscription")
+def match_reasons_all(spark, sf_dir):
+    return M.refusals(listing(spark, sf_dir), subs(spark, sf_dir))
 
 
 @query(f"{MATCH_SQL} SELECT subscription_id, source_key, external_id FROM pairs WHERE first_seen_at > backfill_from", "raw_listing", "subscription")
