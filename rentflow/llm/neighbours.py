@@ -9,6 +9,7 @@ distance. Equal vectors are one entry with their smallest ids, so a vector that
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,8 @@ from .common import materialise
 TREES = 24
 SAMPLE_ROWS = 20_000
 LEAF_ROWS = 32
-#: A query's leaves should hold, over all trees, this many times the sample's rows, and so many rows at least.
-SEARCH_SHARE = 0.75
-SEARCH_ROWS = 3000
+#: A query's leaves should hold, over all trees, this many times the sample's rows, whatever their number.
+SEARCH_SHARE = 2.0
 #: Rows of a group that one call ranks, about; a leaf with more rows is cut into parts.
 GROUP_ROWS = 8192
 
@@ -88,6 +88,11 @@ class Forest:
         return found
 
 
+def effort(sample_rows: int) -> int:
+    """Sample rows that a query's leaves should hold over all trees; the same share at every size."""
+    return math.ceil(sample_rows * SEARCH_SHARE)
+
+
 def _exact(query: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - query) ** 2).sum(1))
 
@@ -121,7 +126,7 @@ def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: i
     entries = materialise(firsts.groupBy("key").agg(F.first("v").alias("v"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")), "entries")
     sample = entries.orderBy(F.xxhash64("key"), "key").limit(sample_rows).select("v").toPandas()
     forest = spark.sparkContext.broadcast(Forest(np.array(sample["v"].tolist())))  # bounded by the sample
-    want = max(SEARCH_ROWS, int(len(sample) * SEARCH_SHARE))
+    want = effort(len(sample))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
