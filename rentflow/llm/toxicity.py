@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-The terms are words and word beginnings whose document frequency differs clearly between the labelled classes. IDF comes
-from all documents. Labelled examples are indexed by term; postings are cut into blocks of neighbouring examples with their
-largest weight, so that a search visits blocks by falling upper bound and stops when no block can improve the list: the
-neighbours are exact. Their votes count by squared cosine against a prior; an isotonic fit on leave-one-out votes of the
-examples turns them into probabilities. The neighbours themselves are the evidence.
+Every word of the examples is a term. A term's weight is (1 + ln tf) x IDF, with IDF over all documents, times a gain of 1
+or more that grows with how clearly the labelled classes differ in it; no term is left out. Examples are indexed by term;
+postings are cut into blocks of like examples with their largest weight. A search ranks the blocks by the upper bound that
+these weights give, looks into the best ones first and then into those whose bound can still improve the list, so that
+the neighbours are exact. Their votes count by squared cosine against a prior; an isotonic fit on leave-one-out votes of
+the examples turns them into probabilities. The neighbours themselves are the evidence.
 """
 
 from __future__ import annotations
@@ -15,192 +16,283 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLDS, materialise
 
-#: Labelled rows that the examples are taken from, at most, and terms of the vocabulary, at most.
-SAMPLE_ROWS = 20_000
-MAX_TERMS = 4096
-#: A term needs so many labelled texts, this ratio of its rates in the two classes, and a log-likelihood ratio of
-#: 3 ln(n) - 4 with n labelled texts: as more texts bring more terms, chance alone would bring more of them through.
-LEAST_TEXTS = 3
-LEAST_LIFT = 2.0
-PREFIXES = (4, 5)
+#: Labelled rows of a class that the examples are taken from, at most.
+CLASS_ROWS = 2500
 NEIGHBOURS = 15
-BLOCK = 256
+BLOCK = 128
+#: Blocks that a search looks into before it knows a list to improve.
+FIRST_BLOCKS = 2
+#: Largest gain of a term. Half of it is reached at a log-likelihood ratio (two classes, example groups) of SURE.
+GAIN = 60.0
+SURE = 24.0
 #: Weight of the prior against votes of weight cosine squared.
-PRIOR_WEIGHT = 0.3
+PRIOR_WEIGHT = 0.05
+#: Hash functions that group near copies of an example.
+SKETCH = 4
 
 TOKEN = re.compile(r"[^\W_]+")
 
 
 def terms(text: str | None) -> Counter:
-    """Lower-cased words, and with a trailing ``*`` the first letters of longer ones."""
-    found = Counter(TOKEN.findall(text.lower())) if text else Counter()
-    for word, n in list(found.items()):
-        for k in PREFIXES:
-            if len(word) > k:
-                found[word[:k] + "*"] += n
-    return found
+    """Lower-cased words with their counts."""
+    return Counter(TOKEN.findall(text.lower())) if text else Counter()
 
 
-def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        by = {0: Counter(), 1: Counter()}
-        for text, label in zip(pdf["text"], pdf["label"], strict=True):
-            by[label].update(terms(text).keys())
-        every = list(by[0].keys() | by[1].keys())
-        yield pd.DataFrame({"term": every, "clean": [by[0][t] for t in every], "toxic": [by[1][t] for t in every]})
+def sketch(text: str | None) -> list[int]:
+    """MinHash values of the five-word shingles; near copies agree in most of them."""
+    w = TOKEN.findall(text.lower()) if text else []
+    said = [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [""]
+    h = np.array([xxhash.xxh64_intdigest(s) for s in said], np.uint64)
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)[:SKETCH]
+    with np.errstate(over="ignore"):
+        return (h[None, :] * odd[:, None]).min(axis=1).view(np.int64).tolist()
 
 
 class Index:
-    """Block-max inverted index of unit vectors, with the examples' labels and ids."""
-
-    def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray, ids: np.ndarray) -> None:
-        # Examples of like vectors become neighbours, which makes the blocks' largest weights tight.
-        order = sorted(range(len(vectors)), key=lambda i: (sorted(((-w, t) for t, w in vectors[i].items()))[:3], ids[i]))
-        self.labels, self.ids = labels[order], ids[order]
-        self.blocks = -(-len(order) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists.setdefault(t, []).append((place, w))
-        self.postings = {}
-        for t, got in lists.items():
-            place, weight = np.array([p for p, _ in got]), np.array([w for _, w in got])
-            begin = np.searchsorted(place, np.arange(self.blocks + 1) * BLOCK)
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, place // BLOCK, weight)
-            self.postings[t] = (place % BLOCK, weight, begin, most)
-
-    def search(self, vector: dict[int, float], k: int, leave: int | None = None) -> list[tuple[float, int]]:
-        """The k largest (cosine, place), ties to the smaller example id; ``leave`` is a place to pass over."""
-        lists = [(w, *self.postings[t]) for t, w in vector.items() if t in self.postings]
-        if not lists:
-            return []
-        bound = sum(w * most for w, _, _, _, most in lists)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-12):
-                break
-            cosine = np.zeros(BLOCK)
-            for w, place, weight, begin, _ in lists:
-                cosine[place[begin[b] : begin[b + 1]]] += w * weight[begin[b] : begin[b + 1]]
-            cosine = cosine.round(12)
-            hit = np.flatnonzero((cosine >= (best[-1][0] if len(best) == k else 0.0)) & (cosine > 0))
-            hit = hit[hit + b * BLOCK != leave] if leave is not None else hit
-            if len(hit) > k:
-                hit = hit[cosine[hit] >= np.partition(cosine[hit], -k)[-k]]
-                hit = hit[np.lexsort((self.ids[hit + b * BLOCK], -cosine[hit]))[:k]]
-            best = sorted([*best, *((float(cosine[j]), int(j + b * BLOCK)) for j in hit)], key=lambda x: (-x[0], self.ids[x[1]]))[:k]
-        return best
+    """Block-max inverted index of unit vectors: postings by term, cut at the blocks, with each block's largest weight."""
+
+    def __init__(self, term_count: int, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
+        """Rows of (id, label, term places, weights)."""
+        # Examples whose heaviest terms are the same become neighbours, which makes the blocks' largest weights tight.
+        def lead(r: tuple) -> tuple:
+            top = np.lexsort((r[2], -r[3]))[:3]
+            return (*r[2][top].tolist(), r[0])
+
+        rows = sorted(rows, key=lead)
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.labels = np.array([r[1] for r in rows], np.int64)
+        self.blocks = max(1, -(-len(rows) // BLOCK))
+        term = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
+        weight = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0)
+        place = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        order = np.lexsort((place, term))
+        self.place, self.weight = place[order].astype(np.int32), weight[order]
+        key = term[order] * self.blocks + self.place // BLOCK
+        self.begin = np.searchsorted(key, np.arange(term_count * self.blocks + 1)).astype(np.int32)
+        most = np.zeros(term_count * self.blocks)
+        np.maximum.at(most, key, self.weight)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(2)).reshape(term_count, self.blocks)
+
+    def _cosines(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of all examples of these blocks that share a term."""
+        slot = (term[:, None] * self.blocks + blocks[None, :]).ravel()
+        start = self.begin[slot]
+        many = self.begin[slot + 1] - start
+        has = many > 0
+        start, many, w = start[has], many[has], np.repeat(weight, len(blocks))[has]
+        ends = np.cumsum(many)
+        if not len(ends):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.repeat(start - (ends - many), many) + np.arange(ends[-1])
+        cosine = np.bincount(self.place[at], np.repeat(w, many) * self.weight[at], len(self.ids)).round(12)
+        hit = np.flatnonzero(cosine > 0)
+        return hit, cosine[hit]
+
+    def _best(self, place: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(place) > k:
+            near = cosine >= np.partition(cosine, len(place) - k)[len(place) - k]
+            place, cosine = place[near], cosine[near]
+        order = np.lexsort((self.ids[place], -cosine))[:k]
+        return place[order], cosine[order]
+
+    def search(self, term: np.ndarray, weight: np.ndarray, k: int, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples, ties to the smaller id; ``leave`` is a place to pass over."""
+        if not len(term) or not len(self.ids):
+            return np.zeros(0, np.int64), np.zeros(0)
+        bound = weight.astype(np.float32) @ self.most[term] * np.float32(1.00001)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best = self._cosines(term, weight, order[:FIRST_BLOCKS])
+        for rest in (order[FIRST_BLOCKS : 3 * FIRST_BLOCKS], order[3 * FIRST_BLOCKS :]):
+            if leave is not None:
+                best = tuple(a[best[0] != leave] for a in best)
+            best = self._best(*best, k)
+            least = best[1][-1] if len(best[1]) == k else 0.0
+            rest = rest[bound[rest] >= least]
+            if not len(rest):
+                continue
+            more = self._cosines(term, weight, rest)
+            best = np.concatenate([best[0], more[0]]), np.concatenate([best[1], more[1]])
+        if leave is not None:
+            best = tuple(a[best[0] != leave] for a in best)
+        return self._best(*best, k)
 
 
 class Model:
-    """Vocabulary, IDF, index and calibration; all bounded by SAMPLE_ROWS and MAX_TERMS."""
-
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]]) -> None:
-        self.vocabulary, self.idf = vocabulary, idf
-        labels = np.array([label for _, label, _ in rows])
-        self.prior = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.0
-        plain = labels[[not c for _, _, c in rows]] if rows else labels
-        self.plain = float((plain.sum() + self.prior) / (len(plain) + 1))  # of texts without a term
-        told = [(i, label, self.vector(c)) for i, label, c in rows if c]
-        self.index = Index([v for _, _, v in told], np.array([label for _, label, _ in told]), np.array([i for i, _, _ in told]))
-        vectors = {i: v for i, _, v in told}
-        votes = np.array([self.vote(self.index.search(vectors[i], NEIGHBOURS, leave=place)) for place, i in enumerate(self.index.ids)])
-        self.knots, self.levels = _isotonic(votes, self.index.labels)
-        self.seen: dict[tuple, tuple[float, list]] = {}
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        size = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / size for t, w in raw.items()} if size else {}
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        weight = sum(c * c for c, _ in near)
-        return (sum(c * c * self.index.labels[p] for c, p in near) + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT)
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        """Probability, and the evidence: the nearest examples' (cosine, id)."""
-        if not counts:
+    """Vocabulary, term weights and index; all bounded by the sample of examples."""
+
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, gain: np.ndarray, rows: list[tuple[int, int, list[int], list[int]]], class_weight: tuple[float, float]) -> None:
+        self.place = {t: i for i, t in enumerate(vocabulary)}
+        self.factor = idf * gain
+        self.class_weight = np.array(class_weight)
+        self.index = Index(len(vocabulary), [(i, label, *self.vector(np.array(t, np.int64), np.array(n, np.float64))) for i, label, t, n in rows if len(t)])
+        labels = np.array([r[1] for r in rows], np.int64)
+        mass = [self.class_weight[c] * (labels == c).sum() for c in (0, 1)]
+        self.prior = float((mass[1] + 0.5) / (sum(mass) + 1)) if rows else 0.0
+        plain = np.array([r[1] for r in rows if not len(r[2])], np.int64)
+        mass = [self.class_weight[c] * (plain == c).sum() for c in (0, 1)]
+        self.plain = float((mass[1] + self.prior) / (sum(mass) + 1))  # of texts that share no term with an example
+        self.knots, self.levels = np.zeros(0), np.zeros(0)
+
+    def vector(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(count)) * self.factor[term]
+        return term, w / (math.sqrt(float(w @ w)) or 1.0)
+
+    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        place = self.place
+        got = [(place[t], n) for t, n in terms(text).items() if t in place]
+        return np.array([t for t, _ in got], np.int64), np.array([n for _, n in got], np.float64)
+
+    def nearest(self, text: str | None, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return self.index.search(*self.vector(*self.features(text)), NEIGHBOURS, leave)
+
+    def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
+        labels = self.index.labels[place]
+        weight = cosine * cosine * self.class_weight[labels]
+        return float((weight @ labels + PRIOR_WEIGHT * self.prior) / (weight.sum() + PRIOR_WEIGHT))
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
+        """Probability, and the evidence: the nearest examples' (id, cosine)."""
+        place, cosine = self.nearest(text)
+        if not len(place):
             return self.plain, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            near = self.index.search(self.vector(counts), NEIGHBOURS)
-            p = float(np.interp(self.vote(near), self.knots, self.levels)) if near and len(self.knots) else self.plain
-            self.seen[key] = p, [(c, int(self.index.ids[i])) for c, i in near[:3]]
-        return self.seen[key]
+        p = float(np.interp(self.vote(place, cosine), self.knots, self.levels)) if len(self.knots) else self.prior
+        return p, [(int(self.index.ids[i]), float(c)) for i, c in zip(place[:3], cosine[:3], strict=True)]
 
 
-def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pooled adjacent violators: means of y that don't fall with x, shrunk by half a count, at the mean x of each pool."""
-    pools: list[list[float]] = []  # sum of y, count, sum of x
-    for a, b in sorted(zip(x.tolist(), y.tolist(), strict=True)):
-        pools.append([b, 1, a])
+    pools: list[list[float]] = []  # sums of y, weight, x
+    for a, b, w in sorted(zip(x.tolist(), y.tolist(), weight.tolist(), strict=True)):
+        pools.append([b * w, w, a * w])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             s, n, t = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2] + t]
     return np.array([t / n for _, n, t in pools]), np.array([(s + 0.5) / (n + 1) for s, n, _ in pools])
 
 
-def score(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def gains(clean: np.ndarray, toxic: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    """1 to 1 + GAIN by the log-likelihood ratio of a term's rates in the two classes, if one is at least twice the other."""
+    df, n = clean + toxic, n0 + n1
+    g2 = np.zeros(len(df))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for seen, of in ((toxic, n1), (clean, n0)):
+            g2 += np.where(seen > 0, seen * np.log(seen * n / (df * of)), 0.0)
+            g2 += np.where(seen < of, (of - seen) * np.log((of - seen) * n / (np.maximum(n - df, 1e-9) * of)), 0.0)
+    lift = (toxic + 0.5) / (n1 + 0.5) / ((clean + 0.5) / (n0 + 0.5))
+    level = (np.maximum(2 * g2, 0.0) / SURE) ** 6
+    return 1 + GAIN * np.where(np.maximum(lift, 1 / lift) >= 2, level / (1 + level), 0.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, class_rows: int) -> Model:
+    """The model from at most ``class_rows`` labelled rows (id, text) of a class; IDF over all ``docs``."""
+    spark = docs.sparkSession
+    # An id labelled twice is toxic if one of its labels says so; equal texts are one example.
+    marks = labels.groupBy("id").agg(F.max(label_col).cast("int").alias("label"))
+    marks = marks.withColumn("label", F.when(F.col("label") > 0, 1).otherwise(0))
+    draw = F.xxhash64(F.lit("toxicity"), "id")
+    marks = materialise(marks, "labels")
+    of = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    taken = [marks.where(F.col("label") == c).orderBy(draw, "id").limit(class_rows) for c in (0, 1)]
+    taken = materialise(taken[0].unionByName(taken[1]), "marks")  # 2 x class_rows rows at most
+    some = docs.join(F.broadcast(taken), "id").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("id").alias("id"), F.max("label").alias("label"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [terms(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([sketch(t) for t in texts], pa.list_(pa.int64())), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "label", "sketch", "words", "counts"])
+
+    kind = dict(docs.dtypes)["id"]
+    rows = some.select("id", "label", "text").mapInArrow(counted, f"id {kind}, label int, sketch array<long>, words array<string>, counts array<int>").collect()  # bounded by the sample
+    rows = sorted(rows, key=lambda r: r["id"])
+    class_weight = tuple(of.get(c, 0) / max(1, min(class_rows, of.get(c, 0))) for c in (0, 1))
+
+    # Groups of near copies count as about one example, so that they don't multiply a term's evidence.
+    alike = [Counter((r["label"], r["sketch"][i]) for r in rows) for i in range(SKETCH)]
+    share = [sum(1 / alike[i][r["label"], r["sketch"][i]] for i in range(SKETCH)) / SKETCH for r in rows]
+    vocabulary = sorted({w for r in rows for w in r["words"]})
+    place = {w: i for i, w in enumerate(vocabulary)}
+    at = [np.array([place[w] for w in r["words"]], np.int64) for r in rows]
+    seen = [np.zeros(len(vocabulary)), np.zeros(len(vocabulary))]
+    for r, a, s in zip(rows, at, share, strict=True):
+        seen[r["label"]][a] += s
+    sums = [sum(s for r, s in zip(rows, share, strict=True) if r["label"] == c) for c in (0, 1)]
+    gain = gains(seen[0], seen[1], max(sums[0], 1e-9), max(sums[1], 1e-9))
+
+    told = spark.sparkContext.broadcast(place)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a term of this task, and one with the number of its texts under term -1."""
+        place, df, n = told.value, np.zeros(len(told.value), np.int64), 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                df[[place[w] for w in place.keys() & set(TOKEN.findall(text.lower()))] if text else []] += 1
+            n += batch.num_rows
+        has = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1)), pa.array(np.append(df[has], n))], ["term", "df"])
+
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    if vocabulary:
+        counts = docs.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # a row a term
+        df[counts["term"].to_numpy()] = counts["df"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    told.unpersist()
+    model = Model(vocabulary, idf, gain, [(r["id"], r["label"], a, r["counts"]) for r, a in zip(rows, at, strict=True)], class_weight)
+
+    # Leave-one-out votes of the examples, for the calibration.
+    shared = spark.sparkContext.broadcast(model)
+    home = {int(i): p for p, i in enumerate(model.index.ids)}
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            rows = [(label, m.vote(*m.nearest(text, leave=home[i]))) for i, label, text in zip(*(batch.column(n).to_pylist() for n in ("id", "label", "text")), strict=True) if i in home]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())], ["label", "vote"])
+
+    votes = some.select("id", "label", "text").mapInArrow(left_out, "label int, vote double").toPandas()  # bounded by the sample
+    shared.unpersist()
+    model.knots, model.levels = isotonic(votes["vote"].to_numpy(), votes["label"].to_numpy(), model.class_weight[votes["label"].to_numpy().astype(int)])
+    return model
+
+
+def score(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str, class_rows: int = CLASS_ROWS) -> DataFrame:
     """Every row's (``id_col``, held_out, score, predicted, evidence).
 
-    Labels are read from rows of folds 1 to 4 only, at most ``sample_rows`` of them (smallest id hashes), equal texts once;
-    an id labelled twice is toxic if one of its labels says so. ``evidence`` has the ids and cosines of the three nearest
-    examples. Null, empty and wordless texts score as the examples without a term do; with no labels at all every score is
-    0. A null id is not held out. Repeated rows score alike; an empty table gives no rows. Other columns are ignored.
+    Labels are read from rows of folds 1 to 4 only, at most ``class_rows`` of each class (those of the smallest id hashes,
+    weighted up to the class), equal texts once; an id labelled twice is toxic if one of its labels says so. ``evidence``
+    has the ids and cosines of the three nearest examples. Null, empty and wordless texts, and texts that share no word
+    with an example, have no evidence and score as the examples without a word do, shrunk to the toxic share; with no
+    labels at all every score is 0. A null id is not held out. Repeated rows score alike; an empty table gives no rows.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % FOLDS != 0))
-    marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    marks = materialise(marks.orderBy(F.xxhash64(F.lit("toxicity"), "id"), "id").limit(sample_rows), "marks")
-    some = rows.join(F.broadcast(marks), "id")  # sample_rows rows at most
-    some = materialise(some.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("id").alias("id"), F.max("label").alias("label")).drop("h"), "examples")
-
-    totals = {r["label"]: r["n"] for r in some.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = max(1, totals.get(0, 0)), max(1, totals.get(1, 0))
-    counts = some.select("text", "label").mapInPandas(_term_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    cells = [("toxic", n1), ("clean", n0)]
-    df, n = F.col("toxic") + F.col("clean"), n0 + n1
-    g2 = sum((F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * n / (df * m))).otherwise(0.0) + F.when(F.col(c) < m, (m - F.col(c)) * F.log((m - F.col(c)) * n / ((n - df) * m))).otherwise(0.0) for c, m in cells), F.lit(0.0)) * 2
-    lift = (F.col("toxic") + 0.5) / n1 / ((F.col("clean") + 0.5) / n0)
-    told = counts.where((df >= LEAST_TEXTS) & (df < n)).withColumns({"g2": g2, "lift": lift}).where((F.col("g2") >= 3 * math.log(n) - 4) & (F.greatest("lift", 1 / F.col("lift")) >= LEAST_LIFT))
-    vocabulary = [r["term"] for r in told.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()]
-    place = {t: i for i, t in enumerate(vocabulary)}
-
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                c = terms(text)
-                found.append(sorted((place[t], c[t]) for t in place.keys() & c.keys()))
-            ids, ns = pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), ids, ns], ["id", "terms", "counts"])
-
-    shape = f"id {kind}, terms array<int>, counts array<int>"
-    features = materialise(rows.mapInArrow(featured, shape), "features")
-    every = features.count()
-    seen = {r["term"]: r["df"] for r in features.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # MAX_TERMS rows at most
-    idf = np.array([math.log((1 + every) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    examples = some.select("id", "text").mapInArrow(featured, shape).join(F.broadcast(marks), "id").collect() if vocabulary else some.select("id", "label", F.array().cast("array<int>").alias("terms"), F.array().cast("array<int>").alias("counts")).collect()
-    model = spark.sparkContext.broadcast(Model(vocabulary, idf, sorted((r["id"], r["label"], dict(zip(r["terms"], r["counts"], strict=True))) for r in examples)))
+    model = spark.sparkContext.broadcast(fit(rows, marks.select(F.col(id_col).alias("id"), label_col), label_col, class_rows))  # bounded by the sample
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[float, list]] = {}  # answers of texts met before in this task
         for batch in batches:
-            got = [model.value.score(dict(zip(t, n, strict=True))) for t, n in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            evidence = pa.array([[{"id": i, "cosine": c} for c, i in near] for _, near in got], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))
+            got = []
+            for text in batch.column("text").to_pylist():
+                key = xxhash.xxh3_64_intdigest(text) if text else 0
+                if key not in seen:
+                    if len(seen) > 20_000:
+                        seen.clear()
+                    seen[key] = model.value.score(text)
+                got.append(seen[key])
+            evidence = pa.array([[{"id": i, "cosine": c} for i, c in near] for _, near in got], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p for p, _ in got], pa.float64()), evidence], ["id", "score", "evidence"])
 
-    out = features.mapInArrow(scored, f"id {kind}, score double, evidence array<struct<id: long, cosine: double>>")
+    out = rows.mapInArrow(scored, f"id {kind}, score double, evidence array<struct<id: long, cosine: double>>")
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % FOLDS == 0, F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
