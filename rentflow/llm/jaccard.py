@@ -1,10 +1,14 @@
 """Near-duplicate join on five-word shingles: MinHash LSH forest, exact verification.
 
-Texts with equal shingle sets are one set. Each set has a label of MinHash values in each of TREES prefix tries. Matched
-prefixes start at full depth and are shortened until a pair at the threshold is expected to meet, in some tree, with the
-target recall; sets that share such a trie node are candidates. Nodes link their sets to the smallest one, so the links
-stay linear in the sets; their components hold every candidate pair. Inside a component, sets are compared exactly, block
-against block, and a task hands on counts and a spanning forest of what it verified, never the pairs.
+Texts with equal shingle sets are one set. Each set has a label of DEPTH MinHash values in each of TREES prefix tries. The
+labels of all sets are sorted; sets whose label shares LEAST_DEPTH values or more with a neighbour in that order are the
+branching part of the tries, all that any prefix length in use can match. Matching begins with long prefixes. The pairs
+that share a prefix are verified exactly, and the verified links tell how many more a pair of their similarity leaves
+unmatched at this length; while that is more than the target recall allows, prefixes are shortened by one value.
+
+Candidates are put in order of (smallest id met in a trie, set size, id) and cut into blocks. Two blocks are compared if
+members of them share a trie node and their sizes allow the threshold; a task hands on counts, a spanning forest of what
+it verified and the expected misses, never the pairs.
 """
 
 from __future__ import annotations
@@ -16,17 +20,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, materialise
+from .common import NEAR, SHINGLE_WORDS, materialise, partitions
 from .components import components
 
 TREES = 48
-FULL_DEPTH = 12
-TARGET_RECALL = 0.99999
-#: Sets of a block; two blocks meet in one task.
-BLOCK = 64
+#: Values of a label; the prefix length that matching begins with, and the one below which it never goes.
+DEPTH = 12
+FIRST_DEPTH = 8
+LEAST_DEPTH = 5
+#: MinHash functions; each tree's label takes DEPTH of them.
+FUNCTIONS = 192
+#: Share of the links that must be expected to have met in some tree.
+TARGET_RECALL = 0.9999
+#: Sets of a block, and shingles that end one early.
+BLOCK = 128
+BLOCK_SHINGLES = 500_000
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -34,9 +46,9 @@ TOKEN = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def depth(threshold: float, trees: int = TREES, full: int = FULL_DEPTH, recall: float = TARGET_RECALL) -> int:
-    """The longest prefix at which a pair of that similarity shares a node of some tree with the target recall."""
-    return next((d for d in range(full, 0, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
+def missed(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """Chance that two sets of that similarity share no prefix of that length in any tree."""
+    return (1 - np.asarray(similarity, float) ** depth) ** trees
 
 
 class _Hashes(dict):
@@ -67,32 +79,73 @@ def shingles(text: str | None, hashes: dict) -> np.ndarray:
 
 
 class Forest:
-    """Hash functions of the trees, at the depth that the threshold asks for."""
+    """The MinHash functions and the trees' choices among them."""
 
-    def __init__(self, threshold: float) -> None:
-        self.depth = depth(threshold)
-        n, rng = TREES * self.depth, np.random.default_rng(20240501)
-        self.a = (rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-        self.b = rng.integers(0, 2**32, n, dtype=np.uint32)[:, None]
-        self.fold = rng.integers(0, 2**63, self.depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    def __init__(self) -> None:
+        rng = np.random.default_rng(20240501)
+        self.a = (rng.integers(0, 2**31, FUNCTIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+        self.b = rng.integers(0, 2**32, FUNCTIONS, dtype=np.uint32)[:, None]
+        self.pick = np.stack([rng.permutation(FUNCTIONS)[:DEPTH] for _ in range(TREES)])
 
-    def nodes(self, s: np.ndarray) -> np.ndarray:
-        """The set's trie node in each tree, as a 64-bit hash of the tree and the prefix."""
+    def labels(self, s: np.ndarray) -> list[bytes]:
+        """The set's label in each tree: the tree's number, then one byte of each MinHash value."""
         x = (s ^ (s >> np.uint64(32))).astype(np.uint32)[None, :]
-        low = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
+        low = np.full(FUNCTIONS, 0xFFFFFFFF, np.uint32)
         for i in range(0, x.shape[1], 2048):
             low = np.minimum(low, (self.a * x[:, i : i + 2048] + self.b).min(axis=1))
-        prefix = (low.reshape(TREES, self.depth).astype(np.uint64) * self.fold).sum(axis=1, dtype=np.uint64)
-        return _finish(prefix + np.arange(TREES, dtype=np.uint64) * _MIX).view(np.int64)
+        byte = ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+        label = np.concatenate([np.arange(TREES, dtype=np.uint8)[:, None], byte[self.pick]], 1).tobytes()
+        return [label[i : i + DEPTH + 1] for i in range(0, len(label), DEPTH + 1)]
+
+
+def _branching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's sorted (label, id): rows whose label shares a least prefix with a neighbour, and the first and last
+    prefix of the task, whose neighbours may lie in another."""
+    least = LEAST_DEPTH + 1
+    before, held, first = None, None, None  # prefix and last row of the run so far; the task's first prefix
+    for batch in batches:
+        label, ids = batch.column("label").to_pylist(), batch.column("id").to_pylist()
+        out: list[tuple[bytes, int]] = []
+        for x, i in zip(label, ids, strict=True):
+            prefix = x[:least]
+            if first is None:
+                first = prefix
+            if prefix == before:
+                if held is not None:
+                    out.append(held)
+                    held = None
+                out.append((x, i))
+            elif prefix == first:
+                out.append((x, i))
+                before = prefix
+            else:
+                before, held = prefix, (x, i)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64())], ["label", "id"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.binary()), pa.array([held[1]], pa.int64())], ["label", "id"])
 
 
-def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Verified links of one task: for each set the number of documents behind its partners, and forest edges."""
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of blocks for a task's sorted sets."""
+    block, rows, said = TaskContext.get().partitionId() << 40, 0, 0
+    for batch in batches:
+        numbers = []
+        for size in batch.column("size").to_pylist():
+            if rows >= BLOCK or (rows and said + size > BLOCK_SHINGLES):
+                block, rows, said = block + 1, 0, 0
+            rows, said = rows + 1, said + size
+            numbers.append(block)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), pa.array(numbers, pa.int64())], ["id", "size", "block"])
+
+
+def _compare(pdf: pd.DataFrame, threshold: float, depth: int) -> pd.DataFrame:
+    """Verified links of one task: for each set the number of documents behind its partners, forest edges, and how many
+    links of its kind go unmatched for those matched."""
     ids, many, block = pdf["id"].to_numpy(), pdf["many"].to_numpy(), pdf["block"].to_numpy()
     own, n = bool(pdf["i"].iat[0] == pdf["j"].iat[0]), len(pdf)
     size = np.array([len(s) for s in pdf["s"]])
     if n < 2:
-        return pd.DataFrame({"id": ids[:0], "links": many[:0], "to": ids[:0]})
+        return pd.DataFrame({"id": ids[:0], "links": many[:0], "to": ids[:0], "found": many[:0], "unmet": np.zeros(0)})
     _, place = np.unique(np.concatenate(pdf["s"].to_list()), return_inverse=True)
     row = np.repeat(np.arange(n), size)
     shared = np.flatnonzero(np.bincount(place) > 1)  # shingles of one set only can't be common
@@ -112,6 +165,9 @@ def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     # Exact in integers: common / union >= threshold, which has two decimals.
     near = common * 100 >= round(threshold * 100) * (size[:, None] + size[None, :] - common)
     near &= ~np.eye(n, dtype=bool) if own else block[:, None] != block[None, :]
+    a, b = np.nonzero(near)
+    chance = missed(common[a, b] / np.maximum(1, size[a] + size[b] - common[a, b]), depth)
+    unmet = np.bincount(a, chance / (1 - np.minimum(chance, 1 - 1e-9)), n)
     first = np.where(near.any(1), near.argmax(1), -1)
     least = np.array([min(ids[i], ids[near[i]].min()) if first[i] >= 0 else ids[i] for i in range(n)])
     # A forest of the task's links: union by repeatedly taking the smallest id of the neighbourhood.
@@ -122,7 +178,11 @@ def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             break
         least = lower
     found = first >= 0
-    return pd.DataFrame({"id": ids[found], "links": (near @ many)[found], "to": least[found]})
+    return pd.DataFrame({"id": ids[found], "links": (near @ many)[found], "to": least[found], "found": near.sum(1)[found], "unmet": unmet[found]})
+
+
+def _comparing(threshold: float, depth: int):
+    return lambda pdf: _compare(pdf, threshold, depth)
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = NEAR) -> DataFrame:
@@ -134,37 +194,32 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     an id and shingle set counts once. An empty table gives no rows. Other columns are ignored.
     """
     spark = df.sparkSession
-    forest = Forest(threshold)
+    forest = Forest()
+    tasks = partitions(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            keys, nodes = [], []
+            keys, labels, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, hashes)
                 keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-                nodes.append(forest.nodes(s) if len(s) else np.zeros(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(n) for n in nodes])]).astype(np.int32)
-            flat = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "set", "nodes"])
+                labels.append(forest.labels(s) if len(s) else [])
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.binary()))], ["id", "set", "size", "labels"])
 
-    told = materialise(rows.mapInArrow(labelled, "id long, set binary, nodes array<long>"), "labels")
+    told = materialise(rows.mapInArrow(labelled, "id long, set binary, size long, labels array<binary>"), "labels")
     doc = told.select("id", "set").distinct()
     sets = doc.where(F.col("id").isNotNull() & F.col("set").isNotNull()).groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many"))
     sets = materialise(sets, "sets")
 
-    # Trie nodes of the sets' smallest documents; each links its sets to the smallest.
-    node = told.join(sets.select("set", "rep"), "set").where(F.col("id") == F.col("rep")).select("id", F.explode("nodes").alias("node")).distinct()
-    node = materialise(node, "tries")
-    shared = node.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    star = node.join(shared, "node").where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    part = materialise(components(star), "parts")
-
-    # Blocks of each component, and the tasks in which two blocks meet.
-    size = part.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = part.join(size, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    member = materialise(member.join(sets.select(F.col("rep").alias("id"), "many", "set"), "id"), "members")
+    # The tries' branching part: labels of the sets' smallest documents, in order.
+    own = told.join(sets.select("set", "rep"), "set").where(F.col("id") == F.col("rep")).dropDuplicates(["id"])
+    label = own.select("id", F.explode("labels").alias("label"))
+    tries = label.repartitionByRange(tasks, "label", "id").sortWithinPartitions("label").mapInArrow(_branching, "label binary, id long")
+    tries = materialise(tries, "tries")
+    member = sets.select(F.col("rep").alias("id"), "many", "set")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -173,14 +228,37 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
             keys = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in got], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["id", "set", "s"])
 
-    few = member.select("id")
-    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
-    text = rows.join(few, "id", "left_semi").mapInArrow(cut, "id long, set binary, s array<long>")
-    text = text.join(member, ["id", "set"]).dropDuplicates(["id", "set"])
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j"))))
-    dealt = text.withColumn("pair", pair).select("root", "pair.i", "pair.j", "id", "many", "block", "s")
-    compared = dealt.groupBy("root", "i", "j").applyInPandas(lambda pdf: _compare(pdf, threshold), "id long, links long, to long")
-    compared = materialise(compared, "links")
+    for depth in range(FIRST_DEPTH, LEAST_DEPTH - 1, -1):
+        # Nodes at this prefix length that hold several sets, and the order and blocks of those sets.
+        node = tries.select("id", F.substring("label", 1, depth + 1).alias("node")).distinct()
+        shared = node.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        node = materialise(node.join(shared, "node").select("node", "id", "least"), "shared")
+        few = node.groupBy("id").agg(F.min("least").alias("near"))
+        small = few.count() <= BROADCAST_ROWS
+        few = F.broadcast(few) if small else few
+        size = own.select("id", "size").join(few, "id").repartitionByRange(tasks, "near", "size", "id").sortWithinPartitions("near", "size", "id")
+        block = materialise(size.select("id", "size").mapInArrow(_blocked, "id long, size long, block long"), "blocks")
+
+        # Pairs of blocks that share a node and whose sizes allow the threshold.
+        span = block.groupBy("block").agg(F.struct("block", F.min("size").alias("low"), F.max("size").alias("high")).alias("span"))
+        meet = node.select("node", "id").join(F.broadcast(block) if small else block, "id").select("node", "block").distinct().join(span, "block")
+        lists = meet.groupBy("node").agg(F.array_sort(F.collect_set("span")).alias("spans")).select("spans").distinct()
+        first = lists.select("spans", F.explode("spans").alias("x"))
+        fits = F.filter("spans", lambda y: (y["block"] >= F.col("x.block")) & (y["high"] * 100 >= F.col("x.low") * round(threshold * 100)) & (F.col("x.high") * 100 >= y["low"] * round(threshold * 100)))
+        pair = first.select(F.col("x.block").alias("i"), F.explode(F.transform(fits, lambda y: y["block"])).alias("j")).distinct()
+        pair = materialise(pair, "pairs")
+
+        ids = block.select("id")
+        text = rows.join(F.broadcast(ids) if small else ids, "id", "left_semi").mapInArrow(cut, "id long, set binary, s array<long>")
+        text = text.join(member, ["id", "set"]).dropDuplicates(["id", "set"]).join(block.select("id", "block"), "id")
+        task = pair.select("i", "j", F.col("i").alias("block")).unionByName(pair.where(F.col("i") != F.col("j")).select("i", "j", F.col("j").alias("block")))
+        dealt = text.join(task, "block").select("i", "j", "id", "many", "block", "s")
+        compared = dealt.groupBy("i", "j").applyInPandas(_comparing(threshold, depth), "id long, links long, to long, found long, unmet double")
+        compared = materialise(compared, "links")
+        sums = compared.agg(F.sum("found").alias("found"), F.sum("unmet").alias("unmet")).first()
+        if not sums["found"] or sums["unmet"] <= (1 - TARGET_RECALL) * sums["found"]:
+            break
+
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(compared.select(F.col("id").alias("a"), F.col("to").alias("b")))
 
@@ -188,5 +266,5 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     whole = whole.select("set", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"))
     whole = materialise(whole, "classes")
     out = doc.join(whole, "set", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
-    return out.select(F.col("id").alias(id_col), own.alias("class_id"), F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
+    mine = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
+    return out.select(F.col("id").alias(id_col), mine.alias("class_id"), F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
