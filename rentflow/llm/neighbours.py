@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-Trees are grown on a bounded sample: each inner node splits its rows at the median along the line between two of them.
-Every row is filed under its leaf of each tree. A query walks all trees at once through one priority queue ordered by the
-smallest margin on its path, until its leaves promise enough candidates; then the leaves' rows are ranked by exact
-distance. Equal vectors are one entry with their smallest ids, so a vector that thousands of rows share is one candidate.
+Each tree halves its rows level by level along random directions: a node splits at the median of its sample rows, and a
+level of a tree shares its direction, so that a row is placed in all trees by one matrix product. Trees are as deep as the
+table asks for (about LEAF_ROWS rows a leaf); below the levels that the bounded sample can tell apart, nodes split at the
+median of their level. A query walks all trees at once through one priority queue, ordered by the squared margins summed
+along the path, until it has seen enough leaves; their rows are candidates and are ranked by exact distance. Leaves are
+joined by ids alone; then each vector goes once to the task that measures it against the queries that asked for it.
+Equal vectors are one entry with their smallest ids, so a vector that thousands of rows share is one candidate.
 """
 
 from __future__ import annotations
@@ -13,97 +16,136 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, partitions
 
-#: Trees, rows that they are grown on at most, and a leaf's sample rows at most.
-TREES = 24
+#: Trees, rows that the split points are taken from at most, and rows of a leaf, about.
+TREES = 48
 SAMPLE_ROWS = 20_000
-LEAF_ROWS = 32
-#: A query's leaves should hold, over all trees, this many times the sample's rows, whatever their number.
-SEARCH_SHARE = 2.0
-#: Rows of a group that one call ranks, about; a leaf with more rows is cut into parts.
-GROUP_ROWS = 8192
+LEAF_ROWS = 24
+#: A query's leaves hold about EFFORT * n ** POWER rows over all trees, with n rows in all; one rule for every size.
+EFFORT = 110.0
+POWER = 0.45
+#: Entries of a block, the unit in which vectors are measured.
+BLOCK_ROWS = 4096
+#: Queries up to which their vectors are broadcast to their candidates.
+BROADCAST_QUERIES = 20_000
 
 
 class Forest:
-    """Trees as flat arrays. ``normal[node] . x - offset[node]`` > 0 goes right; a leaf has no children."""
+    """Directions (dimensions x trees x levels) and split points; a node is the path of its bits from the root."""
 
-    def __init__(self, sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = 7) -> None:
+    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = 7) -> None:
+        n, d = sample.shape
         rng = np.random.default_rng(seed)
-        self.normal, self.offset, self.left, self.right, self.rows, self.roots = [], [], [], [], [], []
-        for _ in range(trees):
-            self.roots.append(self._grow(sample, np.arange(len(sample)), leaf_rows, rng))
-        self.normal, self.offset = np.array(self.normal).reshape(len(self.left), -1), np.array(self.offset)
-        self.left, self.right, self.rows = np.array(self.left), np.array(self.right), np.array(self.rows)
-
-    def _grow(self, x: np.ndarray, rows: np.ndarray, leaf_rows: int, rng: np.random.Generator) -> int:
-        node = len(self.left)
-        for a in (self.left, self.right):
-            a.append(-1)
-        self.rows.append(len(rows))
-        self.normal.append(np.zeros(x.shape[1]))
-        self.offset.append(0.0)
-        if len(rows) > leaf_rows:
-            for _ in range(3):
-                a, b = x[rng.choice(rows, 2, replace=False)]
-                along = x[rows] @ (normal := b - a)
-                cut = np.median(along)
-                low = along <= cut
-                if 0 < low.sum() < len(rows):
-                    self.normal[node], self.offset[node] = normal / (np.linalg.norm(normal) or 1), cut / (np.linalg.norm(normal) or 1)
-                    self.left[node] = self._grow(x, rows[low], leaf_rows, rng)
-                    self.right[node] = self._grow(x, rows[~low], leaf_rows, rng)
-                    break
-        return node
+        self.trees, self.depth = trees, max(0, round(math.log2(max(1, rows) / leaf_rows)))
+        told = min(self.depth, max(0, int(math.log2(max(1, n) / 8))))  # levels with a split point for each node
+        turns = [np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(-(-trees * self.depth // d))]
+        self.way = np.concatenate([np.zeros((d, 0)), *turns], 1)[:, : trees * self.depth]
+        self.cut: list[list[np.ndarray]] = []
+        for t in range(trees):
+            along = sample @ self.way[:, t * self.depth : (t + 1) * self.depth]
+            node, cuts = np.zeros(n, np.int64), []
+            for level in range(self.depth):
+                x = along[:, level]
+                middle = float(np.median(x)) if n else 0.0
+                cut = np.full(1 << level if level < told else 1, middle)
+                if level < told:
+                    order = np.lexsort((x, node))
+                    begin, end = (np.searchsorted(node[order], np.arange(1 << level), side) for side in ("left", "right"))
+                    has = end > begin
+                    cut[has] = x[order][((begin + end) // 2)[has]]
+                    node = node * 2 + (x >= cut[node])
+                cuts.append(cut)
+            self.cut.append(cuts)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row in each tree."""
-        out = np.empty((len(x), len(self.roots)), np.int64)
-        for t, root in enumerate(self.roots):
-            at = np.full(len(x), root)
-            while len(inner := np.flatnonzero(self.left[at] >= 0)):
-                side = np.einsum("ij,ij->i", self.normal[at[inner]], x[inner]) > self.offset[at[inner]]
-                at[inner] = np.where(side, self.right[at[inner]], self.left[at[inner]])
-            out[:, t] = at
+        """The leaf of each row in each tree, as a number over all trees."""
+        along = x @ self.way
+        out = np.empty((len(x), self.trees), np.int64)
+        for t in range(self.trees):
+            node = np.zeros(len(x), np.int64)
+            for level in range(self.depth):
+                cut = self.cut[t][level]
+                node = node * 2 + (along[:, t * self.depth + level] >= (cut[node] if len(cut) > 1 else cut[0]))
+            out[:, t] = node * self.trees + t
         return out
 
-    def visit(self, q: np.ndarray, want: int) -> list[int]:
-        """Leaves in order of the shared queue until they hold ``want`` sample rows."""
-        heap, found, got = [(-np.inf, root) for root in self.roots], [], 0
-        heapq.heapify(heap)
-        while heap and got < want:
-            bound, node = heapq.heappop(heap)
-            while self.left[node] >= 0:
-                margin = float(self.normal[node] @ q - self.offset[node])
-                near, far = (self.right[node], self.left[node]) if margin > 0 else (self.left[node], self.right[node])
-                heapq.heappush(heap, (max(bound, abs(margin)), far))
-                node = near
-            found.append(int(node))
-            got += int(self.rows[node])
+    def visit(self, q: np.ndarray, many: int) -> list[int]:
+        """The first ``many`` leaves in the order of the shared queue."""
+        along = (q @ self.way).tolist()
+        depth, trees, cuts = self.depth, self.trees, self.cut
+        heap, found = [(0.0, t, 0, 0) for t in range(trees)], []
+        while heap and len(found) < many:
+            bound, t, level, node = heapq.heappop(heap)
+            while level < depth:
+                cut = cuts[t][level]
+                margin = along[t * depth + level] - float(cut[node] if len(cut) > 1 else cut[0])
+                near = margin >= 0
+                level += 1
+                heapq.heappush(heap, (bound + margin * margin, t, level, node * 2 + (not near)))
+                node = node * 2 + near
+            found.append(node * trees + t)
         return found
 
 
-def effort(sample_rows: int) -> int:
-    """Sample rows that a query's leaves should hold over all trees; the same share at every size."""
-    return math.ceil(sample_rows * SEARCH_SHARE)
+def effort(rows: int, depth: int) -> int:
+    """Leaves that a query visits, over all trees."""
+    return max(1, math.ceil(EFFORT * rows**POWER / (rows / 2**depth))) if rows else 0
 
 
-def _exact(query: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x - query) ** 2).sum(1))
+def _vectors(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _ranked(k: int):
+    """Candidates of each query in a block, measured: (query_id, id, score) of the k best of the block.
+
+    Rows come sorted by block; a block's entries (kind 0) precede its queries (kind 1), which pass by batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, table = None, [], None
+        for batch in batches:
+            mark = np.stack([batch.column("block").to_numpy(), batch.column("kind").to_numpy()], 1)
+            cut = np.flatnonzero(np.concatenate([[True], (mark[1:] != mark[:-1]).any(1)])) if len(mark) else []
+            found: list[tuple[int, int, float]] = []
+            for a, b in zip(cut, [*cut[1:], len(mark)], strict=True):
+                rows = batch.slice(a, b - a)
+                if mark[a, 0] != block:
+                    block, parts, table = mark[a, 0], [], None
+                if mark[a, 1] == 0:
+                    parts.append((rows.column("key").to_numpy(), _vectors(rows.column("v")), rows.column("ids").to_pylist()))
+                    continue
+                if table is None and parts:
+                    key = np.concatenate([p[0] for p in parts])
+                    order = np.argsort(key, kind="stable")
+                    table = key[order], np.concatenate([p[1] for p in parts])[order], [i for p in parts for i in p[2]], order
+                for query, q, wanted in zip(rows.column("key").to_pylist(), _vectors(rows.column("v")), rows.column("ids").to_pylist(), strict=True):
+                    wanted = np.unique(np.asarray(wanted, np.int64))
+                    begin, end = np.searchsorted(table[0], wanted), np.searchsorted(table[0], wanted, "right")
+                    at = np.concatenate([np.arange(x, y) for x, y in zip(begin, end, strict=True)]) if (end - begin).max(initial=1) > 1 else begin
+                    d = np.sqrt(((table[1][at] - q) ** 2).sum(1))
+                    n = min(k + 1, len(d)) - 1
+                    near = np.flatnonzero(d <= np.partition(d, n)[n])
+                    got = sorted((float(d[i]), j) for i in near for j in table[2][table[3][at[i]]] if j != query)[:k]
+                    found += [(query, j, s) for s, j in got]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["query_id", "id", "score"])
+
+    return run
 
 
 def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The ``k`` nearest rows of ``df`` found for each row of ``queries`` (same columns): (query_id, rank, ``id_col``, score).
 
     Score is the Euclidean distance in double precision; ties go to the smaller id, and a row is not its own neighbour.
-    The forest is grown on at most ``sample_rows`` rows (smallest id hashes); all rows are searched. Rows whose id or
-    vector is null, and vectors that are empty, zero, of another length than most, or that hold null or non-finite
-    components take no part. Rows that repeat an id and its vector count once. Empty tables give no rows.
+    Split points come from at most ``sample_rows`` rows (smallest vector hashes); all rows are indexed. Rows whose id or
+    vector is null, and vectors that are empty, zero, of another length than most (no distance is defined), or that hold
+    null or non-finite components take no part. Rows that repeat an id and its vector count once; an id with several
+    vectors is a candidate with each. Empty tables give no rows. Other columns, whatever their names, are not read.
     """
     spark = df.sparkSession
 
@@ -119,66 +161,52 @@ def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: i
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     rows = rows.where(F.size("v") == sizes[0]["n"])
     # Entries: distinct vectors (0.0 and -0.0 alike) with their k + 1 smallest ids, which is all a query can need of them.
-    entries = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).select("id", "v", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256).alias("key"))
-    firsts = entries.groupBy("key", "id").agg(F.first("v").alias("v")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
-    trim = F.slice(F.array_sort(F.collect_list("id")), 1, k + 1)
-    firsts = firsts.groupBy("key", "part").agg(F.first("v").alias("v"), trim.alias("ids"))
-    entries = materialise(firsts.groupBy("key").agg(F.first("v").alias("v"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")), "entries")
-    sample = entries.orderBy(F.xxhash64("key"), "key").limit(sample_rows).select("v").toPandas()
-    forest = spark.sparkContext.broadcast(Forest(np.array(sample["v"].tolist())))  # bounded by the sample
-    want = effort(len(sample))
+    entries = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    firsts = entries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("v", "part").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
+    entries = firsts.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    entries = materialise(entries.select("v", "ids", F.col("ids")[0].alias("key")), "entries")
+    n = entries.count()
+    sample = entries.orderBy(F.xxhash64("v"), "key").limit(sample_rows).select("v").toArrow()
+    forest = spark.sparkContext.broadcast(Forest(_vectors(sample["v"]), n))  # bounded by the sample
+    many = effort(n, forest.value.depth)
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    tasks = partitions(spark)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), dtype=np.float64)
-            leaves = forest.value.leaves(x).tolist() if len(x) else []
-            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("ids"), pa.array(leaves, pa.list_(pa.int64()))], ["v", "ids", "leaves"])
-
-    placed = materialise(entries.mapInArrow(filed, "v array<double>, ids array<long>, leaves array<long>"), "placed")
-    counts = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a leaf of the forest
-    parts = {r["leaf"]: -(-r["n"] // GROUP_ROWS) for r in counts if r["n"] > GROUP_ROWS}
-    groups = max(1, -(-sum(r["n"] for r in counts) // GROUP_ROWS))
-    group = lambda leaf, part: (leaf * 31 + part * 17) % groups
+            for part in range(0, batch.num_rows, 2048):
+                rows = batch.slice(part, 2048)
+                leaves = forest.value.leaves(_vectors(rows.column("v")))
+                key = np.repeat(rows.column("key").to_numpy(), leaves.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), pa.array(key)], ["leaf", "key"])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, to, wanted = [], [], []
-            for i, v in enumerate(batch.column("v").to_pylist()):
-                by: dict[int, list[list[int]]] = {}
-                for leaf in forest.value.visit(np.array(v), want):
-                    for part in range(parts.get(leaf, 1)):
-                        by.setdefault(group(leaf, part), []).append([leaf, part])
-                rows += [i] * len(by)
-                to += by.keys()
-                wanted += by.values()
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), batch.column("v").take(take), batch.column("id").take(take), pa.array(wanted, pa.list_(pa.list_(pa.int64())))], ["group", "q", "query_id", "wanted"])
-
-    large = spark.createDataFrame([(k, v) for k, v in parts.items()], "leaf long, parts int")
-    members = placed.select("v", "ids", F.xxhash64("v").alias("entry"), F.explode("leaves").alias("leaf")).join(F.broadcast(large), "leaf", "left")
-    members = members.withColumn("part", F.pmod(F.xxhash64("ids"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    members = members.withColumn("group", F.pmod(F.col("leaf") * 31 + F.col("part") * 17, F.lit(groups)))
-    asking = good(queries).where(F.size("v") == sizes[0]["n"]).dropDuplicates(["id", "v"])
-    visits = asking.mapInArrow(asked, "group long, q array<double>, query_id long, wanted array<array<long>>")
-
-    def ranked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, ids, entry = np.array(left["v"].tolist()), left["ids"].tolist(), left["entry"].to_numpy()
-            at = {k: v.to_numpy() for k, v in pd.Series(np.arange(len(left))).groupby([left["leaf"].to_numpy(), left["part"].to_numpy()])}
-            for q, query_id, wanted in zip(right["q"], right["query_id"], right["wanted"], strict=True):
-                have = [at[k] for k in map(tuple, wanted) if k in at]
-                if have:
-                    rows = np.concatenate(have)
-                    rows = rows[np.unique(entry[rows], return_index=True)[1]]  # an entry meets a query in several trees
-                    d = _exact(np.asarray(q), x[rows])
-                    n = min(k + 1, len(d)) - 1
-                    near = np.flatnonzero(d <= np.partition(d, n)[n])
-                    got = sorted({(d[i], int(j)) for i in near for j in ids[rows[i]] if j != query_id})[:k]
-                    out += [(query_id, j, s) for s, j in got]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-
-    some = members.groupBy("group").cogroup(visits.groupBy("group")).applyInPandas(ranked, "query_id long, id long, score double")
-    best = some.distinct().groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "id"))), 1, k).alias("near"))
-    flat = best.select("query_id", F.posexplode("near").alias("place", "hit"))
-    return flat.select("query_id", (F.col("place") + 1).alias("rank"), F.col("hit.id").alias(id_col), F.col("hit.score").alias("score"))
+            for q, query in zip(_vectors(batch.column("v")), batch.column("id").to_numpy(), strict=True):
+                leaves = forest.value.visit(q, many)
+                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(np.full(len(leaves), query))], ["leaf", "query"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidate pairs packed as (block, query, distinct entry keys)."""
+        for batch in batches:
+            block, query, key = (batch.column(n).to_numpy() for n in ("block", "query", "key"))
+            order = np.lexsort((key, query, block))
+            block, query, key = block[order], query[order], key[order]
+            new = np.concatenate([[True], (block[1:] != block[:-1]) | (query[1:] != query[:-1])])[: len(key)]
+            keep = new | np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+            block, query, key, new = block[keep], query[keep], key[keep], new[keep]
+            cut = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(query[cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)), pa.int32()), pa.array(key))], ["block", "query", "ids"])
+
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks))
+    members = entries.select("v", "key").mapInArrow(filed, "leaf long, key long")
+    asking = materialise(good(queries).where(F.size("v") == sizes[0]["n"]).dropDuplicates(["id", "v"]).repartition(tasks, "id"), "queries")
+    visits = asking.repartition(tasks, "id").mapInArrow(asked, "leaf long, query long")
+    pairs = members.join(visits, "leaf").select(block.alias("block"), "query", "key").mapInArrow(gathered, "block long, query long, ids array<long>")
+    told = asking.select(F.col("id").alias("query"), "v")
+    pairs = pairs.join(F.broadcast(told) if asking.count() <= BROADCAST_QUERIES else told, "query")
+    both = entries.select(block.alias("block"), F.lit(0).alias("kind"), "key", "v", "ids").unionByName(pairs.select("block", F.lit(1).alias("kind"), F.col("query").alias("key"), "v", "ids"))
+    near = both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_ranked(k), "query_id long, id long, score double")
+    order = Window.partitionBy("query_id").orderBy("score", "id")
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
