@@ -17,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLDS, materialise
 
 #: Labelled rows of a class that the examples are taken from, at most.
-CLASS_ROWS = 2500
+CLASS_ROWS = 1200
 NEIGHBOURS = 15
 BLOCK = 128
 #: Blocks that a search looks into before it knows a list to improve.
@@ -56,42 +58,60 @@ def sketch(text: str | None) -> list[int]:
 
 
 class Index:
-    """Block-max inverted index of unit vectors: postings by term, cut at the blocks, with each block's largest weight."""
-
-    def __init__(self, term_count: int, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
-        """Rows of (id, label, term places, weights)."""
-        # Examples whose heaviest terms are the same become neighbours, which makes the blocks' largest weights tight.
-        def lead(r: tuple) -> tuple:
-            top = np.lexsort((r[2], -r[3]))[:3]
-            return (*r[2][top].tolist(), r[0])
-
-        rows = sorted(rows, key=lead)
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.labels = np.array([r[1] for r in rows], np.int64)
-        self.blocks = max(1, -(-len(rows) // BLOCK))
-        term = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0)
-        place = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    """Block-max inverted index of unit vectors: postings by term, cut at the blocks, with each block's largest weight.
+
+    A weight is (1 + ln count) x factor of the term / norm of the example; postings hold the count alone, in few bytes, as
+    the index travels to every task."""
+
+    def __init__(self, factor: np.ndarray, ids: np.ndarray, labels: np.ndarray, ends: np.ndarray, term: np.ndarray, count: np.ndarray) -> None:
+        """Examples as flat arrays: example i has the terms and counts from ends[i] to ends[i + 1]; those without are left out."""
+        self.factor, many = factor, np.diff(ends)
+        row = np.repeat(np.arange(len(ids)), many)
+        weight = (1 + np.log(count)) * factor[term]
+        norm = np.sqrt(np.bincount(row, weight * weight, len(ids)))
+        # Examples whose heaviest term is the same become neighbours, which makes the blocks' largest weights tight.
+        lead = np.full(len(ids), -1)
+        heavy = np.lexsort((-term, weight))
+        lead[row[heavy]] = term[heavy]
+        order = np.lexsort((ids, lead))
+        order = order[many[order] > 0]
+        self.ids, self.labels, self.norm = ids[order], labels[order].astype(np.int64), norm[order]
+        self.blocks = max(1, -(-len(order) // BLOCK))
+        at = np.full(len(ids), -1)
+        at[order] = np.arange(len(order))
+        place = at[row]
         order = np.lexsort((place, term))
-        self.place, self.weight = place[order].astype(np.int32), weight[order]
-        key = term[order] * self.blocks + self.place // BLOCK
-        self.begin = np.searchsorted(key, np.arange(term_count * self.blocks + 1)).astype(np.int32)
-        most = np.zeros(term_count * self.blocks)
-        np.maximum.at(most, key, self.weight)
-        self.most = np.nextafter(most.astype(np.float32), np.float32(2)).reshape(term_count, self.blocks)
-
-    def _cosines(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of all examples of these blocks that share a term."""
-        slot = (term[:, None] * self.blocks + blocks[None, :]).ravel()
-        start = self.begin[slot]
-        many = self.begin[slot + 1] - start
-        has = many > 0
-        start, many, w = start[has], many[has], np.repeat(weight, len(blocks))[has]
+        key = term[order] * self.blocks + place[order] // BLOCK
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.place = place[order].astype(np.min_scalar_type(max(1, len(self.ids))))
+        self.count = count[order].astype(np.min_scalar_type(int(count.max(initial=1))))
+        # One entry for each block of a term's list: its block, its postings' begin, its largest weight (rounded up).
+        self.block = (key[begin] % self.blocks).astype(np.min_scalar_type(self.blocks))
+        self.begin = np.append(begin, len(key)).astype(np.int32)
+        most = np.maximum.reduceat((weight / norm[row])[order], begin) if len(key) else np.zeros(0)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(2))
+        self.lists = np.searchsorted(key[begin] // self.blocks, np.arange(len(factor) + 1)).astype(np.int32)
+
+    def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(count.astype(np.float64))) * self.factor[term]
+        return w / (math.sqrt(float(w @ w)) or 1.0)
+
+    def _entries(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The block entries of these terms, each with the query's weight of the term."""
+        start = self.lists[term]
+        many = self.lists[term + 1] - start
         ends = np.cumsum(many)
-        if not len(ends):
+        return np.repeat(start - (ends - many), many) + np.arange(ends[-1]), np.repeat(weight, many)
+
+    def _cosines(self, entry: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of all examples behind these block entries."""
+        if not len(entry):
             return np.zeros(0, np.int64), np.zeros(0)
+        start = self.begin[entry]
+        many = self.begin[entry + 1] - start
+        ends = np.cumsum(many)
         at = np.repeat(start - (ends - many), many) + np.arange(ends[-1])
-        cosine = np.bincount(self.place[at], np.repeat(w, many) * self.weight[at], len(self.ids)).round(12)
+        cosine = (np.bincount(self.place[at], np.repeat(weight, many) * (1 + np.log(self.count[at].astype(np.float64))), len(self.ids)) / self.norm).round(12)
         hit = np.flatnonzero(cosine > 0)
         return hit, cosine[hit]
 
@@ -102,23 +122,32 @@ class Index:
         order = np.lexsort((self.ids[place], -cosine))[:k]
         return place[order], cosine[order]
 
-    def search(self, term: np.ndarray, weight: np.ndarray, k: int, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def examples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, terms, counts): the postings turned back into the examples' vectors."""
+        term = np.repeat(np.arange(len(self.factor)), np.diff(self.begin[self.lists]))
+        order = np.lexsort((term, self.place))
+        return np.searchsorted(self.place[order], np.arange(len(self.ids) + 1)), term[order], self.count[order]
+
+    def search(self, term: np.ndarray, count: np.ndarray, k: int, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, ties to the smaller id; ``leave`` is a place to pass over."""
         if not len(term) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weight.astype(np.float32) @ self.most[term] * np.float32(1.00001)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best = self._cosines(term, weight, order[:FIRST_BLOCKS])
-        for rest in (order[FIRST_BLOCKS : 3 * FIRST_BLOCKS], order[3 * FIRST_BLOCKS :]):
+        unit = self.vector(term, count)
+        entry, weight = self._entries(term, unit)
+        block = self.block[entry]
+        bound = np.bincount(block, weight * self.most[entry], self.blocks) * (1 + 1e-9)
+        weight = self._entries(term, unit * self.factor[term])[1]
+        rank = np.empty(self.blocks, np.int64)
+        rank[np.argsort(-bound, kind="stable")] = np.arange(self.blocks)
+        rank = rank[block]
+        best = self._cosines(entry[rank < FIRST_BLOCKS], weight[rank < FIRST_BLOCKS])
+        for begin, end in ((FIRST_BLOCKS, 3 * FIRST_BLOCKS), (3 * FIRST_BLOCKS, self.blocks)):
             if leave is not None:
                 best = tuple(a[best[0] != leave] for a in best)
             best = self._best(*best, k)
             least = best[1][-1] if len(best[1]) == k else 0.0
-            rest = rest[bound[rest] >= least]
-            if not len(rest):
-                continue
-            more = self._cosines(term, weight, rest)
+            rest = (rank >= begin) & (rank < end) & (bound[block] >= least)
+            more = self._cosines(entry[rest], weight[rest])
             best = np.concatenate([best[0], more[0]]), np.concatenate([best[1], more[1]])
         if leave is not None:
             best = tuple(a[best[0] != leave] for a in best)
@@ -126,44 +155,28 @@ class Index:
 
 
 class Model:
-    """Vocabulary, term weights and index; all bounded by the sample of examples."""
+    """Index, class weights and shares; all bounded by the sample of examples."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, gain: np.ndarray, rows: list[tuple[int, int, list[int], list[int]]], class_weight: tuple[float, float]) -> None:
-        self.place = {t: i for i, t in enumerate(vocabulary)}
-        self.factor = idf * gain
+    def __init__(self, factor: np.ndarray, ids: np.ndarray, labels: np.ndarray, ends: np.ndarray, term: np.ndarray, count: np.ndarray, class_weight: tuple[float, float]) -> None:
         self.class_weight = np.array(class_weight)
-        self.index = Index(len(vocabulary), [(i, label, *self.vector(np.array(t, np.int64), np.array(n, np.float64))) for i, label, t, n in rows if len(t)])
-        labels = np.array([r[1] for r in rows], np.int64)
+        self.index = Index(factor, ids, labels, ends, term, count)
+        full = np.diff(ends) > 0
         mass = [self.class_weight[c] * (labels == c).sum() for c in (0, 1)]
-        self.prior = float((mass[1] + 0.5) / (sum(mass) + 1)) if rows else 0.0
-        plain = np.array([r[1] for r in rows if not len(r[2])], np.int64)
-        mass = [self.class_weight[c] * (plain == c).sum() for c in (0, 1)]
+        self.prior = float((mass[1] + 0.5) / (sum(mass) + 1)) if len(labels) else 0.0
+        mass = [self.class_weight[c] * ((labels == c) & ~full).sum() for c in (0, 1)]
         self.plain = float((mass[1] + self.prior) / (sum(mass) + 1))  # of texts that share no term with an example
-        self.knots, self.levels = np.zeros(0), np.zeros(0)
-
-    def vector(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(count)) * self.factor[term]
-        return term, w / (math.sqrt(float(w @ w)) or 1.0)
-
-    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        place = self.place
-        got = [(place[t], n) for t, n in terms(text).items() if t in place]
-        return np.array([t for t, _ in got], np.int64), np.array([n for _, n in got], np.float64)
-
-    def nearest(self, text: str | None, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        return self.index.search(*self.vector(*self.features(text)), NEIGHBOURS, leave)
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         labels = self.index.labels[place]
         weight = cosine * cosine * self.class_weight[labels]
         return float((weight @ labels + PRIOR_WEIGHT * self.prior) / (weight.sum() + PRIOR_WEIGHT))
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        """Probability, and the evidence: the nearest examples' (id, cosine)."""
-        place, cosine = self.nearest(text)
+    def score(self, term: np.ndarray, count: np.ndarray, knots: np.ndarray, levels: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+        """Probability, and the evidence: the nearest examples' (id, cosine). Knots and levels are the calibration."""
+        place, cosine = self.index.search(term, count, NEIGHBOURS)
         if not len(place):
             return self.plain, []
-        p = float(np.interp(self.vote(place, cosine), self.knots, self.levels)) if len(self.knots) else self.prior
+        p = float(np.interp(self.vote(place, cosine), knots, levels))
         return p, [(int(self.index.ids[i]), float(c)) for i, c in zip(place[:3], cosine[:3], strict=True)]
 
 
@@ -191,15 +204,15 @@ def gains(clean: np.ndarray, toxic: np.ndarray, n0: float, n1: float) -> np.ndar
     return 1 + GAIN * np.where(np.maximum(lift, 1 / lift) >= 2, level / (1 + level), 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, class_rows: int) -> Model:
-    """The model from at most ``class_rows`` labelled rows (id, text) of a class; IDF over all ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, class_rows: int) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray], DataFrame]:
+    """The model from at most ``class_rows`` labelled rows (id, text) of a class, sent to the tasks, its calibration, and
+    every row's features (id, terms, counts). IDF counts all ``docs``."""
     spark = docs.sparkSession
+    kind = dict(docs.dtypes)["id"]
     # An id labelled twice is toxic if one of its labels says so; equal texts are one example.
-    marks = labels.groupBy("id").agg(F.max(label_col).cast("int").alias("label"))
-    marks = marks.withColumn("label", F.when(F.col("label") > 0, 1).otherwise(0))
-    draw = F.xxhash64(F.lit("toxicity"), "id")
-    marks = materialise(marks, "labels")
+    marks = materialise(labels.groupBy("id").agg(F.when(F.max(label_col) > 0, 1).otherwise(0).alias("label")), "labels")
     of = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    draw = F.xxhash64(F.lit("toxicity"), "id")
     taken = [marks.where(F.col("label") == c).orderBy(draw, "id").limit(class_rows) for c in (0, 1)]
     taken = materialise(taken[0].unionByName(taken[1]), "marks")  # 2 x class_rows rows at most
     some = docs.join(F.broadcast(taken), "id").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("id").alias("id"), F.max("label").alias("label"))
@@ -210,57 +223,74 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, class_rows: int) ->
             found = [terms(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([sketch(t) for t in texts], pa.list_(pa.int64())), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "label", "sketch", "words", "counts"])
 
-    kind = dict(docs.dtypes)["id"]
-    rows = some.select("id", "label", "text").mapInArrow(counted, f"id {kind}, label int, sketch array<long>, words array<string>, counts array<int>").collect()  # bounded by the sample
-    rows = sorted(rows, key=lambda r: r["id"])
+    shape = f"id {kind}, label int, sketch array<long>, words array<string>, counts array<int>"
+    rows = some.select("id", "label", "text").mapInArrow(counted, shape).toArrow().sort_by("id").combine_chunks()  # bounded by the sample
     class_weight = tuple(of.get(c, 0) / max(1, min(class_rows, of.get(c, 0))) for c in (0, 1))
+    ids, label, n = rows["id"].to_numpy(), rows["label"].to_numpy(), len(rows)
+    words = pa.concat_arrays([c.flatten() for c in rows["words"].chunks] or [pa.array([], pa.string())]).dictionary_encode()
+    vocabulary, term = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+    count = np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in rows["counts"].chunks)]).astype(np.int64)
+    ends = np.cumsum([0, *pc.list_value_length(rows["words"]).to_pylist()])
 
     # Groups of near copies count as about one example, so that they don't multiply a term's evidence.
-    alike = [Counter((r["label"], r["sketch"][i]) for r in rows) for i in range(SKETCH)]
-    share = [sum(1 / alike[i][r["label"], r["sketch"][i]] for i in range(SKETCH)) / SKETCH for r in rows]
-    vocabulary = sorted({w for r in rows for w in r["words"]})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    at = [np.array([place[w] for w in r["words"]], np.int64) for r in rows]
-    seen = [np.zeros(len(vocabulary)), np.zeros(len(vocabulary))]
-    for r, a, s in zip(rows, at, share, strict=True):
-        seen[r["label"]][a] += s
-    sums = [sum(s for r, s in zip(rows, share, strict=True) if r["label"] == c) for c in (0, 1)]
-    gain = gains(seen[0], seen[1], max(sums[0], 1e-9), max(sums[1], 1e-9))
-
-    told = spark.sparkContext.broadcast(place)
+    said = np.array(rows["sketch"].to_pylist(), np.int64).reshape(n, SKETCH)
+    share = np.zeros(n)
+    for i in range(SKETCH):
+        _, group = np.unique(np.stack([label.astype(np.int64), said[:, i]], 1), axis=0, return_inverse=True)
+        share += 1 / np.bincount(group.ravel(), minlength=1)[group.ravel()] / SKETCH
+    each = np.repeat(share, np.diff(ends))
+    toxic = np.repeat(label, np.diff(ends)) == 1
+    seen = [np.bincount(term[mine], each[mine], len(vocabulary)) for mine in (~toxic, toxic)]
+    gain = gains(*seen, *(max(float(share[label == c].sum()), 1e-9) for c in (0, 1)))
+
+    told = spark.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = told.value
+        for batch in batches:
+            flat_t, flat_n, sizes = [], [], [0]
+            for text in batch.column("text").to_pylist():
+                found = terms(text)
+                known = place.keys() & found.keys()
+                flat_t += [place[w] for w in known]
+                flat_n += [found[w] for w in known]
+                sizes.append(len(flat_t))
+            at = pa.array(sizes, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(at, pa.array(flat_t, pa.int32())), pa.ListArray.from_arrays(at, pa.array(flat_n, pa.int32()))], ["id", "terms", "counts"])
+
+    features = materialise(docs.mapInArrow(featured, f"id {kind}, terms array<int>, counts array<int>"), "features")
+    size = len(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a term of this task, and one with the number of its texts under term -1."""
-        place, df, n = told.value, np.zeros(len(told.value), np.int64), 0
+        """One row a term of this task, and one with the number of its texts under the term after the last."""
+        df = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                df[[place[w] for w in place.keys() & set(TOKEN.findall(text.lower()))] if text else []] += 1
-            n += batch.num_rows
+            df[:size] += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=size)
+            df[size] += batch.num_rows
         has = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1)), pa.array(np.append(df[has], n))], ["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(df[has])], ["term", "df"])
 
-    df = np.zeros(len(vocabulary) + 1, np.int64)
-    if vocabulary:
-        counts = docs.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # a row a term
-        df[counts["term"].to_numpy()] = counts["df"].to_numpy()
+    df = np.zeros(size + 1, np.int64)
+    counts = features.select("terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
+    df[counts["term"].to_numpy()] = counts["df"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    told.unpersist()
-    model = Model(vocabulary, idf, gain, [(r["id"], r["label"], a, r["counts"]) for r, a in zip(rows, at, strict=True)], class_weight)
+    model = Model(idf * gain, ids, label, ends, term, count, class_weight)
 
-    # Leave-one-out votes of the examples, for the calibration.
-    shared = spark.sparkContext.broadcast(model)
-    home = {int(i): p for p, i in enumerate(model.index.ids)}
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
+    told.destroy()
 
+    # Leave-one-out votes of the examples, for the calibration.
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        ends, term, count = m.index.examples()
         for batch in batches:
-            rows = [(label, m.vote(*m.nearest(text, leave=home[i]))) for i, label, text in zip(*(batch.column(n).to_pylist() for n in ("id", "label", "text")), strict=True) if i in home]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())], ["label", "vote"])
+            places = batch.column("id").to_pylist()
+            near = [m.index.search(term[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]], NEIGHBOURS, leave=i) for i in places]
+            yield pa.RecordBatch.from_arrays([pa.array(m.index.labels[places]), pa.array([m.vote(*x) for x in near], pa.float64())], ["label", "vote"])
 
-    votes = some.select("id", "label", "text").mapInArrow(left_out, "label int, vote double").toPandas()  # bounded by the sample
-    shared.unpersist()
-    model.knots, model.levels = isotonic(votes["vote"].to_numpy(), votes["label"].to_numpy(), model.class_weight[votes["label"].to_numpy().astype(int)])
-    return model
+    votes = spark.range(len(model.index.ids)).mapInArrow(left_out, "label long, vote double").toArrow()  # bounded by the sample
+    known = votes["label"].to_numpy()
+    return shared, isotonic(votes["vote"].to_numpy(), known, model.class_weight[known]), features
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str, class_rows: int = CLASS_ROWS) -> DataFrame:
@@ -273,26 +303,29 @@ def score(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_
     labels at all every score is 0. A null id is not held out. Repeated rows score alike; an empty table gives no rows.
     Other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % FOLDS != 0))
-    model = spark.sparkContext.broadcast(fit(rows, marks.select(F.col(id_col).alias("id"), label_col), label_col, class_rows))  # bounded by the sample
+    model, line, features = fit(rows, marks.select(F.col(id_col).alias("id"), label_col), label_col, class_rows)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[float, list]] = {}  # answers of texts met before in this task
         for batch in batches:
             got = []
-            for text in batch.column("text").to_pylist():
-                key = xxhash.xxh3_64_intdigest(text) if text else 0
+            ends = batch.column("terms").offsets.to_numpy()
+            term, count = batch.column("terms").values.to_numpy(), batch.column("counts").values.to_numpy()
+            for a, b in zip(ends, ends[1:], strict=False):
+                order = np.argsort(term[a:b])
+                t, n = term[a:b][order], count[a:b][order]
+                key = xxhash.xxh3_128_intdigest(t.tobytes() + n.tobytes())
                 if key not in seen:
                     if len(seen) > 20_000:
                         seen.clear()
-                    seen[key] = model.value.score(text)
+                    seen[key] = model.value.score(t, n, *line)
                 got.append(seen[key])
             evidence = pa.array([[{"id": i, "cosine": c} for i, c in near] for _, near in got], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p for p, _ in got], pa.float64()), evidence], ["id", "score", "evidence"])
 
-    out = rows.mapInArrow(scored, f"id {kind}, score double, evidence array<struct<id: long, cosine: double>>")
+    out = features.mapInArrow(scored, f"id {kind}, score double, evidence array<struct<id: long, cosine: double>>")
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % FOLDS == 0, F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
