@@ -11,6 +11,7 @@ def reason(listing: str = "l", sub: str = "s") -> Column:
 
     Subscription columns: price_min, price_max, bedrooms_min, bedrooms_max, property_types, districts, zones, furnished,
     pets_allowed, bills_included, available_before, available_after, tenancy_max, direct_only; null or empty is no wish.
+    Both sides come from ``offers`` and ``wishes``, which settle letter case once a row instead of once a pair.
     """
     v, w = (lambda c: F.col(f"{listing}.{c}")), (lambda c: F.col(f"{sub}.{c}"))
 
@@ -20,24 +21,23 @@ def reason(listing: str = "l", sub: str = "s") -> Column:
 
     def member(name: str, value: Column, wished: Column, unknown: Column) -> Column:
         some = F.coalesce(F.size(wished) > 0, F.lit(False))
-        lowered = F.transform(wished, lambda x: F.lower(x))
-        return F.when(some & unknown, f"{name} unknown").when(some & ~F.array_contains(lowered, F.lower(value)), f"{name} not wished")
+        return F.when(some & unknown, f"{name} unknown").when(some & ~F.array_contains(wished, value), f"{name} not wished")
 
     def flag(name: str) -> Column:
         return F.when(w(name).isNotNull() & v(name).isNull(), f"{name} not stated").when(w(name) != v(name), f"{name} differs")
 
     place = F.coalesce(F.size(w("districts")) > 0, F.lit(False)) | F.coalesce(F.size(w("zones")) > 0, F.lit(False))
-    district = F.upper(v("postcode_district"))
-    inside = F.coalesce(F.array_contains(F.transform(w("districts"), lambda x: F.upper(x)), district), F.lit(False)) | F.coalesce(F.array_contains(w("zones"), v("tfl_zone")), F.lit(False))
+    district = v("at_district")
+    inside = F.coalesce(F.array_contains(w("districts"), district), F.lit(False)) | F.coalesce(F.array_contains(w("zones"), v("tfl_zone")), F.lit(False))
     nowhere = (F.coalesce(district, F.lit("")) == "") & v("tfl_zone").isNull()
     date = v("available_from")
     dated = w("available_before").isNotNull() | w("available_after").isNotNull()
     return F.coalesce(
         span("price_pcm", v("price_pcm"), w("price_min"), w("price_max")),
         span("bedrooms", v("bedrooms"), w("bedrooms_min"), w("bedrooms_max")),
-        member("property_type", v("property_type"), w("property_types"), v("property_type").isNull()),
+        member("property_type", v("of_kind"), w("property_types"), v("of_kind").isNull()),
         F.when(place & ~inside & nowhere, "location unknown").when(place & ~inside, "outside areas"),
-        member("furnished", v("furnished"), w("furnished"), F.coalesce(v("furnished"), F.lit("unknown")) == "unknown"),
+        member("furnished", v("as_furnished"), w("furnished"), F.coalesce(v("as_furnished"), F.lit("unknown")) == "unknown"),
         flag("pets_allowed"), flag("bills_included"),
         F.when(dated & date.isNull(), "availability unknown").when(date > w("available_before"), "available too late").when(date < w("available_after"), "available too early"),
         F.when(w("tenancy_max").isNotNull() & v("min_tenancy_months").isNull(), "tenancy unknown").when(v("min_tenancy_months") > w("tenancy_max"), "tenancy too long"),
@@ -54,36 +54,76 @@ def complete(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in df.columns})
 
 
+def offers(listings: DataFrame) -> DataFrame:
+    """Listings with all columns that ``reason`` reads."""
+    return complete(listings, QUALITIES).withColumns({"at_district": F.upper("postcode_district"), "of_kind": F.lower("property_type"), "as_furnished": F.lower("furnished")})
+
+
+def wishes(subs: DataFrame) -> DataFrame:
+    """Subscriptions with all columns that ``reason`` reads, their lists distinct, without nulls and in one letter case."""
+    tidy = lambda c, f: F.array_distinct(F.filter(F.transform(c, f), lambda x: x.isNotNull())) if c in subs.columns else F.col(c)
+    return complete(subs, WISHES).withColumns({"districts": tidy("districts", F.upper), "property_types": tidy("property_types", F.lower), "furnished": tidy("furnished", F.lower), "zones": tidy("zones", lambda x: x)})
+
+
 #: The listing columns that each wish looks at.
 LOOKS_AT = {"price_min": ["price_pcm"], "price_max": ["price_pcm"], "bedrooms_min": ["bedrooms"], "bedrooms_max": ["bedrooms"], "property_types": ["property_type"], "districts": ["postcode_district", "tfl_zone"], "zones": ["postcode_district", "tfl_zone"], "furnished": ["furnished"], "pets_allowed": ["pets_allowed"], "bills_included": ["bills_included"], "available_before": ["available_from"], "available_after": ["available_from"], "tenancy_max": ["min_tenancy_months"], "direct_only": ["is_landlord_direct"]}
 
 
+#: Hexadecimal digits of a price, and parts in which wholly open filters meet the listings.
+DIGITS, OPEN_PARTS = 8, 16
+
+
+def _tokens_of_listing() -> Column:
+    """What a listing can be found by: its district, zone, price prefix at each digit, kind, furnishing, and its open part."""
+    price = F.greatest(F.col("price_pcm").cast("long"), F.lit(0))
+    prefix = [F.concat(F.lit(f"price {i} "), F.shiftright(price, 4 * i).cast("string")) for i in range(DIGITS)]
+    return F.array_compact(F.array(
+        F.concat(F.lit("district "), "at_district"), F.concat(F.lit("zone "), F.col("tfl_zone").cast("string")), *prefix,
+        F.concat(F.lit("kind "), "of_kind"), F.concat(F.lit("furnished "), "as_furnished"),
+        F.concat(F.lit("open "), F.pmod(F.xxhash64("source_key", "external_id"), F.lit(OPEN_PARTS)).cast("string")),
+    ))
+
+
+def _tokens_of_subscription() -> Column:
+    """The tokens that a subscription looks for: its areas; without one the prefixes that make up the prices under its
+    ceiling (each price has exactly one of them); without one its kinds or furnishings; else every open part."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    named = lambda name, values: F.transform(values, lambda x: F.concat(F.lit(name + " "), x.cast("string")))
+    none = F.array().cast("array<string>")
+    areas = F.concat(
+        F.when(some("districts"), named("district", F.col("districts"))).otherwise(none),
+        F.when(some("zones"), named("zone", F.col("zones"))).otherwise(none),
+    )
+    end = F.greatest(F.col("price_max").cast("long"), F.lit(0)) + 1
+    digit = lambda i: F.shiftright(end, 4 * i).bitwiseAND(F.lit(15))
+    below = lambda i: named(f"price {i}", F.transform(F.sequence(F.lit(0), digit(i) - 1), lambda x: F.shiftright(end, 4 * i + 4) * 16 + x))
+    prices = F.concat(*[F.when(digit(i) > 0, below(i)).otherwise(none) for i in range(DIGITS)])
+    return (
+        F.when(some("districts") | some("zones"), areas).when(F.col("price_max").isNotNull(), prices)
+        .when(some("property_types"), named("kind", F.col("property_types"))).when(some("furnished"), named("furnished", F.col("furnished")))
+        .otherwise(named("open", F.sequence(F.lit(0), F.lit(OPEN_PARTS - 1))))
+    )
+
+
 def match(listings: DataFrame, subs: DataFrame) -> DataFrame:
-    """(subscription_id, listing id columns) pairs that satisfy every criterion.
+    """(subscription_id, user_id, listing id columns, first_seen_at, postcode_district) of all pairs that satisfy every
+    criterion.
 
-    Subscriptions with districts or zones meet listings in equi-joins on the exploded area, so a pair is formed only where
-    the area agrees. Those without an area must look at every listing; their price ceiling, bucketed by hundreds of
-    pounds, still makes that an equi-join whenever they name one (each side of a bucket once), and only wholly open
-    filters are compared with all listings.
+    One equi-join on tokens: both sides name what they can be found by, so that a pair is formed only where an area, a part
+    of the price range, a kind or a furnishing agrees. A filter without any of these looks at every listing, in parts.
     """
-    l = complete(listings, QUALITIES).withColumn("lid", F.struct("source_key", "external_id"))
-    s = complete(subs, WISHES)
-    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
-    by_district = s.where(some("districts")).withColumn("area", F.explode(F.array_distinct(F.transform("districts", lambda x: F.upper(x)))))
-    by_zone = s.where(some("zones")).withColumn("area", F.explode(F.array_distinct("zones")))
-    pair = lambda df: df.where(reason().isNull()).select(F.col("s.id").alias("subscription_id"), F.col("s.user_id").alias("user_id"), F.col("l.source_key").alias("source_key"), F.col("l.external_id").alias("external_id"), F.col("l.first_seen_at").alias("first_seen_at"))
-    found = pair(l.alias("l").join(by_district.alias("s"), F.upper(F.col("l.postcode_district")) == F.col("s.area")))
-    zoned = pair(l.alias("l").join(by_zone.alias("s"), F.col("l.tfl_zone") == F.col("s.area")))
-    open_ = s.where(~some("districts") & ~some("zones"))
-    priced = open_.where(F.col("price_max").isNotNull()).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.col("price_max") / 100)).cast("int"))))
-    ceiling = pair(l.withColumn("bucket", F.floor(F.col("price_pcm") / 100).cast("int")).alias("l").join(priced.alias("s"), "bucket"))
-    unpriced = pair(l.alias("l").join(open_.where(F.col("price_max").isNull()).alias("s"), F.lit(True)))
-    return found.unionByName(zoned).distinct().unionByName(ceiling).unionByName(unpriced)
+    width = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l = offers(listings).repartition(width).withColumn("token", F.explode(_tokens_of_listing()))  # few bytes, but each row makes many pairs
+    s = wishes(subs).withColumn("token", F.explode(_tokens_of_subscription()))
+    both = l.alias("l").join(s.alias("s"), F.col("l.token") == F.col("s.token")).where(reason().isNull())
+    # A pair that meets in its district and its zone counts once.
+    twice = F.col("s.token").startswith("zone ") & F.coalesce(F.array_contains("s.districts", F.col("l.at_district")), F.lit(False))
+    return both.where(~twice).select(F.col("s.id").alias("subscription_id"), "s.user_id", "l.source_key", "l.external_id", "l.first_seen_at", "l.postcode_district")
 
 
 def explain(listings: DataFrame, subs: DataFrame) -> DataFrame:
     """Every pair of two small tables with its first failing reason (null: a match)."""
-    both = complete(listings, QUALITIES).alias("l").join(complete(subs, WISHES).alias("s"), F.lit(True))
+    both = offers(listings).alias("l").join(wishes(subs).alias("s"), F.lit(True))
     return both.select(F.col("s.id").alias("subscription_id"), F.col("l.source_key").alias("source_key"), F.col("l.external_id").alias("external_id"), reason().alias("reason"))
 
 
@@ -93,12 +133,12 @@ def refusals(listings: DataFrame, subs: DataFrame) -> DataFrame:
     Listings are counted by the values that the wishes of ``subs`` look at, subscriptions by their wishes; only these
     distinct groups meet, and their counts multiply.
     """
-    wishes = [c for c in WISHES if c in subs.columns]
-    looked = sorted({q for c in wishes for q in LOOKS_AT[c] if q in listings.columns})
+    wished = [c for c in WISHES if c in subs.columns]
+    looked = sorted({q for c in wished for q in LOOKS_AT[c] if q in listings.columns})
     l = listings.groupBy(*looked).agg(F.count(F.lit(1)).alias("listings"))
-    s = subs.groupBy(*wishes).agg(F.count(F.lit(1)).alias("subscriptions"))
+    s = subs.groupBy(*wished).agg(F.count(F.lit(1)).alias("subscriptions"))
     l = l.repartition(int(l.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but each row meets all of s
-    both = complete(l, QUALITIES).alias("l").join(F.broadcast(complete(s, WISHES)).alias("s"), F.lit(True))
+    both = offers(l).alias("l").join(F.broadcast(wishes(s)).alias("s"), F.lit(True))
     return both.groupBy(reason().alias("reason")).agg(F.sum(F.col("l.listings") * F.col("s.subscriptions")).alias("n")).where("n > 0")
 
 
@@ -128,6 +168,52 @@ def queue(pairs: DataFrame, outbox: DataFrame, sent: DataFrame) -> DataFrame:
     return fresh.withColumn("place", place).where(F.col("place") + F.coalesce("sent", F.lit(0)) <= F.col("cap")).select("user_id", "subscription_id", *listing, "place")
 
 
+#: Share of the listings, earliest first, in which most users' first filters reach the cap.
+EARLY = 1 / 16
+
+
+def queue_matches(listings: DataFrame, subs: DataFrame, outbox: DataFrame, sent: DataFrame) -> DataFrame:
+    """``queue`` of the eligible matches, without forming all of them.
+
+    A user's oldest filter comes first and takes listings in the order of their first sight. Where it finds the whole cap
+    in the earliest EARLY of the listings, no other pair of this user can be queued; only the other users meet all
+    listings.
+    """
+    listing = ["source_key", "external_id"]
+    seen = F.unix_micros("first_seen_at")
+    edge = listings.agg(F.percentile_approx(seen, EARLY, 1000).alias("edge"))  # one row
+    early = listings.join(F.broadcast(edge)).where(F.col("first_seen_at").isNull() | (seen <= F.col("edge"))).drop("edge")
+    oldest = subs.groupBy("user_id").agg(F.min("id").alias("id"))
+    near = eligible(match(early, subs.join(oldest, ["user_id", "id"], "left_semi")), subs)
+    fresh = near.join(outbox.select("user_id", *listing), ["user_id", *listing], "left_anti").dropDuplicates(["user_id", *listing])
+    done = fresh.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.first("cap").alias("cap")).join(sent, "user_id", "left")
+    done = done.where(F.col("n") + F.coalesce("sent", F.lit(0)) >= F.col("cap")).select("user_id")
+    rest = subs.join(done, "user_id", "left_anti")
+    pairs = near.join(done, "user_id", "left_semi").unionByName(eligible(match(listings, rest), rest))
+    return queue(pairs, outbox, sent)
+
+
+def fold_caps(pairs: DataFrame, sent: DataFrame) -> DataFrame:
+    """Queued pairs where a user's filters have caps of their own: filters in order of id, each takes listings in order of
+    (first_seen_at, source_key, external_id) while the user's tally is below its cap; a listing goes out once a user."""
+    listing = ["source_key", "external_id"]
+    tally = pairs.join(sent, "user_id", "left").fillna(0, ["sent"])
+
+    def fold(pdf):
+        pdf = pdf.sort_values(["subscription_id", "first_seen_at", *listing], na_position="first", kind="stable")
+        told, taken, keep = int(pdf["sent"].iat[0]), set(), []
+        for key, cap in zip(zip(pdf["source_key"], pdf["external_id"], strict=True), pdf["cap"], strict=True):
+            new = told < cap and key not in taken
+            keep.append(new)
+            if new:
+                taken.add(key)
+                told += 1
+        return pdf.loc[keep, ["user_id", "subscription_id", *listing]]
+
+    kinds = dict(pairs.dtypes)
+    return tally.groupBy("user_id").applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in ["user_id", "subscription_id", *listing]))
+
+
 # Receipts (fixed values: retry and batch limits, and what a code means).
 MAX_ATTEMPTS, BATCH = 5, 50
 

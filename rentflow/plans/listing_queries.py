@@ -257,8 +257,7 @@ def match_pairs(spark, sf_dir):
 
 @query(f"{MATCH_SQL} SELECT postcode_district, count(*) AS matches, count(DISTINCT subscription_id) AS subscriptions FROM pairs GROUP BY postcode_district", "raw_listing", "subscription")
 def match_by_district(spark, sf_dir):
-    found = pairs(spark, sf_dir).join(listing(spark, sf_dir).select("source_key", "external_id", "postcode_district"), ["source_key", "external_id"])
-    return found.groupBy("postcode_district").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("subscription_id").alias("subscriptions"))
+    return pairs(spark, sf_dir).groupBy("postcode_district").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("subscription_id").alias("subscriptions"))
 
 
 @query(f"{MATCH_SQL} SELECT source_key, external_id, count(*) AS subscriptions FROM pairs GROUP BY ALL", "raw_listing", "subscription")
@@ -313,8 +312,8 @@ pl AS (SELECT f.*, coalesce(sent, 0) AS sent, row_number() OVER (PARTITION BY us
 
 @query(f"{QUEUE_SQL} SELECT user_id, subscription_id, source_key, external_id, place FROM pl WHERE place + sent <= cap", "raw_listing", "subscription", "receipt")
 def alerts_queued(spark, sf_dir):
-    found = M.eligible(pairs(spark, sf_dir), subs(spark, sf_dir))
-    return M.queue(found, prior(spark, sf_dir), M.sent_today(prior(spark, sf_dir), F.expr(NOW)))
+    before = prior(spark, sf_dir)
+    return M.queue_matches(listing(spark, sf_dir), subs(spark, sf_dir), before, M.sent_today(before, F.expr(NOW)))
 
 
 @query(f"{QUEUE_SQL} SELECT user_id, count(*) AS queued FROM pl WHERE place + sent <= cap GROUP BY user_id", "raw_listing", "subscription", "receipt")
@@ -324,11 +323,10 @@ def alerts_capped(spark, sf_dir):
 
 @query(f"{QUEUE_SQL} SELECT (SELECT count(*) FROM pairs) AS matched, (SELECT count(*) FROM el) AS eligible, (SELECT count(*) FROM pl WHERE place + sent <= cap) AS queued", "raw_listing", "subscription", "receipt")
 def match_counters(spark, sf_dir):
-    found = pairs(spark, sf_dir)
-    ok = M.eligible(found, subs(spark, sf_dir))
-    queued = M.queue(ok, prior(spark, sf_dir), M.sent_today(prior(spark, sf_dir), F.expr(NOW)))
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return n(found, "matched").join(n(ok, "eligible")).join(n(queued, "queued"))
+    late = ~F.coalesce(F.col("first_seen_at") <= F.col("backfill_from"), F.lit(False))
+    s = subs(spark, sf_dir).select(F.col("id").alias("subscription_id"), "backfill_from")
+    both = pairs(spark, sf_dir).join(s, "subscription_id").agg(F.count(F.lit(1)).alias("matched"), F.count_if(late).alias("eligible"))
+    return both.join(alerts_queued(spark, sf_dir).agg(F.count(F.lit(1)).alias("queued")))
 
 
 # Outbox -------------------------------------------------------------------------------------------------------------
