@@ -301,3 +301,45 @@ def changed(now: DataFrame, before: DataFrame, key: str, body: str) -> DataFrame
     """Pages whose (key, content hash) the previous snapshot doesn't have."""
     hashed = lambda df: df.withColumn("content", F.sha2(F.coalesce(F.col(body), F.lit("")), 256))
     return hashed(now).join(hashed(before).select(key, "content"), [key, "content"], "left_anti")
+
+
+def sitemap_plan(index: str, children: list[str], mode: str, spark) -> DataFrame:
+    """(url, kind): the sitemap index, in a sweep also the children that are known by name."""
+    rows = [(index, "index"), *((c, "child") for c in children if mode == "sweep")]
+    return spark.createDataFrame(rows, "url string, kind string")
+
+
+def follow_children(entries: DataFrame, bodies: DataFrame, body: str) -> DataFrame:
+    """Entries of the child sitemaps that ``entries`` (url, kind) name, one level down, by their bodies (url, body)."""
+    named = entries.where(F.col("kind") == "child").select("url").distinct()
+    return sitemap_urls(bodies.join(named, "url").withColumnRenamed("url", "parent"), body, ["parent"])
+
+
+#: Rules of result cards on a search page: the id in the anchor's name, the address.
+CARD_RULES = {"external_id": {"sel": "a[id^=prop]", "attr": "id", "regex": r"prop(\d+)"}, "address_raw": {"sel": "address"}}
+
+
+def card_tasks(cards: DataFrame, known: DataFrame, scope: list[str], base: str) -> DataFrame:
+    """(external_id, url) of result cards (external_id, address_raw) that aren't known and whose address names a district
+    in scope, or none; one a listing."""
+    from ..functions.geo import outward_from_address
+
+    outward = outward_from_address(F.coalesce("address_raw", F.lit("")))
+    fresh = cards.where(F.coalesce("external_id", F.lit("")) != "").join(known.select("external_id"), "external_id", "left_anti").where(outward.isNull() | outward.isin(scope))
+    return fresh.select("external_id").distinct().withColumn("url", listing_url(base, F.col("external_id")))
+
+
+def listing_url(base: str, external_id: Column) -> Column:
+    return F.concat(F.lit(f"{base}/properties/"), external_id)
+
+
+def first_link(body: Column, pattern: str, base: str) -> Column:
+    """The first part of the body that looks like a listing's link, made absolute; null without one."""
+    found = F.regexp_substr(body, F.lit(pattern))
+    return F.when(found.startswith("http"), found).otherwise(F.concat(F.lit(base), found))
+
+
+def failures(results: DataFrame) -> DataFrame:
+    """Responses (target, status, body_len, verdict, ordinal) that were tried and didn't succeed, one of a kind."""
+    bad = results.where(~F.col("verdict").startswith("200/OK") & (F.col("verdict") != "SKIPPED(robots)"))
+    return bad.groupBy("target", "status", "body_len").agg(F.min_by("verdict", "ordinal").alias("verdict"), F.min("ordinal").alias("ordinal"))

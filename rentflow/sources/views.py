@@ -57,8 +57,89 @@ SELECT event_id AS id, concat('src', CAST(user_id % 7 AS STRING)) AS source_key,
 FROM {events}
 """
 
+SOURCE = """
+SELECT s_suppkey AS id, concat('src', CAST(s_suppkey AS STRING)) AS source_key, s_name AS display_name, s_suppkey % 4 <> 0 AS enabled,
+       CASE s_suppkey % 5 WHEN 0 THEN 'blocked' WHEN 1 THEN 'broken' WHEN 2 THEN 'degraded' ELSE 'ok' END AS health,
+       CASE s_suppkey % 5 WHEN 0 THEN 'refusal' WHEN 1 THEN 'low fill' END AS health_note,
+       CASE WHEN s_suppkey % 5 = 0 THEN TIMESTAMP '2024-01-12 00:00:00' + INTERVAL '1' HOUR * (s_suppkey % 24) END AS health_until,
+       CAST(s_suppkey % 6 AS INT) AS consecutive_fails
+FROM {supplier}
+"""
+
+LOCATION = """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN 'city' ELSE 'postcode_district' END AS kind, concat('D', CAST(c_custkey AS STRING)) AS code,
+       CAST(c_custkey % 3 + 1 AS INT) AS zone_min, CAST(c_custkey % 3 + 1 + c_custkey % 2 AS INT) AS zone_max, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS lat
+FROM {customer}
+"""
+
+SOURCE_LOCATION = """
+SELECT concat('src', CAST(o_orderkey % 10 + 1 AS STRING)) AS source_key, o_custkey AS location_id, concat('x', CAST(o_custkey AS STRING)) AS external_id,
+       max(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) = 1 AS enabled
+FROM {orders} GROUP BY 1, 2, 3
+"""
+
+ZONE_LIST = """
+SELECT CAST(o_orderkey % 3 + 1 AS INT) AS zone, concat('D', CAST(o_custkey AS STRING)) AS code FROM {orders}
+"""
+
+SCHEDULE = """
+SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'sweep' WHEN 1 THEN 'hot' ELSE 'drain' END AS job,
+       CASE WHEN s_suppkey % 3 <> 2 THEN concat('src', CAST(s_suppkey AS STRING)) END AS source_key, s_suppkey % 7 <> 0 AS enabled,
+       CAST((s_suppkey % 40) * 30 AS INT) AS interval_seconds, CAST(s_suppkey % 60 - 2 AS INT) AS jitter_pct,
+       TIMESTAMP '2024-01-12 00:00:00' + INTERVAL '1' MINUTE * ((s_suppkey * 37) % 1440) AS next_run_at,
+       CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'failed' ELSE 'ok' END AS last_status, CAST(s_suppkey % 5 AS INT) AS consecutive_fails
+FROM {supplier}
+"""
+
+SUBSCRIBER = """
+SELECT CAST(floor(c_custkey / 2) AS BIGINT) AS id,
+       CASE floor(c_custkey / 2) % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'stopped' WHEN 2 THEN 'blocked' ELSE 'active' END AS status,
+       TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * c_custkey AS created_at,
+       CASE WHEN floor(c_custkey / 2) % 14 <> 0 THEN TIMESTAMP '2024-01-12 00:00:00' + INTERVAL '1' MINUTE * ((c_custkey * 31) % 1440) END AS token_expires_at
+FROM {customer} WHERE c_custkey % 2 = 0
+"""
+
+USER_CHANNEL = """
+SELECT CAST(floor(c_custkey / 2) AS BIGINT) AS user_id, CASE c_custkey % 2 WHEN 0 THEN 'telegram' ELSE 'email' END AS channel,
+       CASE WHEN c_custkey % 11 <> 3 THEN concat('chat', CAST(c_custkey AS STRING)) END AS address, c_custkey % 2 = floor(c_custkey / 2) % 2 AS is_primary
+FROM {customer}
+"""
+
+CHANNEL = """
+SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN 'telegram' WHEN 1 THEN 'email' ELSE 'sms' END AS channel, c_custkey % 3 <> 2 AS enabled, c_custkey % 3 = 0 AS implemented
+FROM {customer}
+"""
+
+NOTIFICATION = """
+SELECT event_id AS id, user_id, CASE WHEN event_id % 2 = 1 THEN 'direct' ELSE 'agent' END AS source_key, CAST(event_id % 1000 + 1 AS STRING) AS external_id, ts AS created_at,
+       CASE event_type WHEN 'purchase' THEN 'sent' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'queued' WHEN 'view' THEN 'queued' ELSE 'skipped' END AS status,
+       CAST(event_id % 6 AS INT) AS attempts, CASE event_type WHEN 'error' THEN '403: blocked' WHEN 'view' THEN '429: slow down' END AS error,
+       CASE event_id % 5 WHEN 0 THEN 'welcome' WHEN 1 THEN 'price_drop' WHEN 2 THEN 'other' ELSE 'new_listing' END AS kind,
+       CASE event_id % 9 WHEN 0 THEN 'email' WHEN 1 THEN 'sms' ELSE 'telegram' END AS channel
+FROM {events}
+"""
+
+JOB_RUN = """
+SELECT CAST(floor(event_id / 10) AS BIGINT) AS id, min(ts) AS started_at, max(ts) AS finished_at,
+       CASE max(CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 1 ELSE 0 END) WHEN 2 THEN 'failed' WHEN 1 THEN 'degraded' ELSE 'ok' END AS status
+FROM {events} GROUP BY 1
+"""
+
+RULE_VERSION = """
+SELECT p_partkey AS id, concat('src', CAST(p_partkey % 50 AS STRING)) AS source_key, CASE WHEN p_partkey % 100 < 50 THEN 'detail' ELSE 'search_list' END AS page_kind,
+       CAST(floor(p_partkey / 100) + 1 AS INT) AS version, concat('layout', CAST(p_partkey % 3 AS STRING)) AS layout_fingerprint,
+       CASE p_partkey % 4 WHEN 0 THEN 'dom' WHEN 1 THEN 'jsonld' ELSE 'next_data' END AS strategy,
+       CASE WHEN floor(p_partkey / 100) = 1 AND p_partkey % 6 <> 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 'pinned' ELSE 'active' END WHEN floor(p_partkey / 100) > 4 THEN 'proposed' ELSE 'retired' END AS status,
+       CASE WHEN p_partkey % 2 = 0 THEN 'human' ELSE 'model' END AS created_by
+FROM {part}
+"""
+
 #: Name, SQL, and the one table that each view reads.
-VIEWS = {"raw_listing": (RAW_LISTING, "part"), "subscription": (SUBSCRIPTION, "customer"), "sighting": (SIGHTING, "orders"), "receipt": (RECEIPT, "events"), "run_event": (RUN, "events")}
+VIEWS = {
+    "raw_listing": (RAW_LISTING, "part"), "subscription": (SUBSCRIPTION, "customer"), "sighting": (SIGHTING, "orders"), "receipt": (RECEIPT, "events"), "run_event": (RUN, "events"),
+    "source": (SOURCE, "supplier"), "location": (LOCATION, "customer"), "source_location": (SOURCE_LOCATION, "orders"), "zone_list": (ZONE_LIST, "orders"), "schedule": (SCHEDULE, "supplier"),
+    "subscriber": (SUBSCRIBER, "customer"), "user_channel": (USER_CHANNEL, "customer"), "channel": (CHANNEL, "customer"), "notification": (NOTIFICATION, "events"), "job_run": (JOB_RUN, "events"), "rule_version": (RULE_VERSION, "part"),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
