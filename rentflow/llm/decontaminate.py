@@ -20,12 +20,13 @@ BROADCAST_ROWS = 500_000
 
 def _shingles(df: DataFrame, keep: list[str], text_col: str, strings: bool) -> DataFrame:
     """A row for each shingle, repeated ones too: kept columns, doc_n (an upper bound of the distinct ones), h[, shingle]."""
-    w = df.select(*keep, words(F.col(text_col)).alias("w")).where(F.size("w") >= SHINGLE_WORDS)
+    w = df.select(*keep, words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
-    w = w.select(*keep, *(["w"] if strings else []), "hw", F.explode(F.sequence(F.lit(0), F.size("hw") - SHINGLE_WORDS)).alias("i"))
-    at = [F.get("hw", F.col("i") + j) for j in range(SHINGLE_WORDS)]
+    many = F.greatest(F.size("hw") - SHINGLE_WORDS + 1, F.lit(1))
+    w = w.select(*keep, *(["w"] if strings else []), "hw", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"))
+    at = [F.get("hw", F.col("i") + j) for j in range(SHINGLE_WORDS)]  # null beyond the end of a shorter text
     said = [F.array_join(F.slice("w", F.col("i") + 1, SHINGLE_WORDS), " ").alias("shingle")] if strings else []
-    return w.select(*keep, (F.size("hw") - SHINGLE_WORDS + 1).alias("doc_n"), F.xxhash64(*at).alias("h"), *said)
+    return w.select(*keep, many.alias("doc_n"), F.xxhash64(*at).alias("h"), *said)
 
 
 def _need(q: Column) -> Column:
@@ -40,8 +41,8 @@ def _small(df: DataFrame) -> DataFrame:
 def contained(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """Pairs (``doc_id``, ``item_id``, n_item, n_shared, containment) with containment >= 0.8, each once.
 
-    Null and empty texts, and items or documents of fewer than five words, hold and match nothing. Rows with a null id take
-    no part. Rows that repeat an id count as one text with the shingles of all of them. Empty tables give no rows. Only the
+    Null, empty and wordless texts hold and match nothing; a text of one to four words is one shingle. Rows with a null id
+    take no part. Rows that repeat an id count as one text with the shingles of all of them. Empty tables give no rows. Only the
     named columns are read.
     """
     item = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull())
@@ -56,8 +57,9 @@ def contained(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, ite
     candidates = materialise(met.where(F.col("doc_n") >= F.col("part_need")).select("doc", "item").distinct(), "candidates")
 
     found = doc.join(_small(candidates.select("doc").distinct()), "doc", "left_semi")
-    said = _shingles(found, ["doc"], "text", strings=True).select("doc", "h", F.col("shingle").alias("doc_shingle"))
-    shared = said.join(_small(item), "h").where(F.col("doc_shingle") == F.col("shingle"))
-    shared = shared.groupBy("doc", "item", "q", "h", "shingle").agg(F.lit(1)).groupBy("doc", "item", "q").agg(F.count(F.lit(1)).alias("n_shared"))
-    exact = shared.join(candidates, ["doc", "item"], "left_semi").where(F.col("n_shared") >= _need(F.col("q")))
+    said = _shingles(found, ["doc"], "text", strings=True).select("doc", "h", "shingle").distinct()
+    # Only the shingles of a document's own candidates meet the document.
+    asked = candidates.join(_small(item.select("item", "q", "h", "shingle")), "item")
+    shared = said.join(asked, ["doc", "h", "shingle"]).groupBy("doc", "item", "q").agg(F.count(F.lit(1)).alias("n_shared"))
+    exact = shared.where(F.col("n_shared") >= _need(F.col("q")))
     return exact.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("q").alias("n_item"), "n_shared", F.round(F.col("n_shared") / F.col("q"), 9).alias("containment"))

@@ -6,7 +6,7 @@ branching part of the tries, all that any prefix length in use can match. Matchi
 that share a prefix are verified exactly, and the verified links tell how many more a pair of their similarity leaves
 unmatched at this length; while that is more than the target recall allows, prefixes are shortened by one value.
 
-Candidates are put in order of (smallest id met in a trie, set size, id) and cut into blocks. Two blocks are compared if
+Candidates are put in order of (smallest id met along shared nodes, set size, id) and cut into blocks. Two blocks are compared if
 members of them share a trie node and their sizes allow the threshold; a task hands on counts, a spanning forest of what
 it verified and the expected misses, never the pairs.
 """
@@ -39,6 +39,8 @@ TARGET_RECALL = 0.9999
 #: Sets of a block, and shingles that end one early.
 BLOCK = 128
 BLOCK_SHINGLES = 500_000
+#: Times that the smallest id met in a trie is handed on along the nodes, so that sets of one group stand together.
+SPREAD = 3
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -125,17 +127,13 @@ def _branching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.binary()), pa.array([held[1]], pa.int64())], ["label", "id"])
 
 
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of blocks for a task's sorted sets."""
-    block, rows, said = TaskContext.get().partitionId() << 40, 0, 0
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sorted sets with the weight of those before them in the task; BLOCK sets or BLOCK_SHINGLES fill a block."""
+    part, before = TaskContext.get().partitionId(), 0
     for batch in batches:
-        numbers = []
-        for size in batch.column("size").to_pylist():
-            if rows >= BLOCK or (rows and said + size > BLOCK_SHINGLES):
-                block, rows, said = block + 1, 0, 0
-            rows, said = rows + 1, said + size
-            numbers.append(block)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), pa.array(numbers, pa.int64())], ["id", "size", "block"])
+        ends = before + np.cumsum(batch.column("size").to_numpy() + BLOCK_SHINGLES // BLOCK)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), pa.array(np.full(len(ends), part, np.int64)), pa.array(ends)], ["id", "size", "part", "end"])
+        before = int(ends[-1]) if len(ends) else before
 
 
 def _compare(pdf: pd.DataFrame, threshold: float, depth: int) -> pd.DataFrame:
@@ -233,11 +231,19 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
         node = tries.select("id", F.substring("label", 1, depth + 1).alias("node")).distinct()
         shared = node.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         node = materialise(node.join(shared, "node").select("node", "id", "least"), "shared")
-        few = node.groupBy("id").agg(F.min("least").alias("near"))
+        near = node.select("id", F.col("least").alias("near"))
+        for _ in range(SPREAD):
+            least = node.select("id", "node").join(near.groupBy("id").agg(F.min("near").alias("near")), "id").groupBy("node").agg(F.min("near").alias("near"))
+            near = node.select("id", "node").join(least, "node").select("id", "near")
+        few = materialise(near.groupBy("id").agg(F.min("near").alias("near")), "order")
         small = few.count() <= BROADCAST_ROWS
         few = F.broadcast(few) if small else few
         size = own.select("id", "size").join(few, "id").repartitionByRange(tasks, "near", "size", "id").sortWithinPartitions("near", "size", "id")
-        block = materialise(size.select("id", "size").mapInArrow(_blocked, "id long, size long, block long"), "blocks")
+        block = materialise(size.select("id", "size").mapInArrow(_weighed, "id long, size long, part long, end long"), "weights")
+        ends = {r["part"]: r["end"] for r in block.groupBy("part").agg(F.max("end").alias("end")).collect()}  # a row a task
+        starts = [(part, sum(ends[p] for p in ends if p < part)) for part in ends]
+        block = block.join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part").select("id", "size", F.floor((F.col("start") + F.col("end") - 1) / BLOCK_SHINGLES).alias("block"))
+        block = materialise(block, "blocks")
 
         # Pairs of blocks that share a node and whose sizes allow the threshold.
         span = block.groupBy("block").agg(F.struct("block", F.min("size").alias("low"), F.max("size").alias("high")).alias("span"))

@@ -4,8 +4,8 @@ Each tree halves its rows level by level along random directions: a node splits
 level of a tree shares its direction, so that a row is placed in all trees by one matrix product. Trees are as deep as the
 table asks for (about LEAF_ROWS rows a leaf); below the levels that the bounded sample can tell apart, nodes split at the
 median of their level. A query walks all trees at once through one priority queue, ordered by the squared margins summed
-along the path, until it has seen enough leaves; their rows are candidates and are ranked by exact distance. Leaves are
-joined by ids alone; then each vector goes once to the task that measures it against the queries that asked for it.
+along the path, until it has seen enough leaves; their rows are candidates and are ranked by exact distance. Each vector
+is shuffled once, into a block; the queries and their leaves pass by the blocks.
 Equal vectors are one entry with their smallest ids, so a vector that thousands of rows share is one candidate.
 """
 
@@ -30,9 +30,7 @@ LEAF_ROWS = 24
 EFFORT = 110.0
 POWER = 0.45
 #: Entries of a block, the unit in which vectors are measured.
-BLOCK_ROWS = 4096
-#: Queries up to which their vectors are broadcast to their candidates.
-BROADCAST_QUERIES = 20_000
+BLOCK_ROWS = 8192
 
 
 class Forest:
@@ -102,10 +100,11 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _ranked(k: int):
+def _ranked(forest, k: int):
     """Candidates of each query in a block, measured: (query_id, id, score) of the k best of the block.
 
-    Rows come sorted by block; a block's entries (kind 0) precede its queries (kind 1), which pass by batch by batch."""
+    Rows come sorted by block; a block's entries (kind 0) precede its queries (kind 1, with the leaves that they visit),
+    which pass by batch by batch. Only entries in a visited leaf are measured."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, table = None, [], None
@@ -118,20 +117,28 @@ def _ranked(k: int):
                 if mark[a, 0] != block:
                     block, parts, table = mark[a, 0], [], None
                 if mark[a, 1] == 0:
-                    parts.append((rows.column("key").to_numpy(), _vectors(rows.column("v")), rows.column("ids").to_pylist()))
+                    parts.append((_vectors(rows.column("v")), rows.column("numbers").to_pylist()))
                     continue
-                if table is None and parts:
-                    key = np.concatenate([p[0] for p in parts])
-                    order = np.argsort(key, kind="stable")
-                    table = key[order], np.concatenate([p[1] for p in parts])[order], [i for p in parts for i in p[2]], order
-                for query, q, wanted in zip(rows.column("key").to_pylist(), _vectors(rows.column("v")), rows.column("ids").to_pylist(), strict=True):
-                    wanted = np.unique(np.asarray(wanted, np.int64))
-                    begin, end = np.searchsorted(table[0], wanted), np.searchsorted(table[0], wanted, "right")
-                    at = np.concatenate([np.arange(x, y) for x, y in zip(begin, end, strict=True)]) if (end - begin).max(initial=1) > 1 else begin
-                    d = np.sqrt(((table[1][at] - q) ** 2).sum(1))
+                if not parts:
+                    continue
+                if table is None:
+                    x = np.concatenate([p[0] for p in parts])
+                    leaves = forest.value.leaves(x)
+                    order = np.argsort(leaves, axis=None, kind="stable")
+                    table = leaves.ravel()[order], order // leaves.shape[1], x, [i for p in parts for i in p[1]]
+                leaf, row, x, ids = table
+                for query, q, wanted in zip(rows.column("query").to_pylist(), _vectors(rows.column("v")), rows.column("numbers"), strict=True):
+                    wanted = wanted.values.to_numpy()
+                    begin, end = np.searchsorted(leaf, wanted), np.searchsorted(leaf, wanted, "right")
+                    many = end - begin
+                    ends = np.cumsum(many)
+                    if not len(ends) or not ends[-1]:
+                        continue
+                    at = np.unique(row[np.repeat(begin - (ends - many), many) + np.arange(ends[-1])])
+                    d = np.sqrt(((x[at] - q) ** 2).sum(1))
                     n = min(k + 1, len(d)) - 1
                     near = np.flatnonzero(d <= np.partition(d, n)[n])
-                    got = sorted((float(d[i]), j) for i in near for j in table[2][table[3][at[i]]] if j != query)[:k]
+                    got = sorted((float(d[i]), j) for i in near for j in ids[at[i]] if j != query)[:k]
                     found += [(query, j, s) for s, j in got]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["query_id", "id", "score"])
 
@@ -172,41 +179,18 @@ def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: i
     blocks = max(1, -(-n // BLOCK_ROWS))
     tasks = partitions(spark)
 
-    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in range(0, batch.num_rows, 2048):
-                rows = batch.slice(part, 2048)
-                leaves = forest.value.leaves(_vectors(rows.column("v")))
-                key = np.repeat(rows.column("key").to_numpy(), leaves.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), pa.array(key)], ["leaf", "key"])
-
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, query in zip(_vectors(batch.column("v")), batch.column("id").to_numpy(), strict=True):
-                leaves = forest.value.visit(q, many)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(np.full(len(leaves), query))], ["leaf", "query"])
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidate pairs packed as (block, query, distinct entry keys)."""
-        for batch in batches:
-            block, query, key = (batch.column(n).to_numpy() for n in ("block", "query", "key"))
-            order = np.lexsort((key, query, block))
-            block, query, key = block[order], query[order], key[order]
-            new = np.concatenate([[True], (block[1:] != block[:-1]) | (query[1:] != query[:-1])])[: len(key)]
-            keep = new | np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-            block, query, key, new = block[keep], query[keep], key[keep], new[keep]
-            cut = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(query[cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)), pa.int32()), pa.array(key))], ["block", "query", "ids"])
-
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks))
-    members = entries.select("v", "key").mapInArrow(filed, "leaf long, key long")
-    asking = materialise(good(queries).where(F.size("v") == sizes[0]["n"]).dropDuplicates(["id", "v"]).repartition(tasks, "id"), "queries")
-    visits = asking.repartition(tasks, "id").mapInArrow(asked, "leaf long, query long")
-    pairs = members.join(visits, "leaf").select(block.alias("block"), "query", "key").mapInArrow(gathered, "block long, query long, ids array<long>")
-    told = asking.select(F.col("id").alias("query"), "v")
-    pairs = pairs.join(F.broadcast(told) if asking.count() <= BROADCAST_QUERIES else told, "query")
-    both = entries.select(block.alias("block"), F.lit(0).alias("kind"), "key", "v", "ids").unionByName(pairs.select("block", F.lit(1).alias("kind"), F.col("query").alias("key"), "v", "ids"))
-    near = both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_ranked(k), "query_id long, id long, score double")
+            leaves = [np.sort(forest.value.visit(q, many)) for q in _vectors(batch.column("v"))] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(leaves, pa.list_(pa.int64()))], ["query", "v", "numbers"])
+
+    asking = good(queries).where(F.size("v") == sizes[0]["n"]).dropDuplicates(["id", "v"])
+    visits = materialise(asking.repartition(tasks, "id").mapInArrow(asked, "query long, v array<double>, numbers array<long>"), "visits")
+    # The queries are a stated set; each block of entries sees them one after another, and measures what their leaves hold.
+    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    rows = entries.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query"), "v", F.col("ids").alias("numbers"))
+    both = rows.unionByName(visits.select("block", F.lit(1).alias("kind"), "query", "v", "numbers"))
+    near = both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_ranked(forest, k), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "id")
     best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")

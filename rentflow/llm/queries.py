@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import quality, toxicity, urls
 from .common import read
 from .decontaminate import contained
 from .jaccard import near_duplicates
@@ -102,13 +102,13 @@ j AS (
 leaves AS (
   SELECT host, shape, count(*) AS n, count(rule) AS labelled, sum(CASE WHEN rverdict = 'block' THEN 1 ELSE 0 END) AS blocked FROM j GROUP BY host, shape),
 t0 AS (SELECT *, CASE WHEN length(shape) = 0 THEN [''] ELSE string_split(substr(shape, 2), '/') END AS raw, '' AS template FROM leaves),
-s0 AS (SELECT * EXCLUDE (raw), CASE WHEN len(raw) > 4 THEN raw[1:3] || [array_to_string(raw[4:], '/')] ELSE raw END AS parts FROM t0),
+s0 AS (SELECT * EXCLUDE (raw), CASE WHEN len(raw) > {depth} THEN raw[1:{depth} - 1] || [array_to_string(raw[{depth}:], '/')] ELSE raw END AS parts FROM t0),
 %s
 node AS (
   SELECT host, template, (sum(blocked) + 2.0 * (SELECT sum(blocked)::DOUBLE / sum(n) FROM leaves)) / (sum(labelled) + 2.0) AS purity
-  FROM s4 GROUP BY host, template)
-SELECT page_id, j.host, path, rule, coalesce(rverdict, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity
-FROM j JOIN (SELECT host, shape, template FROM s4) USING (host, shape) JOIN node USING (host, template)
+  FROM s{depth} GROUP BY host, template)
+SELECT page_id, j.host, path, rule, coalesce(rverdict, CASE WHEN j.host <> '' AND purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity
+FROM j JOIN (SELECT host, shape, template FROM s{depth}) USING (host, shape) JOIN node USING (host, template)
 """
 
 OP6_LEVEL = r"""
@@ -127,12 +127,12 @@ s{0} AS (
 """
 
 OP8_SQL = r"""
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-ix AS (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw WHERE len(w) >= 5),
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+ix AS (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM iw WHERE len(w) > 0),
 item AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM ix),
 q AS (SELECT item_id, count(*) AS n_item FROM item GROUP BY item_id),
-dx AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5),
+dx AS (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM dw WHERE len(w) > 0),
 doc AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM dx),
 hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc JOIN item USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_item, n_shared, round(n_shared::DOUBLE / n_item, 9) AS containment
@@ -157,6 +157,6 @@ SELECT doc_id, coalesce(root, doc_id) AS class_id, coalesce(l, 0) AS n_links FRO
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_ngram_jaccard_join": OP5_SQL,
-        "op6_url_filters": OP6_SQL % "".join(OP6_LEVEL.format(i, i - 1) for i in range(1, 5)),
+        "op6_url_filters": (OP6_SQL % "".join(OP6_LEVEL.format(i, i - 1) for i in range(1, urls.DEPTH + 1))).replace("{depth}", str(urls.DEPTH)),
         "op8_decontamination": OP8_SQL,
     }

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Levels of the tree; what follows the last level's segment stays joined to it.
 DEPTH = 4
 #: A branching with more children than this, and fewer urls a child than the next, is one variable segment.
@@ -52,8 +54,8 @@ def _labels(leaves: DataFrame) -> DataFrame:
     for level in range(1, DEPTH + 1):
         tree = tree.withColumn("segment", F.try_element_at("parts", F.lit(level)))
         branch = tree.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-        siblings = Window.partitionBy("host", "template")
-        branch = branch.withColumns({"children": F.count(F.lit(1)).over(siblings), "all_n": F.sum("n").over(siblings), "all_labelled": F.sum("labelled").over(siblings), "all_blocked": F.sum("blocked").over(siblings)})
+        sums = branch.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+        branch = branch.join(sums, ["host", "template"])
         rest, rest_blocked = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
         pooled = F.col("all_blocked") / F.col("all_labelled")
         gap = F.abs(F.col("blocked") / F.col("labelled") - rest_blocked / rest)
@@ -62,6 +64,7 @@ def _labels(leaves: DataFrame) -> DataFrame:
         variable = (F.col("children") > MANY_CHILDREN) & (F.col("all_n") < F.col("children") * URLS_PER_CHILD)
         branch = branch.select("host", "template", "segment", F.when(variable | similar, F.lit("*")).otherwise(F.col("segment")).alias("label"))
         tree = tree.join(branch, ["host", "template", "segment"], "left").withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "label"))).drop("label", "segment")
+        tree = materialise(tree, "templates")  # each level reads the one before twice
     return tree.drop("parts")
 
 
@@ -72,7 +75,7 @@ def judge(df: DataFrame, id_col: str, url_col: str, rules: Sequence[tuple[str, s
     whose labelled block rates do not differ significantly, become ``*``. A template whose block share, smoothed towards
     the share of blocked urls in the whole table, reaches ``REJECT_PURITY`` is rejected. A fitting rule has the last word.
 
-    A null url, or one without ``://``, has empty host and path and no labels, so it is allowed. Repeated rows are judged
+    A null url, or one without ``://``, has empty host and path; it has no host to learn about and is allowed. Repeated rows are judged
     alike. An empty table gives no rows. Only the id and the url are read.
     """
     url = F.col(url_col)
@@ -80,13 +83,13 @@ def judge(df: DataFrame, id_col: str, url_col: str, rules: Sequence[tuple[str, s
     pages = pages.withColumn("best", best_rule(rules, F.col("host"), F.col("path")))
     pages = pages.withColumn("shape", F.regexp_replace("path", "[0-9]+", "{n}"))
     block = F.coalesce((F.col("best.verdict") == "block").cast("long"), F.lit(0))
-    leaves = pages.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("best").alias("labelled"), F.sum(block).alias("blocked"))
+    leaves = materialise(pages.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("best").alias("labelled"), F.sum(block).alias("blocked")), "leaves")
     tree = _labels(leaves)
     base = leaves.agg((F.sum("blocked") / F.sum("n")).alias("base"))  # one row
     node = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     node = node.crossJoin(F.broadcast(base)).select("host", "template", ((F.col("blocked") + F.lit(PRIOR_WEIGHT) * F.col("base")) / (F.col("labelled") + F.lit(PRIOR_WEIGHT))).alias("purity"))
     known = tree.select("host", "shape", "template").join(node, ["host", "template"])
-    rejected = F.when(F.col("purity") >= REJECT_PURITY, "block").otherwise("allow")
+    rejected = F.when((F.col("host") != "") & (F.col("purity") >= REJECT_PURITY), "block").otherwise("allow")
     return pages.join(known, ["host", "shape"]).select(
         F.col("row_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", rejected).alias("verdict"), "template", F.round("purity", 9).alias("purity"),
