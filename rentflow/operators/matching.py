@@ -223,21 +223,39 @@ def claim(outbox: DataFrame, limit: int = BATCH) -> DataFrame:
     return outbox.where((F.col("status") == "queued") & (F.col("attempts") < MAX_ATTEMPTS)).orderBy("created_at", "notification_id").limit(limit).withColumn("attempts", F.col("attempts") + 1)
 
 
-def receipt_class(code: Column) -> Column:
-    """Struct (ok, retryable, gone)."""
-    return F.struct((code == 200).alias("ok"), ((code == 429) | (code >= 500)).alias("retryable"), (code == 403).alias("gone"))
+# Codes worth another try (0: no answer), and what says that a recipient is gone.
+RETRYABLE, GONE_CODE, GONE_TEXT = (0, 429, 500, 502, 503, 504), 403, "chat not found"
 
 
-def outcome(code: Column, attempts: Column) -> Column:
-    r = receipt_class(code)
-    return F.when(r["ok"], "sent").when(r["gone"], "failed").when(~r["retryable"], "failed").when(attempts >= MAX_ATTEMPTS, "failed").otherwise("queued")
+def receipt_class(code: Column, text: Column | None = None) -> Column:
+    """Struct (ok, retryable, gone) of a provider's code and description."""
+    said = F.coalesce(F.lower(text).contains(GONE_TEXT), F.lit(False)) if text is not None else F.lit(False)
+    ok = code == 200
+    return F.struct(ok.alias("ok"), code.isin(*RETRYABLE).alias("retryable"), (~ok & ((code == GONE_CODE) | said)).alias("gone"))
+
+
+def outcome(code: Column, attempts: Column, text: Column | None = None) -> Column:
+    r = receipt_class(code, text)
+    return F.when(r["ok"], "sent").when(r["gone"] | ~r["retryable"] | (attempts >= MAX_ATTEMPTS), "failed").otherwise("queued")
+
+
+def error_text(code: Column, attempts: Column, text: Column) -> Column:
+    """What is kept of a message that didn't go out, 500 characters at most."""
+    r = receipt_class(code, text)
+    said = F.concat(code.cast("string"), F.lit(": "), F.coalesce(text, F.lit("unknown error")))
+    gave_up = F.concat(said, F.lit(" (gave up after "), attempts.cast("string"), F.lit(" attempts)"))
+    return F.substring(F.when(~r["ok"], F.when(r["retryable"] & ~r["gone"] & (attempts >= MAX_ATTEMPTS), gave_up).otherwise(said)), 1, 500)
 
 
 def settle(receipts: DataFrame) -> DataFrame:
-    """Each message's next status; after a user is gone, their later messages are skipped."""
+    """Each message's next status and error (of receipts with code, attempts and, if given, text); after a user is gone,
+    their later messages are skipped."""
+    text = F.col("text") if "text" in receipts.columns else F.lit(None).cast("string")
+    gone = receipt_class(F.col("code"), text)["gone"]
     earlier = Window.partitionBy("user_id").orderBy("created_at", "notification_id").rowsBetween(Window.unboundedPreceding, -1)
-    gone_before = F.coalesce(F.max((F.col("code") == 403).cast("int")).over(earlier), F.lit(0)) == 1
-    return receipts.withColumn("status", F.when(gone_before, "skipped").otherwise(outcome(F.col("code"), F.col("attempts"))))
+    gone_before = F.coalesce(F.max(gone.cast("int")).over(earlier), F.lit(0)) == 1
+    status = F.when(gone_before, "skipped").otherwise(outcome(F.col("code"), F.col("attempts"), text))
+    return receipts.withColumn("status", status).withColumn("error", F.when(F.col("status") == "skipped", "recipient unreachable").otherwise(error_text(F.col("code"), F.col("attempts"), text)))
 
 
 def quiet(at: Column, tz: str, start: str, end: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 CHALLENGE = ("captcha", "human verification", "verify that you're not a robot", "verify you are human", "cf-challenge", "just a moment", "are you a robot", "press and hold", "enable javascript and cookies")
 BLOCKED = ("attention required", "incapsula", "incident id", "request unsuccessful", "access denied", "unusual traffic", "reference #", "pardon our interruption")
-VOID = frozenset("area base br col hr img input link meta source".split())
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
 DROPPED = frozenset("script style noscript iframe meta link picture source path defs g circle rect polygon polyline ellipse line mask clippath lineargradient stop filter pattern symbol desc".split())
 KEPT_ATTRIBUTES = frozenset("class id itemprop itemtype role type name content aria-label aria-hidden aria-checked title alt value".split())
 URL_ATTRIBUTES = frozenset("src srcset data-src poster action".split())
@@ -117,10 +117,12 @@ def parse(html: str) -> list:
 
 
 def walk(node: list) -> Iterator[list]:
-    for child in node[2]:
-        if not isinstance(child, str):
-            yield child
-            yield from walk(child)
+    """Elements below a node in document order, however deep."""
+    left = [c for c in reversed(node[2]) if not isinstance(c, str)]
+    while left:
+        child = left.pop()
+        yield child
+        left += [c for c in reversed(child[2]) if not isinstance(c, str)]
 
 
 SELECTOR = re.compile(r"([\w-]+)|\.([\w-]+)|#([\w-]+)|\[([\w:-]+)(?:(\^?=)[\"']?([^\"'\]]*)[\"']?)?\]")
@@ -142,7 +144,15 @@ def selects(node: list, selector: str) -> bool:
 
 
 def text_of(node: list) -> str:
-    return re.sub(r"\s+", " ", "".join(c if isinstance(c, str) else " " + text_of(c) + " " for c in node[2])).strip()
+    said, left = [], list(reversed(node[2]))
+    while left:
+        c = left.pop()
+        if isinstance(c, str):
+            said.append(c)
+        else:
+            said.append(" ")
+            left += [" ", *reversed(c[2])]
+    return re.sub(r"\s+", " ", "".join(said)).strip()
 
 
 def field(item: list, rule: dict) -> str | None:
@@ -232,16 +242,19 @@ class _Reduced:
         self.body = "".join(self.out).replace("><", ">\n<") + "\n"
 
     def visit(self, node: list) -> None:
-        for child in node[2]:
-            if isinstance(child, str):
+        left: list = [(c, False) for c in reversed(node[2])]
+        while left:
+            child, closing = left.pop()
+            if closing:
+                self.out.append(f"</{child}>")
+            elif isinstance(child, str):
                 if said := re.sub(r"\s+", " ", child).strip():
                     self.text += len(said) > self.limit
                     self.out.append(PLACEHOLDER if len(said) > self.limit else said)
             elif child[0] not in DROPPED:
                 self.out.append(f"<{child[0]}{''.join(self.attribute(*a) for a in child[1].items())}>")
-                self.visit(child)
-                if child[0] not in VOID:
-                    self.out.append(f"</{child[0]}>")
+                left += [] if child[0] in VOID else [(child[0], True)]
+                left += [(c, False) for c in reversed(child[2])]
 
     def attribute(self, name: str, value: str | None) -> str:
         if name in FRAGMENT_ATTRIBUTES and (value or "").startswith("#"):

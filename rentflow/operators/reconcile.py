@@ -9,11 +9,21 @@ DELIST_AFTER = 2
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key, by aggregation with a map-side part. Repeats in a batch lose their earlier values."""
+    """The last row of each key, by aggregation with a map-side part; ``batch_changes`` has what happened before it."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
+def batch_changes(incoming: DataFrame, state: DataFrame, keys: list[str], order: list[str], value: str = "price_pcm") -> DataFrame:
+    """(keys, order, old, new) of every change of ``value`` inside a batch: a first sighting is compared with the stored
+    row, a repeated one with the sighting before it; a null carries nothing."""
+    seen = incoming.where(F.col(value).isNotNull())
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
+    rows = seen.withColumn("before", before).join(state.select(*keys, F.col(value).alias("stored")), keys, "left")
+    old = F.coalesce("before", "stored")
+    return rows.where(old != F.col(value)).select(*keys, *order, old.alias("old"), F.col(value).alias("new"))
+
+
 def reconcile(state: DataFrame, incoming: DataFrame, keys: list[str], tracked: list[str], mode: str, health: Column, absent: str = "keep") -> DataFrame:
     """A decision for each key: insert, revive, update, unchanged, miss, delist or hold.
 

@@ -466,3 +466,59 @@ def action_texts(spark, sf_dir):
     links = F.array(F.struct(F.lit("Open").alias("label"), F.col("url").alias("url")), F.struct(F.lit("Stop").alias("label"), F.lit("https://portal.test/stop").alias("url")))
     actions = F.when(F.col("external_id").cast("long") % 2 == 0, links).otherwise(F.slice(links, 1, 0))
     return view(spark, sf_dir, "raw_listing").select("source_key", "external_id", C.with_actions(F.col("title"), actions, 60).alias("text"))
+
+
+RECEIPT_TEXT = "CASE notification_id % 4 WHEN 0 THEN 'Bad Request: Chat not found' WHEN 1 THEN 'slow down' END"
+ODD_CODE = "CAST(CASE WHEN notification_id % 5 = 0 THEN (notification_id // 5) % 8 + 499 WHEN notification_id % 7 = 0 THEN 0 ELSE code END AS INT)"
+ODD_SQL = f""", r AS (SELECT notification_id, user_id, created_at, attempts, {ODD_CODE} AS code, {RECEIPT_TEXT} AS text FROM receipt),
+k AS (SELECT *, code = 200 AS ok, code IN (0, 429, 500, 502, 503, 504) AS retryable, code <> 200 AND (code = 403 OR coalesce(contains(lower(text), 'chat not found'), FALSE)) AS gone FROM r),
+s AS (SELECT *, coalesce(max(gone::INT) OVER (PARTITION BY user_id ORDER BY created_at, notification_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS late FROM k)"""
+
+
+def odd_receipts(spark, sf_dir):
+    """Receipts with all codes around the retried ones, and descriptions."""
+    return view(spark, sf_dir, "receipt").selectExpr("notification_id", "user_id", "created_at", "attempts", ODD_CODE.replace("//", "div") + " AS code", RECEIPT_TEXT + " AS text")
+
+
+@query(f"{ODD_SQL} SELECT code, text, ok, retryable, gone, count(*) AS n FROM k GROUP BY ALL", "receipt")
+def receipt_kinds(spark, sf_dir):
+    from ..operators.matching import receipt_class
+
+    return odd_receipts(spark, sf_dir).select("code", "text", receipt_class(F.col("code"), F.col("text")).alias("r")).groupBy("code", "text", "r.ok", "r.retryable", "r.gone").agg(N)
+
+
+@query(f"""{ODD_SQL} SELECT notification_id, CASE WHEN late THEN 'skipped' WHEN ok THEN 'sent' WHEN gone OR NOT retryable OR attempts >= 5 THEN 'failed' ELSE 'queued' END AS status,
+  CASE WHEN late THEN 'recipient unreachable' WHEN NOT ok THEN code || ': ' || coalesce(text, 'unknown error') || CASE WHEN retryable AND NOT gone AND attempts >= 5 THEN ' (gave up after ' || attempts || ' attempts)' ELSE '' END END AS error FROM s""", "receipt")
+def settled_errors(spark, sf_dir):
+    from ..operators.matching import settle
+
+    return settle(odd_receipts(spark, sf_dir)).select("notification_id", "status", "error")
+
+
+@query("""SELECT external_id, run_day, ordinal, coalesce(before, stored) AS old, price_pcm AS new FROM (SELECT s.*, lag(price_pcm) OVER (PARTITION BY external_id ORDER BY run_day, ordinal) AS before FROM sighting s WHERE run_day >= DATE '1998-01-01') a
+  LEFT JOIN (SELECT external_id, arg_max(price_pcm, (run_day, ordinal)) AS stored FROM sighting WHERE run_day < DATE '1998-01-01' GROUP BY external_id) b USING (external_id) WHERE coalesce(before, stored) <> price_pcm""", "sighting")
+def batch_price_changes(spark, sf_dir):
+    from ..operators.reconcile import batch_changes, latest
+
+    seen = view(spark, sf_dir, "sighting")
+    cut = F.expr("DATE '1998-01-01'")
+    state = latest(seen.where(F.col("run_day") < cut), ["external_id"], ["run_day", "ordinal"])
+    return batch_changes(seen.where(F.col("run_day") >= cut), state, ["external_id"], ["run_day", "ordinal"])
+
+
+WHOLE_SQL = """, old AS (SELECT external_id, arg_max(price_pcm, (run_day, ordinal)) AS price_pcm, count(*) % 2 AS miss_count FROM sighting WHERE run_day < DATE '1998-01-01' GROUP BY external_id),
+new AS (SELECT external_id, arg_max(price_pcm, (run_day, ordinal)) AS price_pcm FROM sighting WHERE run_day >= DATE '1998-01-01' GROUP BY external_id)"""
+
+
+@query(f"""{WHOLE_SQL} SELECT external_id, CASE WHEN o.external_id IS NULL THEN 'insert' WHEN n.external_id IS NOT NULL THEN CASE WHEN o.price_pcm <> n.price_pcm THEN 'update' ELSE 'unchanged' END
+  WHEN o.miss_count + 1 >= 2 THEN 'delist' ELSE 'miss' END AS kind FROM old o FULL JOIN new n USING (external_id)""", "sighting")
+def reconcile_whole(spark, sf_dir):
+    """Every sighting from the cut on against the state before it; customers without an order since are the misses."""
+    from ..operators.reconcile import latest, reconcile
+
+    seen, cut = view(spark, sf_dir, "sighting"), F.expr("DATE '1998-01-01'")
+    before = seen.where(F.col("run_day") < cut)
+    counts = before.groupBy("external_id").agg((F.count(F.lit(1)) % 2).cast("int").alias("miss_count"))
+    state = latest(before, ["external_id"], ["run_day", "ordinal"]).select("external_id", "price_pcm").join(counts, "external_id").withColumn("status", F.lit("active"))
+    incoming = latest(seen.where(F.col("run_day") >= cut), ["external_id"], ["run_day", "ordinal"]).select("external_id", "price_pcm")
+    return reconcile(state, incoming, ["external_id"], ["price_pcm"], "sweep", F.lit("ok")).select("external_id", "kind")
