@@ -1,10 +1,11 @@
 """Quality classifier by co-training: a text view and a metadata view teach each other.
 
 The text view hashes words and word shapes; the metadata view has language, source and counts of characters, lines, marks
-and repeats. Both are logistic regressions, fitted on a bounded sample of labelled rows. In each round every view names the
-unlabelled sample rows that it is surest of, the other view learns from them, and both are fitted anew. Each view's score is
-calibrated on labelled rows that it didn't learn from (Platt), and the calibrated log odds are averaged with weights that
-the same rows give. The fitted views then score all documents.
+and repeats. Both are logistic regressions, fitted on a bounded sample of labelled rows. Features of all documents are
+computed once. In each round both views score all other documents, each names the HANDED rows of either class that it is
+surest of in the whole table, the other view learns from them, and both are fitted anew. Each view's score is calibrated on
+labelled rows that it didn't learn from (Platt), and the calibrated log odds are averaged with weights that the same rows
+give. The fitted views then score all documents.
 """
 
 from __future__ import annotations
@@ -17,20 +18,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FOLDS, materialise
 
-#: Labelled and unlabelled rows that the views are fitted on, at most.
+#: Labelled rows that the views are fitted on, at most.
 LABELLED_ROWS = 6000
-UNLABELLED_ROWS = 4000
 #: Hashed features of the text view and of the metadata view's names.
 TEXT_FEATURES = 1 << 14
 NAME_FEATURES = 64
 ROUNDS = 4
-#: Rows a class that a view hands to the other in a round, as a share of the unlabelled sample, and how sure it must be.
-SHARE = 0.05
+#: Rows a class that a view hands to the other in a round, the surest of all, and how sure it must be.
+HANDED = 200
 SURE = 0.9
 
 WORD = re.compile(r"\w+|[^\w\s]+")
@@ -42,22 +43,16 @@ def _hash(s: str, size: int) -> int:
     return zlib.crc32(s.encode()) % size
 
 
-def text_view(text: str | None) -> tuple[list[int], list[float]]:
-    """Sparse unit vector of hashed words, mark runs and the share of words said before."""
+def text_counts(text: str | None) -> tuple[list[int], list[int], list[float]]:
+    """Hashed words and mark runs with their counts, and the shares of the commonest, of repeats and of marks."""
     found = Counter(WORD.findall(text.lower())) if text else Counter()
-    said: dict[int, float] = {}
+    said: dict[int, int] = {}
     for w, n in found.items():
-        key = w if w[0].isalnum() else "mark " + w[:3]
-        i = _hash(key, TEXT_FEATURES - 8)
-        said[i] = said.get(i, 0) + 1 + np.log(n)
-    size = np.sqrt(sum(v * v for v in said.values())) or 1
+        i = _hash(w if w[0].isalnum() else "mark " + w[:3], TEXT_FEATURES - 8)
+        said[i] = said.get(i, 0) + n
     total = sum(found.values())
-    said = {i: v / size for i, v in said.items()}
-    if total:
-        said[TEXT_FEATURES - 8] = max(found.values()) / total
-        said[TEXT_FEATURES - 7] = 1 - len(found) / total
-        said[TEXT_FEATURES - 6] = sum(n for w, n in found.items() if not w[0].isalnum()) / total
-    return list(said), list(said.values())
+    marks = sum(n for w, n in found.items() if not w[0].isalnum())
+    return list(said), list(said.values()), [max(found.values()) / total, 1 - len(found) / total, marks / total] if total else [0.0] * 3
 
 
 def meta_view(text: str | None, lang: str | None, source: str | None) -> list[float]:
@@ -68,11 +63,29 @@ def meta_view(text: str | None, lang: str | None, source: str | None) -> list[fl
     c = np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) / n
     upper, digits, spaces = c[65:91].sum(), c[48:58].sum(), c[32]
     marks = c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum()
-    numbers = [np.log1p(len(t)) / 10, np.log1p(len(lines)) / 5, len(set(lines)) / len(lines), 1 - digits - spaces - marks, upper, digits, spaces, marks, c[124] * 10, c[33] * 10, float(not t), 1.0]
-    names = [0.0] * NAME_FEATURES
-    names[_hash(f"lang {lang}", NAME_FEATURES)] += 0.3
-    names[_hash(f"source {source}", NAME_FEATURES)] += 0.3
-    return numbers + names
+    return [np.log1p(len(t)) / 10, np.log1p(len(lines)) / 5, len(set(lines)) / len(lines), 1 - digits - spaces - marks, upper, digits, spaces, marks, c[124] * 10, c[33] * 10, float(not t), 1.0]
+
+
+class Rows:
+    """Both views of a batch as flat arrays; text row i has the entries with ``row`` i."""
+
+    def __init__(self, ends: np.ndarray, at: np.ndarray, n: np.ndarray, numbers: np.ndarray, names: np.ndarray) -> None:
+        self.many = len(ends) - 1
+        row = np.repeat(np.arange(self.many), np.diff(ends))
+        w = 1 + np.log(np.maximum(1, n.astype(np.float64)))
+        w /= np.sqrt(np.bincount(row, w * w, self.many))[row]
+        shares = numbers[:, NUMBERS:]
+        self.text = [np.concatenate([row, np.repeat(np.arange(self.many), 3)]), np.concatenate([at.astype(np.int64), np.tile(TEXT_FEATURES - 8 + np.arange(3), self.many)]), np.concatenate([w, shares.ravel()])]
+        every = np.concatenate([np.tile(np.arange(NUMBERS), (self.many, 1)), NUMBERS + names], 1)
+        value = np.concatenate([numbers[:, :NUMBERS], np.full(names.shape, 0.3)], 1)
+        self.meta = [np.repeat(np.arange(self.many), every.shape[1]), every.ravel(), value.ravel()]
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Rows:
+        at = batch.column("at")
+        ends = at.offsets.to_numpy()
+        numbers, names = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("numbers", "names"))
+        return cls(ends - ends[0], at.flatten().to_numpy(), batch.column("n").flatten().to_numpy(), numbers, names)
 
 
 class Logistic:
@@ -81,16 +94,13 @@ class Logistic:
     def __init__(self, size: int) -> None:
         self.w, self.b, self.size = np.zeros(size), 0.0, size
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, steps: int = 150) -> Logistic:
-        at = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, int)
-        value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-        row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
+    def fit(self, row: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150) -> Logistic:
         self.w[:], self.b = 0, 0.0
         scale = np.full(self.size, 1e-8)
         scale_b = 1e-8
         weight = weight / max(1e-9, weight.sum())
         for _ in range(steps):
-            z = np.bincount(row, self.w[at] * value, len(rows)) + self.b
+            z = np.bincount(row, self.w[at] * value, len(y)) + self.b
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
             slope = np.bincount(at, error[row] * value, self.size) + 1e-5 * self.w
             scale += slope * slope
@@ -99,63 +109,44 @@ class Logistic:
             self.b -= 0.5 * error.sum() / np.sqrt(scale_b)
         return self
 
-    def odds(self, at: np.ndarray, value: np.ndarray) -> float:
-        return float(self.w[at] @ value + self.b)
+    def odds(self, row: np.ndarray, at: np.ndarray, value: np.ndarray, many: int) -> np.ndarray:
+        return np.bincount(row, self.w[at] * value, many) + self.b
+
+
+def _p(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 class Views:
-    """The two fitted views with their calibrations; ``score`` combines them."""
+    """The two views with their calibrations."""
 
-    def __init__(self, rows: list[tuple[int, list[int], list[float], list[float], int]]) -> None:
-        """Rows of (label or -1, text indices, text values, metadata, number for the split)."""
-        self.known = [r for r in rows if r[0] >= 0]
+    def __init__(self, rate: float) -> None:
         self.views = [Logistic(TEXT_FEATURES), Logistic(NUMBERS + NAME_FEATURES)]
-        every = np.arange(NUMBERS + NAME_FEATURES)
-        data = [[(np.array(r[1], int), np.array(r[2])) for r in rows], [(every, np.array(r[3])) for r in rows]]
-        label = np.array([r[0] for r in rows], float)
-        tuned = np.array([r[0] >= 0 and r[4] % 4 == 0 for r in rows], bool)  # set aside for the calibration
-        self.platt, self.weight = [(1.0, 0.0), (1.0, 0.0)], [0.5, 0.5]
-        self.one = len(set(label[(label >= 0) & ~tuned])) < 2
-        self.rate = float((label[label >= 0].sum() + 0.5) / ((label >= 0).sum() + 1))
-        if self.one:
+        self.platt, self.weight, self.rate, self.one = [(1.0, 0.0), (1.0, 0.0)], [0.5, 0.5], rate, False
+
+    def odds(self, rows: Rows) -> list[np.ndarray]:
+        return [view.odds(*data, rows.many) for view, data in zip(self.views, (rows.text, rows.meta), strict=True)]
+
+    def fit(self, view: int, rows: Rows, y: np.ndarray, weight: np.ndarray) -> None:
+        """Classes count alike, whatever their shares."""
+        share = np.clip(y.mean(), 0.02, 0.98)
+        self.views[view].fit(*(rows.text, rows.meta)[view], y, np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) * weight)
+
+    def calibrate(self, rows: Rows, y: np.ndarray) -> None:
+        if len(set(y)) < 2:
             return
-        taught = [np.where(tuned, -1, label), np.where(tuned, -1, label)]
-        free = label < 0
-        for turn in range(ROUNDS):
-            odds = []
-            for view, x, y in zip(self.views, data, taught, strict=True):
-                use = np.flatnonzero(y >= 0)
-                share = np.clip(y[use].mean(), 0.02, 0.98)
-                view.fit([x[i] for i in use], y[use], np.where(y[use] == 1, 0.5 / share, 0.5 / (1 - share)) * np.where(label[use] >= 0, 1.0, 0.5))
-                odds.append(np.array([view.odds(*r) for r in x]))
-            if turn == ROUNDS - 1:
-                break
-            for mine, other in ((0, 1), (1, 0)):  # the surest rows of one view become examples of the other
-                sure = 1 / (1 + np.exp(-np.clip(odds[mine], -30, 30)))
-                open_ = np.flatnonzero(free & (taught[other] < 0))
-                most = max(1, int(SHARE * free.sum()))
-                for y in (0, 1):
-                    p = sure[open_] if y else 1 - sure[open_]
-                    best = open_[np.argsort(-p, kind="stable")[:most]]
-                    taught[other][best[(sure[best] if y else 1 - sure[best]) >= SURE]] = y
-        y = label[tuned]
-        if len(set(y)) == 2:
-            loss = []
-            for k in (0, 1):
-                self.platt[k] = _platt(odds[k][tuned], y)
-                a, b = self.platt[k]
-                p = 1 / (1 + np.exp(-np.clip(a * odds[k][tuned] + b, -30, 30)))
-                loss.append(-np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)))
-            inverse = 1 / (np.array(loss) + 1e-6)
-            self.weight = (inverse / inverse.sum()).tolist()
-        self.known = []
-
-    def score(self, at: list[int], value: list[float], meta: list[float]) -> float:
+        loss = []
+        for k, odds in enumerate(self.odds(rows)):
+            self.platt[k] = a, b = _platt(odds, y)
+            p = _p(a * odds + b)
+            loss.append(-np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)))
+        inverse = 1 / (np.array(loss) + 1e-6)
+        self.weight = (inverse / inverse.sum()).tolist()
+
+    def score(self, rows: Rows) -> np.ndarray:
         if self.one:
-            return self.rate
-        odds = [self.views[0].odds(np.array(at, int), np.array(value)), self.views[1].odds(np.arange(len(meta)), np.array(meta))]
-        z = sum(w * (a * o + b) for w, (a, b), o in zip(self.weight, self.platt, odds, strict=True))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            return np.full(rows.many, self.rate)
+        return _p(sum(w * (a * odds + b) for w, (a, b), odds in zip(self.weight, self.platt, self.odds(rows), strict=True)))
 
 
 def _platt(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -168,43 +159,103 @@ def _platt(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def score(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, labels: DataFrame, label_col: str, labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> DataFrame:
+FEATURES = "at array<int>, n array<int>, numbers array<double>, names array<int>"
+
+
+def _surest(features: DataFrame, views: Views, known: set[int], handed: list[set[int]]) -> pa.Table:
+    """The HANDED rows of each class that each view is surest of, in the whole table but for ``known`` ids: (view, y, p,
+    id, features). A task keeps no more of them than that."""
+    model = features.sparkSession.sparkContext.broadcast((views, known, handed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, known, handed = model.value
+        best: dict[tuple[int, int], pa.Table] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_pylist()
+            for view, odds in enumerate(views.odds(Rows.of(batch))):
+                p = _p(odds)
+                free = np.array([i is not None and i not in known and i not in handed[view] for i in ids])
+                for y in (0, 1):
+                    sure = np.where(free, p if y else 1 - p, 0.0)
+                    top = np.argsort(-sure, kind="stable")[:HANDED]
+                    top = top[sure[top] >= SURE]
+                    rows = pa.Table.from_batches([batch.take(pa.array(top))]).append_column("p", pa.array(sure[top], pa.float64()))
+                    both = pa.concat_tables([best[view, y], rows]) if (view, y) in best else rows
+                    best[view, y] = both.sort_by([("p", "descending"), ("id", "ascending")]).slice(0, HANDED)
+        for (view, y), rows in best.items():
+            rows = rows.append_column("view", pa.array([view] * len(rows), pa.int32())).append_column("y", pa.array([y] * len(rows), pa.int32()))
+            yield from rows.select(["view", "y", "p", "id", "at", "n", "numbers", "names"]).combine_chunks().to_batches()
+
+    named = features.mapInArrow(run, f"view int, y int, p double, id {dict(features.dtypes)['id']}, {FEATURES}")
+    place = F.row_number().over(Window.partitionBy("view", "y").orderBy(F.desc("p"), "id"))
+    return named.withColumn("place", place).where(F.col("place") <= HANDED).drop("place").dropDuplicates(["view", "y", "id"]).toArrow()  # 4 x HANDED rows
+
+
+def train(features: DataFrame, labelled: pa.Table) -> Views:
+    """Co-training from labelled rows (label, split, id, features) with all rows of ``features``."""
+    label = labelled["label"].to_numpy().astype(float)
+    tuned = labelled["split"].to_numpy() % 4 == 0  # set aside for the calibration
+    views = Views(float((label.sum() + 0.5) / (len(label) + 1)))
+    views.one = len(set(label[~tuned])) < 2
+    if views.one:
+        return views
+    columns = ["at", "n", "numbers", "names"]
+    base = labelled.filter(pa.array(~tuned)).select(columns)
+    taught = [(base, label[~tuned], np.ones((~tuned).sum()))] * 2
+    known, handed = set(labelled["id"].to_pylist()), [set(), set()]
+    for turn in range(ROUNDS):
+        for view, (rows, y, weight) in enumerate(taught):
+            views.fit(view, Rows.of(rows.combine_chunks().to_batches()[0]), y, weight)
+        if turn == ROUNDS - 1:
+            break
+        found = _surest(features, views, known, handed).sort_by([("view", "ascending"), ("y", "ascending"), ("p", "descending"), ("id", "ascending")])
+        for view in (0, 1):
+            mine = found.filter(pc.equal(found["view"], view))
+            handed[view] |= set(mine["id"].to_pylist())
+            rows, y, weight = taught[1 - view]  # the other view learns from them
+            taught[1 - view] = pa.concat_tables([rows, mine.select(columns)]), np.append(y, mine["y"].to_numpy()), np.append(weight, np.full(len(mine), 0.5))
+    if tuned.any():
+        views.calibrate(Rows.of(labelled.filter(pa.array(tuned)).combine_chunks().to_batches()[0]), label[tuned])
+    return views
+
+
+def score(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, labels: DataFrame, label_col: str, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """Every row's (``id_col``, held_out, score, predicted): the probability of good quality.
 
-    Labels are read from rows of folds 1 to 4 only. At most ``labelled_rows`` labelled and ``unlabelled_rows`` other
-    rows (smallest id hashes) are learned from. Null and empty texts are scored by their metadata and an empty text vector;
+    Labels are read from rows of folds 1 to 4 only, at most ``labelled_rows`` of them (smallest id hashes); every other row
+    is unlabelled and may be named in a round. Null and empty texts are scored by their metadata and an empty text vector;
     null language or source is a name of its own. With labels of one class, or none, every score is the smoothed share. An
-    id labelled twice is good if one of its labels says so. Repeated rows score alike; an empty table gives no rows.
+    id labelled twice is good if one of its labels says so. Repeated rows score alike; an empty table gives no rows. Other
+    columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     kind = dict(rows.dtypes)["id"]
-    draw = F.xxhash64(F.lit("quality"), "id")
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % FOLDS != 0))
-    marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(draw, "id").limit(labelled_rows)
-    named = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    others = rows.where(F.col("id").isNotNull()).select("id").distinct().join(named, "id", "left_anti").orderBy(draw, "id").limit(unlabelled_rows)
-    chosen = materialise(marks.unionByName(others.withColumn("label", F.lit(-1))), "chosen")
-    sample = rows.join(F.broadcast(chosen), "id")  # bounded by the two parameters
+    marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(labelled_rows)
+    marks = materialise(marks, "marks")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = batch.to_pydict()
-            got = [text_view(x) for x in t["text"]]
-            meta = [meta_view(*x) for x in zip(t["text"], t["lang"], t["source"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.float64())), batch.column("split")], ["label", "at", "value", "meta", "split"])
+            got = [text_counts(x) for x in t["text"]]
+            ends = pa.array(np.cumsum([0, *(len(g[0]) for g in got)]), pa.int32())
+            flat = [pa.array([x for g in got for x in g[k]], pa.int32()) for k in (0, 1)]
+            numbers = [[*meta_view(text, lang, source), *g[2]] for text, lang, source, g in zip(t["text"], t["lang"], t["source"], got, strict=True)]
+            names = [[_hash(f"lang {lang}", NAME_FEATURES), _hash(f"source {source}", NAME_FEATURES)] for lang, source in zip(t["lang"], t["source"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, flat[0]), pa.ListArray.from_arrays(ends, flat[1]), pa.array(numbers, pa.list_(pa.float64())), pa.array(names, pa.list_(pa.int32()))], ["id", "at", "n", "numbers", "names"])
 
-    sample = sample.withColumn("split", F.pmod(F.xxhash64(F.lit("split"), "id"), F.lit(1 << 30)))
-    learned = sample.mapInArrow(seen, "label int, at array<int>, value array<double>, meta array<double>, split long").collect()
-    learned = sorted((r["label"], r["at"], r["value"], r["meta"], r["split"]) for r in learned)
-    views = spark.sparkContext.broadcast(Views(learned))
+    features = materialise(rows.mapInArrow(seen, f"id {kind}, {FEATURES}"), "features")
+    chosen = features.join(F.broadcast(marks), "id").withColumn("split", F.pmod(F.xxhash64(F.lit("split"), "id"), F.lit(1 << 30)))  # labelled_rows rows at most
+    labelled = chosen.dropDuplicates(["id"]).toArrow().sort_by("id")
+    views = docs.sparkSession.sparkContext.broadcast(train(features, labelled))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, sources = (batch.column(n).to_pylist() for n in ("text", "lang", "source"))
-            p = [views.value.score(*text_view(t), meta_view(t, g, s)) for t, g, s in zip(texts, langs, sources, strict=True)]
+            p = views.value.score(Rows.of(batch)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p, pa.float64())], ["id", "score"])
 
-    out = rows.mapInArrow(scored, f"id {kind}, score double")
+    out = features.mapInArrow(scored, f"id {kind}, score double")
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % FOLDS == 0, F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
