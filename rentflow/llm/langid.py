@@ -23,8 +23,6 @@ from .common import fold, materialise
 ORDER = 3
 #: Labelled texts a language that the trees are fitted on, at most.
 TEXTS_PER_LANGUAGE = 400
-#: Sightings from which a context of order 2 or 3 gets a row of its own.
-LEAST_SEEN = 4
 START = b"\n" * ORDER
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -57,7 +55,7 @@ class Trees:
             for x in c[ORDER - order : ORDER]:
                 context = context * k + x
             total = np.bincount(context, n, minlength=k**order)
-            rows = np.flatnonzero(total >= (LEAST_SEEN if order > 1 else 1))
+            rows = np.flatnonzero(total)
             base = where[rows % max(1, k ** (order - 1))] if order else np.zeros(len(rows), np.int32)
             own = cost[base]
             new = np.full(k**order, -1, np.int64)

@@ -51,6 +51,7 @@ class Encoder:
         self.ids = {p: i for i, p in enumerate(pieces) if p}
         self.score = {p: scores[i] for p, i in self.ids.items()}
         self.raw = raw
+        self.code = "H" if len(pieces) <= 1 << 16 else "I"  # bytes of an id in memory
         lengths: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 2:
@@ -102,7 +103,7 @@ class Encoder:
                 begin, j = b[j][1], j + 1
 
     def _encode_sorted(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each word's ids (uint16 in bytes), by depth-first traversal: ``last[i]`` is the length of the last piece of the
+        """Each word's ids (in bytes), by depth-first traversal: ``last[i]`` is the length of the last piece of the
         encoding of the word's first i characters."""
         ids, lengths, pairs, agree, none = self.ids, self.lengths, self.pairs, self._agree, ()
         before, last, piece = "", [0], [""]
@@ -137,10 +138,10 @@ class Encoder:
                 i -= last[i]
             out.reverse()
             before = word
-            yield word, array("H", out).tobytes()
+            yield word, array(self.code, out).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
-        """Ids of each text, uint16 in bytes; a text is preceded by one space, as the model asks. Empty: none; null: null."""
+        """Ids of each text, in bytes; a text is preceded by one space, as the model asks. Empty: none; null: null."""
         cut = [self.cut.findall(" " + t) if t else [] for t in texts]
         known = self.words
         counts = Counter(chain.from_iterable(cut))
@@ -204,8 +205,9 @@ def encode(df: DataFrame, text_col: str, model_file: str, ids_col: str = "piece_
         for batch in _slices(batches, "body"):
             texts = batch.column("body").to_pylist()
             found = encoder.encode(texts)
-            ends = np.concatenate([[0], np.cumsum([len(x) // 2 if x else 0 for x in found])]).astype(np.int32)
-            flat = np.frombuffer(b"".join(x for x in found if x), np.uint16).astype(np.int32)
+            kind = np.dtype(encoder.code)
+            ends = np.concatenate([[0], np.cumsum([len(x) // kind.itemsize if x else 0 for x in found])]).astype(np.int32)
+            flat = np.frombuffer(b"".join(x for x in found if x), kind).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in found]))
             same = [not t or encoder.decode(flat[a:b])[1:] == t.encode() for t, a, b in zip(texts, ends, ends[1:], strict=False)] if check_col else []
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in plain), ids, *([pa.array(same, pa.bool_())] if check_col else [])], [*plain, "ids", *(["same"] if check_col else [])])

@@ -6,8 +6,9 @@ from rentflow.llm import neighbours
 from rentflow.llm.common import read
 
 
-def test_one_effort_for_all_sizes():
-    assert {neighbours.effort(n) / n for n in (500, 2000, 4000, 10_000, 20_000)} == {neighbours.SEARCH_SHARE}
+def test_effort_grows_slower_than_the_table():
+    share = [neighbours.effort(n, round(np.log2(n / neighbours.LEAF_ROWS))) * n / 2 ** round(np.log2(n / neighbours.LEAF_ROWS)) / n for n in (500, 2000, 10_000, 50_000, 150_000, 10**9)]
+    assert share == sorted(share, reverse=True) and share[-1] < 0.01
 
 
 def test_recall_above_the_sample(spark, sf_dir):
