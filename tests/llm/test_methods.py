@@ -115,7 +115,7 @@ def test_op10_awkward(spark):
 
 
 def test_op2_awkward(spark):
-    rows = [(1, None), (None, "a"), (2, ""), (2, ""), *((i, "hot text") for i in range(100, 400)), *((i, f"text {i % 50} " * 3) for i in range(400, 900))]
+    rows = [(1, None), (None, "a"), (2, ""), (2, ""), *((i, "hot text") for i in range(100, 250)), *((i, f"text {i % 50} " * 3) for i in range(400, 900))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"size": F.lit("clash"), "h": F.lit(0)})
     got = sharding.shard(df, "doc_id", "text", shards=8).collect()
     assert len(got) == len(rows)
@@ -128,8 +128,7 @@ def test_op2_awkward(spark):
     where = defaultdict(set)
     for r in got:
         where[r.text_crc32, r["size"]].add(r.shard)
-    hot = next(v for (_, size), v in where.items() if size == len("hot text") + 1)
-    assert len(hot) == (1 if 9 * 300 * 8 <= sum(sizes) else 8) or len(hot) <= 3  # larger than a shard: cut between rows
+    assert len(next(v for (_, size), v in where.items() if size == len("hot text") + 1)) == 1
     assert sum(len(v) > 1 for (_, size), v in where.items() if size > 1) <= 8  # those that fill the last gaps
 
 
@@ -158,7 +157,7 @@ def test_op5_recall_of_pairs_at_the_threshold(spark):
     rows, want = [], 0
     for g in range(150):
         words = [f"g{g}w{x}" for x in rng.integers(0, 10**6, 200)]
-        other = words[:178] + [f"g{g}x{x}" for x in range(22)]  # 174 of 218 shingles are common
+        other = words[:179] + [f"g{g}x{x}" for x in range(21)]  # 175 of 217 shingles are common
         rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
         a, b = ({tuple(w[i : i + 5]) for i in range(196)} for w in (words, other))
         want += 100 * len(a & b) >= 80 * len(a | b)
