@@ -264,6 +264,15 @@ def quiet(at: Column, tz: str, start: str, end: str) -> Column:
     return (now >= start) & (now < end) if start <= end else (now >= start) | (now < end)
 
 
+def hold(at: Column, rules: Column) -> Column:
+    """pause, queue or null at a time, by quiet hours given as a struct (tz, from, to, mode); hours without both ends never
+    hold, another mode than pause queues."""
+    now = F.date_format(F.from_utc_timestamp(at, F.coalesce(rules["tz"], F.lit("Europe/London"))), "HH:mm")
+    start, end = rules["from"], rules["to"]
+    inside = F.when(start <= end, (now >= start) & (now < end)).otherwise((now >= start) | (now < end))
+    return F.when(start.isNotNull() & end.isNotNull() & inside, F.when(rules["mode"] == "pause", "pause").otherwise("queue"))
+
+
 def alert_text(title: Column, price: Column, beds: Column, kind: Column, district: Column, available: Column) -> Column:
     """Lines of what is known, unknown ones left out, 4096 characters at most."""
     from ..functions import text

@@ -356,3 +356,15 @@ def failures(results: DataFrame) -> DataFrame:
     """Responses (target, status, body_len, verdict, ordinal) that were tried and didn't succeed, one of a kind."""
     bad = results.where(~F.col("verdict").startswith("200/OK") & (F.col("verdict") != "SKIPPED(robots)"))
     return bad.groupBy("target", "status", "body_len").agg(F.min_by("verdict", "ordinal").alias("verdict"), F.min("ordinal").alias("ordinal"))
+
+
+def markers(body: Column, tokens: tuple[str, ...], link: str) -> Column:
+    """Struct (found, links): which tokens the whole body has, in order, and how many parts look like a listing's link."""
+    low = F.lower(body)
+    found = F.filter(F.array(*[F.when(low.contains(t), F.lit(t)) for t in tokens]), lambda x: x.isNotNull())
+    return F.struct(found.alias("found"), F.size(F.regexp_extract_all(body, F.lit(link), F.lit(0))).alias("links"))
+
+
+def dropped_tasks(urls: DataFrame) -> DataFrame:
+    """How many urls repeat a task (id, else url)."""
+    return urls.agg((F.count(F.lit(1)) - F.count_distinct(F.coalesce("external_id", "url"))).alias("dropped"))

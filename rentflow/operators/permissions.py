@@ -63,3 +63,9 @@ def policy(table: DataFrame, agent: str) -> DataFrame:
     own = mine.groupBy("host").agg(F.count_distinct(F.when(rule, F.struct("field", "value"))).alias("n_rules"), F.max(F.when(F.col("field") == "crawl-delay", F.col("value").try_cast("double"))).alias("delay"))
     maps = table.groupBy("host").agg(F.count_distinct(F.when(F.col("field") == "sitemap", F.col("value"))).alias("n_sitemaps"))
     return maps.join(own, "host", "left").select("host", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "delay", "n_sitemaps")
+
+
+def shut_out(table: DataFrame, agent: str) -> DataFrame:
+    """(host, blanket): whether the agent may not even read ``/``."""
+    roots = table.select("host").distinct().withColumn("url", F.concat(F.lit("https://"), "host", F.lit("/")))
+    return audit(table, roots, agent).select("host", (~F.col("allowed")).alias("blanket"))

@@ -522,3 +522,92 @@ def reconcile_whole(spark, sf_dir):
     state = latest(before, ["external_id"], ["run_day", "ordinal"]).select("external_id", "price_pcm").join(counts, "external_id").withColumn("status", F.lit("active"))
     incoming = latest(seen.where(F.col("run_day") >= cut), ["external_id"], ["run_day", "ordinal"]).select("external_id", "price_pcm")
     return reconcile(state, incoming, ["external_id"], ["price_pcm"], "sweep", F.lit("ok")).select("external_id", "kind")
+
+
+# Scalar rules and payloads without a query of their own -------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS flag, CASE p_partkey % 5 WHEN 2 THEN p_size + 0.5 WHEN 3 THEN -1.0 END::DOUBLE AS number, p_partkey % 5 <> 4 AS present,
+  CASE WHEN p_partkey % 3 = 0 THEN DATE '2024-02-29' END AS day FROM part""")
+def typed_values(spark, sf_dir):
+    from ..functions import dates, text
+
+    n = F.col("p_partkey")
+    raw = F.when(n % 5 == 0, "true").when(n % 5 == 1, "false").when(n % 5 == 2, F.concat(F.col("p_size").cast("string"), F.lit(".5"))).when(n % 5 == 3, "-1").otherwise("  ")
+    day = F.when(n % 3 == 0, "2024-02-29T10:00:00Z").when(n % 3 == 1, "2023-02-29").otherwise("soon")
+    return table(spark, sf_dir, "part").select("p_partkey", text.flag(raw).alias("flag"), text.number(raw).alias("number"), text.present(raw).alias("present"), dates.as_date(day).alias("day"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages WHERE url LIKE '%://%'")
+def url_origins(spark, sf_dir):
+    from ..functions.geo import origin
+
+    return table(spark, sf_dir, "pages").where("url LIKE '%://%'").select("page_id", origin(F.col("url")).alias("origin"))
+
+
+def _in_script(spark, sf_dir, tag, blocks):
+    """Raw listings as pages that carry their fields as JSON in script blocks."""
+    item = lambda t: F.concat(F.lit('{"id": "'), "external_id", F.lit(f'", "kind": "{t}", "price": '), F.col("batch_no").cast("string"), F.lit("}"))
+    body = F.concat(*[F.concat(F.lit(f"<script {tag}>"), item(b) if len(blocks) > 1 else F.concat(F.lit('{"props": {"items": ['), item(b), F.lit(", "), item(b + "2"), F.lit("]}}")), F.lit("</script><p>x</p>")) for b in blocks])
+    return view(spark, sf_dir, "raw_listing").select("source_key", "external_id", F.concat(F.lit("<html>"), body).alias("body"))
+
+
+@query("SELECT source_key, external_id, external_id AS id, k AS kind, CAST(batch_no AS VARCHAR) AS price FROM raw_listing, (VALUES ('a'), ('a2')) v(k)", "raw_listing")
+def nextdata_rows(spark, sf_dir):
+    rows = _in_script(spark, sf_dir, 'id="__NEXT_DATA__" type="application/json"', ["a"])
+    return P.json_rows(rows, "body", "next_data", "$.props.items", {"id": "$.id", "kind": "$.kind", "price": "$.price"}, ["source_key", "external_id"])
+
+
+@query("SELECT source_key, external_id, external_id AS id, k AS kind, CAST(batch_no AS VARCHAR) AS price FROM raw_listing, (VALUES ('a'), ('b')) v(k)", "raw_listing")
+def jsonld_rows(spark, sf_dir):
+    rows = _in_script(spark, sf_dir, 'type="application/ld+json"', ["a", "b"])
+    return P.json_rows(rows, "body", "jsonld", "$", {"id": "$.id", "kind": "$.kind", "price": "$.price"}, ["source_key", "external_id"])
+
+
+@query("SELECT page_id, concat_ws(',', CASE WHEN contains(lower(html), '<nav') THEN '<nav' END, CASE WHEN contains(lower(html), '<script') THEN '<script' END) AS found, len(regexp_extract_all(html, 'href=\"/[a-z]+')) AS links FROM pages")
+def page_markers(spark, sf_dir):
+    m = P.markers(F.col("html"), ("<nav", "<script"), 'href="/[a-z]+')
+    return table(spark, sf_dir, "pages").select("page_id", m.alias("m")).select("page_id", F.array_join("m.found", ",").alias("found"), F.col("m.links").cast("long").alias("links"))
+
+
+@query("SELECT count(*) - count(DISTINCT external_id) AS dropped FROM sighting", "sighting")
+def dropped_tasks(spark, sf_dir):
+    return P.dropped_tasks(view(spark, sf_dir, "sighting").select("external_id", F.lit("u").alias("url")))
+
+
+@query("""SELECT id, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 2 AND t >= '08:00' AND t < '20:00' THEN 'pause' WHEN id % 4 < 2 AND (t >= '23:00' OR t < '07:00') THEN 'queue' END AS held
+  FROM (SELECT id, strftime(timezone(CASE id % 4 WHEN 1 THEN 'America/New_York' ELSE 'Europe/London' END, timezone('UTC', created_at)), '%H:%M') AS t FROM notification)""", "notification")
+def quiet_modes(spark, sf_dir):
+    from ..operators.matching import hold
+
+    n = F.col("id") % 4
+    rules = F.struct(F.when(n == 1, "America/New_York").alias("tz"), F.when(n == 2, "08:00").when(n < 2, "23:00").alias("from"), F.when(n == 2, "20:00").otherwise("07:00").alias("to"), F.when(n == 2, "pause").otherwise("queue").alias("mode"))
+    return view(spark, sf_dir, "notification").select("id", hold(F.col("created_at"), rules).alias("held"))
+
+
+@query("SELECT run_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counters FROM (SELECT run_id, event_type, count(*) AS n FROM run_event GROUP BY ALL) GROUP BY run_id", "run_event")
+def run_counters(spark, sf_dir):
+    from ..operators.reliability import counters
+
+    got = counters(view(spark, sf_dir, "run_event").withColumn("one", F.lit(1)), "run_id", "event_type", "one")
+    said = F.transform(F.map_entries("counters"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return got.select("run_id", F.array_join(said, ",").alias("counters"))
+
+
+@query("SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host, length(regexp_extract(url, '://([^/?#]*)', 1)) % 2 = 0 AS blanket FROM pages")
+def shut_hosts(spark, sf_dir):
+    from ..operators import permissions
+
+    host = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).distinct()
+    body = F.when(F.length("host") % 2 == 0, "User-agent: *\nDisallow: /").otherwise("User-agent: *\nDisallow: /private\nAllow: /")
+    return permissions.shut_out(permissions.rules(host.select("host", body.alias("body"))), "listing-monitor/1.0")
+
+
+@query(f"""{LISTING_SQL}, h AS (SELECT source_key, b.batch_no, count(*) AS items, avg(CASE WHEN price_pcm IS NOT NULL THEN 1.0 ELSE 0.0 END) AS fill FROM listing JOIN raw_listing b USING (source_key, external_id) GROUP BY ALL)
+  SELECT source_key, batch_no, items >= 12 AND fill >= 0.95 AS passed FROM h""", "raw_listing")
+def health_passed(spark, sf_dir):
+    from ..operators import listings as L
+
+    raw = view(spark, sf_dir, "raw_listing").select("source_key", "external_id", "batch_no")
+    rows = listing(spark, sf_dir).withColumn("bedrooms", F.lit(1)).withColumn("price_pcm", F.when(F.col("price_pcm").isNotNull(), 1000)).join(raw, ["source_key", "external_id"])
+    return L.health(rows, ["price_pcm"], ["source_key", "batch_no"], min_items=12).select("source_key", "batch_no", "passed")
