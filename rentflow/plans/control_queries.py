@@ -12,7 +12,11 @@ from .listing_queries import LISTING_SQL, NOW, listing
 
 QUERIES, ORACLE = {}, {}
 AS_OF = F.expr
-N = F.count(F.lit(1)).alias("n")
+
+
+def N():
+    return F.count(F.lit(1)).alias("n")
+
 
 
 def query(sql: str, *views: str):
@@ -170,7 +174,7 @@ def job_fail_streaks(spark, sf_dir):
 def table_counts(spark, sf_dir):
     out = None
     for name in ("source", "location", "source_location", "schedule", "raw_listing", "notification", "job_run"):
-        n = view(spark, sf_dir, name).agg(N).select(F.lit(name).alias("t"), "n")
+        n = view(spark, sf_dir, name).agg(N()).select(F.lit(name).alias("t"), "n")
         out = n if out is None else out.unionAll(n)
     return out
 
@@ -189,7 +193,7 @@ def last_run_events(spark, sf_dir):
 @query("SELECT event_type AS stage, source_key, count(*) AS n, max(CASE level WHEN 'error' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS worst FROM run_event WHERE run_id = (SELECT max(run_id) FROM run_event) GROUP BY 1, 2", "run_event")
 def last_run_stages(spark, sf_dir):
     worst = F.max(F.when(F.col("level") == "error", 2).when(F.col("level") == "warn", 1).otherwise(0)).alias("worst")
-    return C.of_latest(view(spark, sf_dir, "run_event"), "run_id").groupBy(F.col("event_type").alias("stage"), "source_key").agg(N, worst)
+    return C.of_latest(view(spark, sf_dir, "run_event"), "run_id").groupBy(F.col("event_type").alias("stage"), "source_key").agg(N(), worst)
 
 
 @query("SELECT id, ts, level, source_key FROM run_event WHERE level IN ('warn', 'error') ORDER BY ts DESC, id DESC LIMIT 20", "run_event")
@@ -214,7 +218,7 @@ def log_lines(spark, sf_dir):
     from ..sources.jsonlines import line
 
     rows = view(spark, sf_dir, "run_event").select("run_id", "level", F.when(F.col("level") != "info", F.col("source_key")).alias("source_key"))
-    return rows.select(line(rows).alias("line")).groupBy("line").agg(N)
+    return rows.select(line(rows).alias("line")).groupBy("line").agg(N())
 
 
 @query("SELECT source_key, level, CAST(date_trunc('hour', ts) AS TIMESTAMP) + INTERVAL '10' MINUTE * CAST(floor(minute(ts) / 10) AS INT) AS start, count(*) AS n FROM run_event GROUP BY ALL", "run_event")
@@ -291,7 +295,7 @@ def json_layouts(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     even = F.concat(F.lit('{"id": '), "p_partkey", F.lit(', "items": [{"a": "x"}, 3], "ok": true}'))
     odd = F.concat(F.lit('{"note": null, "items": [], "id": '), "p_partkey", F.lit("}"))
-    return p.select(R.json_layout(F.when(F.col("p_size") % 2 == 0, even).otherwise(odd)).alias("layout")).groupBy("layout").agg(N)
+    return p.select(R.json_layout(F.when(F.col("p_size") % 2 == 0, even).otherwise(odd)).alias("layout")).groupBy("layout").agg(N())
 
 
 # Discovery ----------------------------------------------------------------------------------------------------------
@@ -421,12 +425,12 @@ def intake_rows(spark, sf_dir):
 
 @query("SELECT status, count(*) AS n FROM notification GROUP BY status", "notification")
 def queue_status(spark, sf_dir):
-    return view(spark, sf_dir, "notification").groupBy("status").agg(N)
+    return view(spark, sf_dir, "notification").groupBy("status").agg(N())
 
 
 @query("SELECT count(*) AS n FROM notification WHERE status = 'queued'", "notification")
 def queue_depth(spark, sf_dir):
-    return view(spark, sf_dir, "notification").where("status = 'queued'").agg(N)
+    return view(spark, sf_dir, "notification").where("status = 'queued'").agg(N())
 
 
 @query("SELECT id, user_id, attempts, error FROM notification WHERE status IN ('queued', 'failed') ORDER BY created_at DESC, id DESC LIMIT 20", "notification")
@@ -442,7 +446,7 @@ def fresh_listings(spark, sf_dir):
 
 @query("SELECT kind, CASE kind WHEN 'new_listing' THEN 'listing' WHEN 'price_drop' THEN 'listing' WHEN 'welcome' THEN 'welcome' WHEN 'stopped' THEN 'stopped' END AS shape, count(*) AS n FROM notification GROUP BY kind", "notification")
 def message_shapes(spark, sf_dir):
-    return view(spark, sf_dir, "notification").groupBy("kind", C.shape(F.col("kind")).alias("shape")).agg(N)
+    return view(spark, sf_dir, "notification").groupBy("kind", C.shape(F.col("kind")).alias("shape")).agg(N())
 
 
 @query(f"""{LISTING_SQL} SELECT n.id, n.user_id, s.display_name AS source_display, l.price_pcm, uc.address, CASE WHEN n.channel <> 'telegram' THEN 'no notifier for channel ' || n.channel WHEN uc.address IS NULL THEN 'no telegram address for the user'
@@ -484,7 +488,7 @@ def odd_receipts(spark, sf_dir):
 def receipt_kinds(spark, sf_dir):
     from ..operators.matching import receipt_class
 
-    return odd_receipts(spark, sf_dir).select("code", "text", receipt_class(F.col("code"), F.col("text")).alias("r")).groupBy("code", "text", "r.ok", "r.retryable", "r.gone").agg(N)
+    return odd_receipts(spark, sf_dir).select("code", "text", receipt_class(F.col("code"), F.col("text")).alias("r")).groupBy("code", "text", "r.ok", "r.retryable", "r.gone").agg(N())
 
 
 @query(f"""{ODD_SQL} SELECT notification_id, CASE WHEN late THEN 'skipped' WHEN ok THEN 'sent' WHEN gone OR NOT retryable OR attempts >= 5 THEN 'failed' ELSE 'queued' END AS status,
