@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Rows of one node meet its smallest neighbour in so many parts, so that a hub's links don't all go to one task.
 SALTS = 8
@@ -32,6 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         small = _meet(large, low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(F.col("a") != F.col("b")).distinct()
         after = materialise(small, "edges")
         same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
+        discard(edges)
         edges = after
         if same:
             return ids.join(edges, ids["id"] == edges["a"], "left").select("id", F.coalesce("b", "id").alias("root"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, materialise, partitions
+from .common import NEAR, SHINGLE_WORDS, discard, materialise, partitions
 from .components import components
 
 TREES = 48
@@ -237,11 +237,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
             near = node.select("id", "node").join(least, "node").select("id", "near")
         few = materialise(near.groupBy("id").agg(F.min("near").alias("near")), "order")
         small = few.count() <= BROADCAST_ROWS
-        few = F.broadcast(few) if small else few
-        size = own.select("id", "size").join(few, "id").repartitionByRange(tasks, "near", "size", "id").sortWithinPartitions("near", "size", "id")
+        size = own.select("id", "size").join(F.broadcast(few) if small else few, "id").repartitionByRange(tasks, "near", "size", "id").sortWithinPartitions("near", "size", "id")
         block = materialise(size.select("id", "size").mapInArrow(_weighed, "id long, size long, part long, end long"), "weights")
         ends = {r["part"]: r["end"] for r in block.groupBy("part").agg(F.max("end").alias("end")).collect()}  # a row a task
         starts = [(part, sum(ends[p] for p in ends if p < part)) for part in ends]
+        weights = block
         block = block.join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part").select("id", "size", F.floor((F.col("start") + F.col("end") - 1) / BLOCK_SHINGLES).alias("block"))
         block = materialise(block, "blocks")
 
@@ -261,6 +261,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
         dealt = text.join(task, "block").select("i", "j", "id", "many", "block", "s")
         compared = dealt.groupBy("i", "j").applyInPandas(_comparing(threshold, depth), "id long, links long, to long, found long, unmet double")
         compared = materialise(compared, "links")
+        discard(node, few, weights, block, pair)
         sums = compared.agg(F.sum("found").alias("found"), F.sum("unmet").alias("unmet")).first()
         if not sums["found"] or sums["unmet"] <= (1 - TARGET_RECALL) * sums["found"]:
             break
@@ -271,6 +272,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     whole = sets.join(links, sets["rep"] == links["id"], "left").drop("id").join(classes, F.col("rep") == classes["id"], "left")
     whole = whole.select("set", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"))
     whole = materialise(whole, "classes")
+    discard(tries, sets, compared)
     out = doc.join(whole, "set", "left")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
     return out.select(F.col("id").alias(id_col), mine.alias("class_id"), F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
