@@ -148,6 +148,23 @@ def stop(stopped: DataFrame, subscriptions: DataFrame, outbox: DataFrame, users:
     return subscriptions.join(gone, "user_id", "left_anti"), queued, told
 
 
+def block(gone: DataFrame, subscriptions: DataFrame, outbox: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(subscriptions, outbox, users) after the users in ``gone`` (user_id) proved unreachable: filters are kept but off,
+    queued messages are skipped with a reason, the user is blocked."""
+    mark = gone.select("user_id").distinct().withColumn("gone", F.lit(True))
+    off = subscriptions.join(mark, "user_id", "left").withColumn("active", F.col("active") & F.col("gone").isNull()).drop("gone")
+    waits = F.coalesce(F.col("gone"), F.lit(False)) & (F.col("status") == "queued")
+    skipped = outbox.join(mark, "user_id", "left").withColumn("error", F.when(waits, "recipient unreachable").otherwise(F.col("error"))).withColumn("status", F.when(waits, "skipped").otherwise(F.col("status"))).drop("gone")
+    told = users.join(mark, users["id"] == mark["user_id"], "left").withColumn("status", F.when(F.col("gone"), "blocked").otherwise(F.col("status"))).drop("gone", "user_id")
+    return off, skipped, told
+
+
+def enumeration_violations(rows: DataFrame, key: str, allowed: dict[str, list[str]]) -> DataFrame:
+    """(key, column, value) of every non-null value outside its column's list."""
+    pairs = F.array(*[F.when(~F.col(c).isin(values), F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))) for c, values in allowed.items()])
+    return rows.select(key, F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("v")).select(key, "v.column", "v.value")
+
+
 def erase(users: DataFrame, erased: DataFrame, owned: DataFrame, referring: DataFrame, column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(users, owned rows, referring rows) after an erasure: a user's own rows go, references become null."""
     gone = erased.select("user_id").distinct()

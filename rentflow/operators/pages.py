@@ -27,8 +27,10 @@ def _any(c: Column, tokens: tuple[str, ...]) -> Column:
     return c.rlike("|".join(rf"\Q{t}\E" for t in tokens))
 
 
-def challenged(body: Column) -> Column:
-    return _any(F.lower(F.substring(body, 1, 8000)), CHALLENGE)
+def challenged(body: Column, header: Column | None = None) -> Column:
+    """Whether a response is a challenge: its mitigation header says so, or the body's beginning does."""
+    said = _any(F.lower(F.substring(body, 1, 8000)), CHALLENGE)
+    return said if header is None else F.coalesce(F.lower(F.trim(header)) == "challenge", F.lit(False)) | F.coalesce(said, F.lit(False))
 
 
 def triage(status: Column, body: Column, markers: tuple[str, ...], least: int) -> Column:

@@ -54,6 +54,19 @@ def reconcile(state: DataFrame, incoming: DataFrame, keys: list[str], tracked: l
     )
 
 
+def stamped(decisions: DataFrame, stamps: DataFrame, keys: list[str], as_of: Column) -> DataFrame:
+    """Decisions with the next first_seen_at, last_seen_at and delisted_at, from the stored ones: what was seen is seen now,
+    what is delisted now got its time now, what came back has none."""
+    kind = F.col("kind")
+    seen = kind.isin("insert", "revive", "update", "unchanged")
+    rows = decisions.join(stamps.select(*keys, "first_seen_at", "last_seen_at", "delisted_at"), keys, "left")
+    return rows.withColumns({
+        "first_seen_at": F.when(kind == "insert", as_of).otherwise(F.col("first_seen_at")),
+        "last_seen_at": F.when(seen, as_of).otherwise(F.col("last_seen_at")),
+        "delisted_at": F.when(kind == "delist", as_of).when(kind != "revive", F.col("delisted_at")),
+    })
+
+
 def summary(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("new_price").alias("price_changes"))
 

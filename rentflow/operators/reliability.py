@@ -36,3 +36,14 @@ def counters(rows: DataFrame, by: str, name: str, value: str) -> DataFrame:
     """Sums by name, as one map a key."""
     sums = rows.groupBy(by, name).agg(F.sum(value).alias("total"))
     return sums.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "total")))).alias("counters"))  # names are few
+
+
+def stages(rows: DataFrame) -> DataFrame:
+    """One record a run and stage from its rows (run_id, stage, ts, id, level, message): times, status, the first error, and
+    how many rows of each level there were."""
+    level = F.col("level")
+    return rows.groupBy("run_id", "stage").agg(
+        F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"), run_status(level).alias("status"),
+        F.min_by(F.when(level == "error", F.col("message")), F.when(level == "error", F.struct("ts", "id"))).alias("error"),
+        *[F.count_if(level == name).alias(f"n_{name}") for name in ("info", "warn", "error")],
+    )

@@ -8,7 +8,7 @@ from ..operators import control as C
 from ..operators import pages as P
 from ..operators import rules as R
 from ..sources.views import table, view, view_sql
-from .listing_queries import LISTING_SQL, NOW, listing
+from .listing_queries import DECISION_SQL, LISTING_SQL, NOW, decisions, listing
 
 QUERIES, ORACLE = {}, {}
 AS_OF = F.expr
@@ -615,3 +615,71 @@ def health_passed(spark, sf_dir):
     raw = view(spark, sf_dir, "raw_listing").select("source_key", "external_id", "batch_no")
     rows = listing(spark, sf_dir).withColumn("bedrooms", F.lit(1)).withColumn("price_pcm", F.when(F.col("price_pcm").isNotNull(), 1000)).join(raw, ["source_key", "external_id"])
     return L.health(rows, ["price_pcm"], ["source_key", "batch_no"], min_items=12).select("source_key", "batch_no", "passed")
+
+
+# Life-cycle times, unreachable users, enumerations, stages -----------------------------------------------------------
+
+STAMPS = "SELECT external_id, CAST(min(run_day) AS TIMESTAMP) AS first_seen_at, CAST(max(run_day) AS TIMESTAMP) AS last_seen_at, CASE WHEN count(*) % 5 = 0 THEN CAST(max(run_day) AS TIMESTAMP) END AS delisted_at FROM sighting WHERE run_day < DATE '1998-01-01' GROUP BY external_id"
+
+
+@query(f"""{DECISION_SQL}, st AS ({STAMPS}) SELECT external_id, kind, CASE WHEN kind = 'insert' THEN {NOW} ELSE first_seen_at END AS first_seen_at, CASE WHEN came THEN {NOW} ELSE last_seen_at END AS last_seen_at,
+  CASE WHEN kind = 'delist' THEN {NOW} WHEN kind <> 'revive' THEN delisted_at END AS delisted_at FROM decision LEFT JOIN st USING (external_id)""", "sighting")
+def next_state_times(spark, sf_dir):
+    from ..operators.reconcile import stamped
+
+    seen = view(spark, sf_dir, "sighting").where("run_day < DATE '1998-01-01'")
+    day = lambda f: f("run_day").cast("timestamp")
+    stamps = seen.groupBy("external_id").agg(day(F.min).alias("first_seen_at"), day(F.max).alias("last_seen_at"), F.when(F.count(F.lit(1)) % 5 == 0, day(F.max)).alias("delisted_at"))
+    return stamped(decisions(spark, sf_dir), stamps, ["external_id"], now()).select("external_id", "kind", "first_seen_at", "last_seen_at", "delisted_at")
+
+
+def blocked(spark, sf_dir):
+    return C.block(view(spark, sf_dir, "receipt").where("code = 403"), view(spark, sf_dir, "subscription"), view(spark, sf_dir, "notification"), view(spark, sf_dir, "subscriber"))
+
+
+UNREACHABLE = "(SELECT user_id FROM receipt WHERE code = 403)"
+
+
+@query(f"SELECT id, user_id, active AND user_id NOT IN {UNREACHABLE} AS active FROM subscription", "subscription", "receipt")
+def unreachable_filters(spark, sf_dir):
+    return blocked(spark, sf_dir)[0].select("id", "user_id", "active")
+
+
+@query(f"SELECT id, CASE WHEN status = 'queued' AND user_id IN {UNREACHABLE} THEN 'skipped' ELSE status END AS status, CASE WHEN status = 'queued' AND user_id IN {UNREACHABLE} THEN 'recipient unreachable' ELSE error END AS error FROM notification", "notification", "receipt")
+def unreachable_outbox(spark, sf_dir):
+    return blocked(spark, sf_dir)[1].select("id", "status", "error")
+
+
+@query(f"SELECT id, CASE WHEN id IN {UNREACHABLE} THEN 'blocked' ELSE status END AS status FROM subscriber", "subscriber", "receipt")
+def unreachable_users(spark, sf_dir):
+    return blocked(spark, sf_dir)[2].select("id", "status")
+
+
+@query("SELECT id, 'kind' AS column, kind AS value FROM notification WHERE kind NOT IN ('new_listing', 'price_drop', 'welcome', 'stopped') UNION ALL SELECT id, 'channel', channel FROM notification WHERE channel NOT IN ('telegram', 'email')", "notification")
+def enumeration_violations(spark, sf_dir):
+    allowed = {"kind": ["new_listing", "price_drop", "welcome", "stopped"], "channel": ["telegram", "email"], "status": ["queued", "sent", "failed", "skipped"]}
+    return C.enumeration_violations(view(spark, sf_dir, "notification"), "id", allowed)
+
+
+@query("""SELECT run_id, event_type AS stage, min(ts) AS started_at, max(ts) AS finished_at, CASE max(CASE level WHEN 'error' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'failed' WHEN 1 THEN 'degraded' ELSE 'ok' END AS status,
+  arg_min(source_key, (ts, id)) FILTER (WHERE level = 'error') AS error, count(*) FILTER (WHERE level = 'info') AS n_info, count(*) FILTER (WHERE level = 'warn') AS n_warn, count(*) FILTER (WHERE level = 'error') AS n_error FROM run_event GROUP BY 1, 2""", "run_event")
+def stage_ledger(spark, sf_dir):
+    from ..operators.reliability import stages
+
+    return stages(view(spark, sf_dir, "run_event").withColumnRenamed("event_type", "stage").withColumnRenamed("source_key", "message"))
+
+
+@query("SELECT page_id, page_id % 7 = 0 OR contains(lower(substr(html, 1, 8000)), 'captcha') AS challenged FROM pages WHERE NOT regexp_matches(lower(substr(html, 1, 8000)), 'human verification|verify|challenge|just a moment|robot|press and hold|enable javascript')")
+def challenge_headers(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").where("NOT rlike(lower(substr(html, 1, 8000)), 'human verification|verify|challenge|just a moment|robot|press and hold|enable javascript')")
+    return rows.select("page_id", P.challenged(F.col("html"), F.when(F.col("page_id") % 7 == 0, " Challenge")).alias("challenged"))
+
+
+@query("""SELECT token, chat, user_id FROM (SELECT c.conv_id % 50 AS token, c.conv_id AS chat, u.id AS user_id, row_number() OVER (PARTITION BY c.conv_id % 50, u.id ORDER BY c.turn, c.conv_id) AS r FROM conversations c JOIN subscriber u ON u.id = c.conv_id % 50
+  WHERE u.token_expires_at IS NULL OR TIMESTAMP '2024-01-12 06:00:00' + INTERVAL '1' MINUTE * c.turn < u.token_expires_at) WHERE r = 1""", "subscriber")
+def tokens_before_expiry(spark, sf_dir):
+    from ..operators.intake import redeem
+
+    said = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 50).alias("token"), F.col("conv_id").alias("chat"), F.expr("TIMESTAMP '2024-01-12 06:00:00' + INTERVAL '1' MINUTE * turn").alias("ts"))
+    pending = view(spark, sf_dir, "subscriber").select(F.col("id").alias("token"), F.col("id").alias("user_id"), F.col("token_expires_at").alias("expires_at"))
+    return redeem(said, pending).select("token", "chat", "user_id")
