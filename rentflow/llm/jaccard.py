@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, discard, materialise, partitions
+from .common import NEAR, SHINGLE_WORDS, discard, materialise, partitions, slices
 from .components import components
 
 TREES = 48
@@ -55,7 +55,7 @@ def missed(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -198,7 +198,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             keys, labels, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, hashes)
@@ -221,7 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             got = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
             keys = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in got], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["id", "set", "s"])

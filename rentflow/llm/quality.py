@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLDS, materialise
+from .common import FOLDS, materialise, slices
 
 #: Labelled rows that the views are fitted on, at most.
 LABELLED_ROWS = 6000
@@ -237,7 +237,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col
     marks = materialise(marks, "marks")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             t = batch.to_pydict()
             got = [text_counts(x) for x in t["text"]]
             ends = pa.array(np.cumsum([0, *(len(g[0]) for g in got)]), pa.int32())

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise, partitions, slices
 
 WINDOW = 100
 #: Grams a window holds: GRAMS of length GRAM.
@@ -34,6 +34,8 @@ GRAMS = 64
 GRAM = WINDOW - GRAMS + 1
 #: Windows that are looked at together; longer texts are taken in pieces (whole windows, each in one piece).
 PIECE = 1 << 19
+#: Documents whose contexts are reduced together before they are shuffled.
+BATCH_DOCS = 4000
 
 _RNG = np.random.default_rng(20240502)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,7 +100,7 @@ FOUND = ["doc", "kind", "a", "b"]
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, BATCH_DOCS):
         got, docs = [], []
         for doc, text in zip(batch.column("doc").to_pylist(), batch.column("body").to_pylist(), strict=True):
             c = contexts(np.frombuffer(text.encode(), np.uint8))
@@ -230,7 +232,7 @@ def _sorted_runs(parts: int):
     """Front-coded runs of a batch's open contexts, one for each receiving task: suffixes, bytes before the anchor, place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, BATCH_DOCS):
             rows = []
             for doc, text, many in zip(batch.column("doc").to_pylist(), batch.column("body").to_pylist(), batch.column("open").to_pylist(), strict=True):
                 b = text.encode()
@@ -335,7 +337,7 @@ def digest(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Each row's (``id_col``, n_bytes, n_removed, n_spans, kept_sha256) after the removal of repeated passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [_cut(t, r) for t, r in zip(batch.column("body").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
             columns = [pa.array([g[i] for g in got], pa.int64()) for i in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns, pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string())], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -351,7 +353,7 @@ def strip(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     plain = [f"c{i}" for i in range(len(others))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else _cut(t, r)[0].decode("utf-8", "ignore") for t, r in zip(batch.column("body").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string()), *(batch.column(n) for n in plain)], ["doc", "body", *plain])
 

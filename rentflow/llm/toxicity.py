@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDS, materialise
+from .common import FOLDS, materialise, slices
 
 #: Labelled rows of a class that the examples are taken from, at most.
 CLASS_ROWS = 1200
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, class_rows: int) ->
     some = docs.join(F.broadcast(taken), "id").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("id").alias("id"), F.max("label").alias("label"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             found = [terms(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([sketch(t) for t in texts], pa.list_(pa.int64())), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "label", "sketch", "words", "counts"])
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, class_rows: int) ->
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = told.value
-        for batch in batches:
+        for batch in slices(batches):
             flat_t, flat_n, sizes = [], [], [0]
             for text in batch.column("text").to_pylist():
                 found = terms(text)
@@ -310,7 +310,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[float, list]] = {}  # answers of texts met before in this task
-        for batch in batches:
+        for batch in slices(batches):
             got = []
             ends = batch.column("terms").offsets.to_numpy()
             term, count = batch.column("terms").values.to_numpy(), batch.column("counts").values.to_numpy()
