@@ -8,7 +8,7 @@ offset gives the shard. Shards differ by about one row's size, whatever the samp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -27,6 +27,12 @@ def _small(ranges: DataFrame) -> DataFrame:
     return F.broadcast(ranges) if ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES else ranges
 
 
+def _pairs(spark: SparkSession, pairs: list[tuple[int, int]], key: str, value: str) -> DataFrame:
+    """A table of a few numbers, as a literal of the query."""
+    rows = F.array(*[F.struct(F.lit(k).cast("long"), F.lit(v).cast("long")) for k, v in pairs]).cast(f"array<struct<{key}: long, {value}: long>>")
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+
+
 def _sampled(rows: DataFrame, over: DataFrame, level: int, by: Column) -> DataFrame:
     """Splitters of each overfull range: quantiles of a sample in which a row's chance is proportional to its size."""
     chance = F.col("size") * F.lit(FANOUT * OVERSAMPLE) / F.col("range_bytes")
@@ -97,7 +103,7 @@ def shard(df: DataFrame, id_col: str, text_col: str, shards: int, max_rows: int
     )
     rows = materialise(rows, "keys")
     total, place, load = _large_groups(rows, shards)
-    where = spark.createDataFrame(sorted(place.items()), "h long, own int")
+    where = _pairs(spark, sorted(place.items()), "h", "own")
     ranged = _ranges(rows.join(F.broadcast(where), "h", "left"), max_rows)  # shards / LARGE_GROUP rows at most
     rest = F.col("own").isNull().cast("long")
     sums = ranged.groupBy("range_id").agg(F.count(F.lit(1)).alias("n"), F.sum(rest).alias("rest_n"), F.sum(rest * F.col("size")).alias("rest_bytes"))
@@ -136,7 +142,7 @@ def shard(df: DataFrame, id_col: str, text_col: str, shards: int, max_rows: int
     for r in sorted(large, key=lambda r: r["h"]):
         shift.append((r["h"], begins[r["shard"]] - r["first"]))
         begins[r["shard"]] += r["n"]
-    own = placed.join(F.broadcast(spark.createDataFrame(shift, "h long, shift long")), "h", "left")
+    own = placed.join(F.broadcast(_pairs(spark, shift, "h", "shift")), "h", "left")
     rest_shift = F.coalesce(*[F.when(F.col("shard") == i, F.lit(-r["first"])) for i, r in first.items()], F.lit(0)).cast("long")
     slot = F.when(F.col("own").isNull(), F.col("rest_row") + rest_shift).otherwise(F.col("nth_row") + F.col("shift"))
     return own.select(
