@@ -55,7 +55,7 @@ def missed(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

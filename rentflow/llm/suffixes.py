@@ -35,7 +35,7 @@ GRAM = WINDOW - GRAMS + 1
 #: Windows that are looked at together; longer texts are taken in pieces (whole windows, each in one piece).
 PIECE = 1 << 19
 #: Documents whose contexts are reduced together before they are shuffled.
-BATCH_DOCS = 4000
+BATCH_DOCS = 2000
 
 _RNG = np.random.default_rng(20240502)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -319,7 +319,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_
                 t, n = term[a:b][order], count[a:b][order]
                 key = xxhash.xxh3_128_intdigest(t.tobytes() + n.tobytes())
                 if key not in seen:
-                    if len(seen) > 20_000:
+                    if len(seen) > 5_000:
                         seen.clear()
                     seen[key] = model.value.score(t, n, *line)
                 got.append(seen[key])
