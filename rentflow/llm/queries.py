@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity, urls
+from . import quality, quality_rules, toxicity, urls
+from .collocations import collocations
 from .common import read
 from .decontaminate import contained
 from .jaccard import near_duplicates
@@ -16,6 +17,7 @@ from .langid import identify
 from .neighbours import search
 from .pieces import encode
 from .sharding import shard
+from .spelling import variants
 from .suffixes import digest
 from .urls import judge
 
@@ -70,6 +72,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"), "text", "lang")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read(spark, sf_dir, "documents"), "doc_id", "text").select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cutoffs by language, from the quality labels."""
+    return quality_rules.judge(read(spark, sf_dir, "documents"), "doc_id", "text", "lang", read(spark, sf_dir, "labels"), "quality")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -82,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
+        "op11_collocations": op11_collocations,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
@@ -154,9 +172,115 @@ SELECT doc_id, coalesce(root, doc_id) AS class_id, coalesce(l, 0) AS n_links FRO
 """
 
 
+OP11_SQL = r"""
+WITH cut_up AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+piece AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM cut_up),
+spot AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece),
+phrases AS (
+  SELECT lang, w[i] AS phrase FROM spot UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] FROM spot WHERE i < len(w)
+  UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM spot WHERE i + 1 < len(w)),
+f AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS p, count(*) AS a FROM phrases GROUP BY lang, phrase HAVING count(*) >= 10),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+c AS (SELECT lang, phrase, p, a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, c.k, len(c.p) AS words, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM c JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:k], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[k + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, q, max(a) AS a FROM (SELECT lang, p[1] || ' ' || p[2] AS q, a FROM f WHERE len(p) = 3 UNION ALL SELECT lang, p[2] || ' ' || p[3], a FROM f WHERE len(p) = 3) GROUP BY lang, q),
+kept AS (SELECT low.* FROM low LEFT JOIN longer ON longer.lang = low.lang AND longer.q = low.phrase WHERE longer.a IS NULL OR 100 * longer.a < 50 * low.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+#: crc32 of a text in SQL: the table by its rule, then a fold over the bytes.
+CRC_TABLE = "SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+CRC = "xor(list_reduce([4294967295] || list_transform(range(octet_length(encode({0}))), lambda j: ('0x' || substr(hex(encode({0})), 2 * j + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (%s),
+run AS (
+  SELECT doc, run, count(*) AS n FROM (
+    SELECT doc_id::VARCHAR AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc, run),
+hashed AS (SELECT run, n, %s AS h FROM (SELECT *, coalesce(doc, '') || ':' || run AS x FROM run), crc),
+slip AS (SELECT CASE WHEN h %% 31 = 0 THEN substr(run, 1, h %% length(run)) || substr(run, h %% length(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slip WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+spot AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+del AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM spot),
+near AS (
+  SELECT a.word, b.word AS other FROM del AS a JOIN del AS b ON a.i = b.i AND a.d = b.d WHERE a.word <> b.word
+  UNION SELECT del.word, v.word FROM del JOIN v ON v.word = d UNION SELECT v.word, del.word FROM del JOIN v ON v.word = d),
+best AS (
+  SELECT near.word, count(*) AS n_near, max(v.n) AS most, min(encode(other)) FILTER (v.n = m) AS first
+  FROM (SELECT near.*, max(v.n) OVER (PARTITION BY near.word) AS m FROM near JOIN v ON v.word = other) AS near JOIN v ON v.word = other GROUP BY near.word),
+f AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * v.n THEN decode(first) END AS form, CASE WHEN most >= 10 * v.n THEN most END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, form AS goal, 1 AS d FROM f WHERE form IS NOT NULL UNION ALL SELECT chain.word, f.form, d + 1 FROM chain JOIN f ON f.word = chain.goal WHERE f.form IS NOT NULL),
+root AS (SELECT word, max_by(goal, d) AS root FROM chain GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN root USING (word)
+""" % (CRC_TABLE, CRC.format("x"))
+
+OP13_RULES = {"symbols": "n_symbols * 1000 // n_words", "repeated_lines": "n_dup_lines * 1000 // n_lines", "repeated_words": "n_repeat_words * 1000 // n_words", "capitals": "n_capitals * 1000 // word_chars", "long_words": "word_chars * 100 // n_words"}
+OP13_SQL = r"""
+WITH crc AS MATERIALIZED ({crc_table}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+spot AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(w[1:len(w) - 2]) AS x, unnest(w[2:len(w) - 1]) AS y, unnest(w[3:]) AS z FROM w WHERE len(w) > 2),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, x, y, z) AS c FROM spot),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM win WHERE c > 1) GROUP BY r),
+m AS (
+  SELECT r, doc_id, stratum, md5(text) AS digest, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals FROM w LEFT JOIN rep USING (r)),
+b AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {values} FROM m),
+mark AS (SELECT doc_id, min(quality) AS mark FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+one AS (SELECT b.*, mark FROM b JOIN mark USING (doc_id) WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY stratum, digest ORDER BY doc_id) = 1),
+k AS MATERIALIZED (SELECT *, mark = 1 AS good, {crc} % 5 IN ({selecting}) AS selecting FROM (SELECT *, doc_id::VARCHAR AS x FROM one), crc),
+long AS ({long}),
+counts AS (SELECT stratum, rule, value, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM long GROUP BY ALL),
+told AS (
+  SELECT stratum, rule, value, sum(good) OVER w AS all_good, sum(bad) OVER w AS all_bad, coalesce(sum(good) OVER up, 0) AS good_above, coalesce(sum(bad) OVER up, 0) AS bad_above
+  FROM counts WINDOW w AS (PARTITION BY stratum, rule), up AS (PARTITION BY stratum, rule ORDER BY value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cuts AS (
+  SELECT stratum, level, rule, CASE WHEN bad_above * all_good > good_above * all_bad THEN value END AS cutoff
+  FROM told, (VALUES {levels}) AS l(level, allowed) WHERE all_good > 0 AND 1000 * good_above <= allowed * all_good QUALIFY row_number() OVER (PARTITION BY stratum, level, rule ORDER BY value) = 1),
+policy AS MATERIALIZED (SELECT stratum, level, {pivot} FROM cuts GROUP BY stratum, level),
+hit AS (SELECT k.stratum, level, good, selecting, {above} AS hit FROM k JOIN policy AS p ON p.stratum = k.stratum),
+sums AS (
+  SELECT stratum, level, count(*) FILTER (good AND NOT selecting) AS n, count(*) FILTER (good AND NOT selecting AND hit) AS k, count(*) FILTER (good AND selecting) AS sg,
+    count(*) FILTER (good AND selecting AND hit) AS xg, count(*) FILTER (NOT good AND selecting) AS sb, count(*) FILTER (NOT good AND selecting AND hit) AS xb FROM hit GROUP BY stratum, level),
+tested AS (
+  SELECT *, CASE WHEN k >= n * {rate} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate})))) END
+    <= {risk} / (SELECT count(DISTINCT stratum) FROM sums) AS passed FROM sums),
+certified AS (SELECT *, bool_and(passed) OVER (PARTITION BY stratum ORDER BY level) AS certified FROM tested),
+best AS (
+  SELECT stratum, level FROM certified WHERE certified
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY round(CASE WHEN sb > 0 THEN xb::DOUBLE / sb ELSE 0 END - xg::DOUBLE / sg, 9) DESC, level) = 1),
+cut AS (SELECT policy.* FROM policy JOIN best USING (stratum, level))
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by, stratum_certified
+FROM (SELECT k.*, p.stratum IS NOT NULL AS stratum_certified, concat_ws(',', {named}) AS rejected_by FROM b AS k LEFT JOIN cut AS p ON p.stratum = k.stratum)
+"""
+
+
+def _op13_sql() -> str:
+    rules = list(OP13_RULES)
+    over = [f"k.{r} > p.{r}" for r in rules]
+    return OP13_SQL.format(
+        crc_table=CRC_TABLE, crc=CRC.format("x"), values=", ".join(f"CASE WHEN NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) THEN {e} END AS {r}" for r, e in OP13_RULES.items()),
+        selecting=", ".join(map(str, quality_rules.SELECTING)), long=" UNION ALL ".join(f"SELECT stratum, good, '{r}' AS rule, {r} AS value FROM k WHERE selecting" for r in rules),
+        levels=", ".join(f"({i}, {x})" for i, x in enumerate(quality_rules.LEVELS)), pivot=", ".join(f"max(cutoff) FILTER (rule = '{r}') AS {r}" for r in rules),
+        above=" OR ".join(f"coalesce({o}, false)" for o in over), named=", ".join(f"CASE WHEN {o} THEN '{r}' END" for r, o in zip(rules, over, strict=True)), rate=quality_rules.RATE, risk=quality_rules.RISK,
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_ngram_jaccard_join": OP5_SQL,
         "op6_url_filters": (OP6_SQL % "".join(OP6_LEVEL.format(i, i - 1) for i in range(1, urls.DEPTH + 1))).replace("{depth}", str(urls.DEPTH)),
         "op8_decontamination": OP8_SQL,
+        "op11_collocations": OP11_SQL,
+        "op12_spelling_variants": OP12_SQL,
+        "op13_quality_rules": _op13_sql(),
     }
