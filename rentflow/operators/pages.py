@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +14,9 @@ from pyspark.sql import functions as F
 CHALLENGE = ("captcha", "human verification", "verify that you're not a robot", "verify you are human", "cf-challenge", "just a moment", "are you a robot", "press and hold", "enable javascript and cookies")
 BLOCKED = ("attention required", "incapsula", "incident id", "request unsuccessful", "access denied", "unusual traffic", "reference #", "pardon our interruption")
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
-DROPPED = frozenset("script style noscript iframe meta link picture source path defs g circle rect polygon polyline ellipse line mask clippath lineargradient stop filter pattern symbol desc".split())
-KEPT_ATTRIBUTES = frozenset("class id itemprop itemtype role type name content aria-label aria-hidden aria-checked title alt value".split())
-URL_ATTRIBUTES = frozenset("src srcset data-src poster action".split())
+DROPPED = frozenset({"script", "style", "noscript", "iframe", "meta", "link", "picture", "source", "path", "defs", "g", "circle", "rect", "polygon", "polyline", "ellipse", "line", "mask", "clippath", "lineargradient", "stop", "filter", "pattern", "symbol", "desc"})
+KEPT_ATTRIBUTES = frozenset({"class", "id", "itemprop", "itemtype", "role", "type", "name", "content", "aria-label", "aria-hidden", "aria-checked", "title", "alt", "value"})
+URL_ATTRIBUTES = frozenset({"src", "srcset", "data-src", "poster", "action"})
 FRAGMENT_ATTRIBUTES = frozenset(("href", "xlink:href"))
 VOLATILE = re.compile(r"[mp][trblxy]?-(?:auto|\d+)|g?a?p-\d+|row-gap-\d+|column-gap-\d+|w-\d+|h-\d+|fs-[\w-]+|lh-[\w-]+|text-(?:start|end|center|nowrap|break)|d-(?:none|block|flex|inline|inline-flex|md-none|lg-none)|col(?:-\w+)*|order-\d+|z-\d+|opacity-\d+")
 DOM_DEPTH, TEXT_LIMIT, PLACEHOLDER = 3, 120, "[text removed]"
@@ -187,23 +186,64 @@ def field(item: list, rule: dict) -> str | None:
     return (re.sub(r"\s+", " ", value).strip() or None) if value is not None else None
 
 
-def extract(pages: DataFrame, key: str, body: str, item: str, rules: dict[str, dict]) -> DataFrame:
-    """(key, ordinal, fields map, error): a row for each element that ``item`` selects. A page that can't be read gives one
-    row with its error, and the others go on."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, html in zip(pdf["key"], pdf["body"], strict=True):
-                try:
-                    found = [n for n in walk(parse(html or "")) if selects(n, item)]
-                    out += [(k, i, {name: v for name, r in rules.items() if (v := field(n, r)) is not None}, None) for i, n in enumerate(found)]
-                except Exception as error:  # noqa: BLE001 - one bad page is a row of its own
-                    out.append((k, 0, {}, f"{type(error).__name__}: {error}"[:500]))
-            yield pd.DataFrame(out, columns=["key", "ordinal", "fields", "error"])
+ITEMS = "array<map<string,string>>"
+LAYOUT = "struct<fingerprint:string,signature:string>"
+REDUCED = "struct<reduced:string,in_chars:long,out_chars:long,text_dropped:long,urls_dropped:long,icons_kept:long>"
+
+
+def items_of(root: list, item: str, rules: dict[str, dict]) -> list[dict[str, str]]:
+    """The fields of each element of a parsed page that ``item`` selects, without those that aren't there."""
+    return [{name: v for name, r in rules.items() if (v := field(n, r)) is not None} for n in walk(root) if selects(n, item)]
+
+
+def layout_of(root: list, item: str) -> dict[str, str]:
+    found = [n for n in walk(root) if selects(n, item)]
+    told = "dom:" + "|".join(sorted({_signature(n, DOM_DEPTH) for n in found})) if found else "dom:no-match"
+    return {"fingerprint": hashlib.sha1(told.encode()).hexdigest()[:16], "signature": told[:2000]}
+
+
+def reduced_of(root: list, html: str, limit: int) -> dict:
+    got = _Reduced(root, limit)
+    return {"reduced": got.body, "in_chars": len(html), "out_chars": len(got.body) - 1, "text_dropped": got.text, "urls_dropped": got.urls, "icons_kept": got.icons}
+
+
+def read_pages(pages: DataFrame, key: str, body: str, item: str | None = None, rules: dict[str, dict] | None = None, layout_item: str | None = None, text_limit: int | None = None) -> DataFrame:
+    """(key, items, layout, reduced, error): all that is asked for (the rest is null) from one parse of each page.
+
+    A null body is an empty page. A page that can't be read has nulls and its error, and the others go on.
+    """
+    import pyarrow as pa
+
+    kinds = pa.struct([("items", pa.list_(pa.map_(pa.string(), pa.string()))), ("layout", pa.struct([("fingerprint", pa.string()), ("signature", pa.string())])),
+                       ("reduced", pa.struct([("reduced", pa.string()), *((c, pa.int64()) for c in ("in_chars", "out_chars", "text_dropped", "urls_dropped", "icons_kept"))])), ("error", pa.string())])
+
+    def read(html: str) -> dict:
+        try:
+            root = parse(html)
+            return {
+                "items": [list(f.items()) for f in items_of(root, item, rules or {})] if item is not None else None, "layout": layout_of(root, layout_item) if layout_item is not None else None,
+                "reduced": reduced_of(root, html, text_limit) if text_limit is not None else None, "error": None,
+            }
+        except Exception as error:  # noqa: BLE001 - one bad page is a row of its own
+            return {"items": None, "layout": None, "reduced": None, "error": f"{type(error).__name__}: {error}"[:500]}
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 200):  # a page may be megabytes, its tree many times that
+                part = batch.slice(begin, 200)
+                found = pa.array([read(html.as_py() or "") for html in part["body"]], kinds)
+                yield pa.RecordBatch.from_arrays([part["key"], *found.flatten()], ["key", *(f.name for f in kinds)])
 
     rows = pages.select(F.col(key).alias("key"), F.col(body).alias("body"))
-    return rows.mapInPandas(run, f"key {dict(pages.dtypes)[key]}, ordinal int, fields map<string,string>, error string").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {dict(pages.dtypes)[key]}, items {ITEMS}, layout {LAYOUT}, reduced {REDUCED}, error string").withColumnRenamed("key", key)
+
+
+def extract(pages: DataFrame, key: str, body: str, item: str, rules: dict[str, dict]) -> DataFrame:
+    """(key, ordinal, fields map, error): a row for each element that ``item`` selects, or one with a page's error."""
+    read = read_pages(pages, key, body, item=item, rules=rules)
+    none = F.array(F.create_map().cast("map<string,string>"))
+    rows = read.select(key, "error", F.posexplode(F.when(F.col("error").isNotNull(), none).otherwise(F.col("items"))).alias("ordinal", "fields"))
+    return rows.select(key, "ordinal", "fields", "error")
 
 
 def _signature(node: list, depth: int) -> str:
@@ -215,18 +255,8 @@ def _signature(node: list, depth: int) -> str:
 
 
 def layout(pages: DataFrame, key: str, body: str, item: str = "body") -> DataFrame:
-    """(key, fingerprint, signature) of each page's structure below ``item``, blind to text and layout utility classes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            told = []
-            for html in pdf["body"]:
-                found = [n for n in walk(parse(html or "")) if selects(n, item)]
-                told.append("dom:" + "|".join(sorted({_signature(n, DOM_DEPTH) for n in found})) if found else "dom:no-match")
-            yield pd.DataFrame({"key": pdf["key"], "fingerprint": [hashlib.sha1(t.encode()).hexdigest()[:16] for t in told], "signature": [t[:2000] for t in told]})
-
-    rows = pages.select(F.col(key).alias("key"), F.col(body).alias("body"))
-    return rows.mapInPandas(run, f"key {dict(pages.dtypes)[key]}, fingerprint string, signature string").withColumnRenamed("key", key)
+    """(key, fingerprint, signature, error) of each page's structure below ``item``, blind to text and layout utility classes."""
+    return read_pages(pages, key, body, layout_item=item).select(key, "layout.*", "error")
 
 
 def drift(fingerprints: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -238,9 +268,9 @@ def drift(fingerprints: DataFrame, by: list[str], order: str) -> DataFrame:
 class _Reduced:
     """A page's structure without prose and urls, with counts of what went."""
 
-    def __init__(self, html: str, limit: int) -> None:
+    def __init__(self, root: list, limit: int) -> None:
         self.limit, self.out, self.text, self.urls, self.icons = limit, [], 0, 0, 0
-        self.visit(parse(html))
+        self.visit(root)
         self.body = "".join(self.out).replace("><", ">\n<") + "\n"
 
     def visit(self, node: list) -> None:
@@ -270,15 +300,8 @@ class _Reduced:
 
 
 def reduce_html(pages: DataFrame, key: str, body: str, text_limit: int = TEXT_LIMIT) -> DataFrame:
-    """(key, reduced, in_chars, out_chars, text_dropped, urls_dropped, icons_kept)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [_Reduced(h or "", text_limit) for h in pdf["body"]]
-            yield pd.DataFrame({"key": pdf["key"], "reduced": [g.body for g in got], "in_chars": [len(h or "") for h in pdf["body"]], "out_chars": [len(g.body) - 1 for g in got], "text_dropped": [g.text for g in got], "urls_dropped": [g.urls for g in got], "icons_kept": [g.icons for g in got]})
-
-    rows = pages.select(F.col(key).alias("key"), F.col(body).alias("body"))
-    return rows.mapInPandas(run, f"key {dict(pages.dtypes)[key]}, reduced string, in_chars long, out_chars long, text_dropped long, urls_dropped long, icons_kept long").withColumnRenamed("key", key)
+    """(key, reduced, in_chars, out_chars, text_dropped, urls_dropped, icons_kept, error)."""
+    return read_pages(pages, key, body, text_limit=text_limit).select(key, "reduced.*", "error")
 
 
 # Discovery ----------------------------------------------------------------------------------------------------------

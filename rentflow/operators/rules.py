@@ -69,11 +69,10 @@ def drift(layouts: DataFrame, by: list[str], at: str) -> DataFrame:
     return layouts.withColumn("before", F.lag("fingerprint").over(w)).where(F.col("before") != F.col("fingerprint"))
 
 
-def json_layout(payload: Column, depth: int = 4) -> Column:
-    """Key paths of a JSON text with the type of each leaf, to ``depth`` levels, of arrays only the first element.
+def json_layout_function(depth: int = 4):
+    """The function behind ``json_layout``, as it can be registered for SQL.
 
-    Column code over VARIANT has no key listing, so this is an Arrow-batched function; a text that isn't JSON is
-    ``unparseable``."""
+    Column code over VARIANT has no key listing, so this is an Arrow-batched function."""
 
     @F.udf("string", useArrow=True)
     def paths(text: str | None) -> str | None:
@@ -102,4 +101,10 @@ def json_layout(payload: Column, depth: int = 4) -> Column:
                 found.add(f"{at}:{names[type(value).__name__]}")
         return "|".join(sorted(found))
 
-    return paths(payload)
+    return paths
+
+
+def json_layout(payload: Column, depth: int = 4) -> Column:
+    """Key paths of a JSON text with the type of each leaf, to ``depth`` levels, of arrays only the first element; a text
+    that isn't JSON is ``unparseable``."""
+    return json_layout_function(depth)(payload)

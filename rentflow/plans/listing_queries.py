@@ -159,7 +159,7 @@ def volume_anomaly(spark, sf_dir):
 
 DECISION_SQL = f""", old AS (SELECT external_id, arg_max(price_pcm, (run_day, ordinal)) AS price_pcm, arg_max(title, (run_day, ordinal)) AS title, count(*) % 2 AS miss_count,
     CASE WHEN count(*) % 5 = 0 THEN 'delisted' ELSE 'active' END AS status FROM sighting WHERE run_day < {CUT} GROUP BY external_id),
-new AS (SELECT external_id, arg_max(price_pcm, (run_day, ordinal)) AS price_pcm, arg_max(title, (run_day, ordinal)) AS title FROM sighting WHERE run_day >= {CUT} AND ordinal % 3 = 0 GROUP BY external_id),
+new AS (SELECT external_id, arg_max(price_pcm, (run_day, ordinal)) AS price_pcm, arg_max(title, (run_day, ordinal)) AS title FROM sighting WHERE run_day >= {CUT} GROUP BY external_id),
 d AS (SELECT coalesce(o.external_id, n.external_id) AS external_id, o.external_id IS NOT NULL AS had, n.external_id IS NOT NULL AS came, o.price_pcm AS op, n.price_pcm AS np, o.title AS ot, n.title AS nt, o.status AS os, o.miss_count AS om
   FROM old o FULL JOIN new n USING (external_id)),
 decision AS (SELECT *, CASE WHEN NOT had THEN 'insert' WHEN came AND os = 'delisted' THEN 'revive' WHEN came AND (op <> np OR ot <> nt) THEN 'update' WHEN came THEN 'unchanged'
@@ -171,7 +171,7 @@ def decisions(spark, sf_dir, mode="sweep"):
     seen = view(spark, sf_dir, "sighting")
     before = seen.where(f"run_day < {CUT}").groupBy("external_id").agg(F.max_by(F.struct("price_pcm", "title"), F.struct("run_day", "ordinal")).alias("r"), F.count(F.lit(1)).alias("n"))
     state = before.select("external_id", "r.*", (F.col("n") % 2).alias("miss_count"), F.when(F.col("n") % 5 == 0, "delisted").otherwise("active").alias("status"))
-    incoming = R.latest(seen.where(f"run_day >= {CUT} AND ordinal % 3 = 0"), ["external_id"], ["run_day", "ordinal"]).select("external_id", "price_pcm", "title")
+    incoming = R.latest(seen.where(f"run_day >= {CUT}"), ["external_id"], ["run_day", "ordinal"]).select("external_id", "price_pcm", "title")
     health = F.when(F.col("o.external_id").cast("long") % 10 == 0, "degraded").otherwise("ok")
     return R.reconcile(state, incoming, ["external_id"], ["price_pcm", "title"], mode, health)
 
@@ -268,10 +268,9 @@ def subscriptions_of_listing(spark, sf_dir):
 @query(f"""{LISTING_SQL} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l.price_pcm IS NULL THEN 'price_pcm unknown' WHEN l.price_pcm > s.price_max THEN 'price_pcm above'
     WHEN s.district IS NOT NULL AND l.postcode_district IS NULL THEN 'location unknown' WHEN s.district IS NOT NULL AND l.postcode_district <> s.district THEN 'outside areas'
     WHEN s.pets_allowed IS NOT NULL AND l.pets_allowed IS NULL THEN 'pets_allowed not stated' WHEN s.pets_allowed <> l.pets_allowed THEN 'pets_allowed differs' END AS reason
-  FROM listing l, subscription s WHERE s.active AND s.id % 50 = 7) GROUP BY reason""", "raw_listing", "subscription")
+  FROM listing l, subscription s WHERE s.active) GROUP BY reason""", "raw_listing", "subscription")
 def match_reasons(spark, sf_dir):
-    some = subs(spark, sf_dir).where("id % 50 = 7")  # as in its SQL; match_reasons_all takes every active subscription
-    return M.refusals(listing(spark, sf_dir), some)
+    return M.refusals(listing(spark, sf_dir), subs(spark, sf_dir))
 
 
 @query(f"""{LISTING_SQL}, lg AS (SELECT price_pcm, postcode_district, pets_allowed, count(*) AS n FROM listing GROUP BY ALL),

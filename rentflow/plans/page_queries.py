@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from .. import extend
 from ..functions import geo
 from ..operators import intake as I
 from ..operators import pages as P
@@ -86,6 +89,13 @@ def page_links(spark, sf_dir):
     return P.extract(pages(spark, sf_dir), "page_id", "html", "li", CARD_RULES)
 
 
+@query()
+def page_links_sql(spark, sf_dir):
+    """``page_links`` in SQL text, through the table function."""
+    extend.register_functions(spark)
+    return spark.sql("SELECT p.page_id, x.ordinal, x.fields, x.error FROM {pages} AS p, LATERAL page_items(p.html, 'li', :rules) AS x", args={"rules": json.dumps(CARD_RULES)}, pages=pages(spark, sf_dir))
+
+
 @query()
 def page_layouts(spark, sf_dir):
     return P.layout(pages(spark, sf_dir), "page_id", "html", "body")
