@@ -127,6 +127,10 @@ def explain(listings: DataFrame, subs: DataFrame) -> DataFrame:
     return both.select(F.col("s.id").alias("subscription_id"), F.col("l.source_key").alias("source_key"), F.col("l.external_id").alias("external_id"), reason().alias("reason"))
 
 
+#: Distinct wishes up to which they are broadcast.
+WISH_GROUPS = 50_000
+
+
 def refusals(listings: DataFrame, subs: DataFrame) -> DataFrame:
     """(reason, n): the first failing reasons of all pairs of two tables of any size, counted (null: the matches).
 
@@ -138,7 +142,14 @@ def refusals(listings: DataFrame, subs: DataFrame) -> DataFrame:
     l = listings.groupBy(*looked).agg(F.count(F.lit(1)).alias("listings"))
     s = subs.groupBy(*wished).agg(F.count(F.lit(1)).alias("subscriptions"))
     l = l.repartition(int(l.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but each row meets all of s
-    both = offers(l).alias("l").join(F.broadcast(wishes(s)).alias("s"), F.lit(True))
+    l, s = offers(l), wishes(s)
+    kinds = s
+    parts = -(-s.count() // WISH_GROUPS)
+    if parts <= 1:
+        both = l.alias("l").join(F.broadcast(kinds).alias("s"), F.lit(True))
+    else:  # groups of wishes in parts of that size, each met by every group of listings
+        kinds = kinds.withColumn("part", F.pmod(F.xxhash64(*wished), F.lit(parts)))
+        both = l.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("l").join(kinds.alias("s"), F.col("l.part") == F.col("s.part"))
     return both.groupBy(reason().alias("reason")).agg(F.sum(F.col("l.listings") * F.col("s.subscriptions")).alias("n")).where("n > 0")
 
 
@@ -193,25 +204,102 @@ def queue_matches(listings: DataFrame, subs: DataFrame, outbox: DataFrame, sent:
     return queue(pairs, outbox, sent)
 
 
-def fold_caps(pairs: DataFrame, sent: DataFrame) -> DataFrame:
-    """Queued pairs where a user's filters have caps of their own: filters in order of id, each takes listings in order of
-    (first_seen_at, source_key, external_id) while the user's tally is below its cap; a listing goes out once a user."""
-    listing = ["source_key", "external_id"]
-    tally = pairs.join(sent, "user_id", "left").fillna(0, ["sent"])
+class Tally:
+    """What a user got: messages of a day, and listings that went out. Batch and stream count with the same one."""
 
-    def fold(pdf):
-        pdf = pdf.sort_values(["subscription_id", "first_seen_at", *listing], na_position="first", kind="stable")
-        told, taken, keep = int(pdf["sent"].iat[0]), set(), []
-        for key, cap in zip(zip(pdf["source_key"], pdf["external_id"], strict=True), pdf["cap"], strict=True):
-            new = told < cap and key not in taken
-            keep.append(new)
-            if new:
-                taken.add(key)
-                told += 1
-        return pdf.loc[keep, ["user_id", "subscription_id", *listing]]
+    def __init__(self, sent: int = 0) -> None:
+        self.sent, self.taken = sent, set()
+
+    def take(self, key: tuple, cap: int) -> bool:
+        new = self.sent < cap and key not in self.taken
+        if new:
+            self.taken.add(key)
+            self.sent += 1
+        return new
+
+
+def fold_caps(pairs: DataFrame, sent: DataFrame, subs: DataFrame | None = None, outbox: DataFrame | None = None) -> DataFrame:
+    """(user_id, subscription_id, source_key, external_id, position, stop) where a user's filters have caps of their own: filters
+    in order of id, each takes listings in order of (first_seen_at, source_key, external_id) while the user's tally is below
+    its cap; a listing goes out once a user, also over runs (``outbox``).
 
+    Rows with a listing are queued. Rows without one say where a filter stopped: at the ``position`` of the listing that
+    reached its cap, at 0 if the cap was reached before. Filters without a pair stop too if ``subs`` (id, user_id, cap) has
+    them. ``pairs`` may have ``position``, the listing's place in the run.
+
+    A filter can't look beyond its cap plus the largest cap of fresh listings, as no user takes more than that; so only these
+    reach the fold, cut by a ranking that starts before the shuffle.
+    """
+    listing = ["source_key", "external_id"]
     kinds = dict(pairs.dtypes)
-    return tally.groupBy("user_id").applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in ["user_id", "subscription_id", *listing]))
+    if outbox is not None:
+        pairs = pairs.join(outbox.select("user_id", *listing), ["user_id", *listing], "left_anti")
+    if "position" not in pairs.columns:
+        pairs = pairs.withColumn("position", F.lit(None).cast("long"))
+    if subs is None:
+        subs = pairs.select(F.col("subscription_id").alias("id"), "user_id", "cap").distinct()
+    most = subs.agg(F.max("cap")).first()[0] or 0  # one number
+    order = Window.partitionBy("user_id", "subscription_id").orderBy(F.col("first_seen_at").asc_nulls_first(), *listing)
+    near = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * most)
+    near = near.select("user_id", "subscription_id", "cap", "position", "place", *listing)
+    each = subs.select("user_id", F.col("id").cast(kinds["subscription_id"]).alias("subscription_id"), "cap").withColumns({"position": F.lit(0).cast("long"), "place": F.lit(0), **{c: F.lit(None).cast("string") for c in listing}})
+    tally = near.unionByName(each).join(sent, "user_id", "left").fillna(0, ["sent"])
+
+    def fold(pdf):
+        tally = Tally(int(pdf["sent"].iat[0]))
+        stopped, out = None, []
+        pdf = pdf.sort_values(["subscription_id", "place"], kind="stable")
+        for user, sub, cap, position, place, *key in zip(*(pdf[c] for c in ("user_id", "subscription_id", "cap", "position", "place", *listing)), strict=True):
+            if sub == stopped:
+                continue
+            if place and tally.take(tuple(key), cap):
+                out.append((user, sub, *key, position, False))
+            if tally.sent >= cap:
+                stopped = sub
+                out.append((user, sub, None, None, position, True))
+        import pandas as pd
+
+        made = pd.DataFrame(out, columns=["user_id", "subscription_id", *listing, "position", "stop"])
+        return made.astype({"position": "Int64"})
+
+    shape = ", ".join(f"{c} {kinds[c]}" for c in ["user_id", "subscription_id", *listing])
+    return tally.groupBy("user_id").applyInPandas(fold, f"{shape}, position long, stop boolean")
+
+
+def numbered(listings: DataFrame, segment: Column) -> DataFrame:
+    """``listings`` with their place (from 1) in order of (first_seen_at, source_key, external_id). ``segment`` must not fall in
+    this order; rows are numbered in segments, whose sizes, as few as days, are summed apart."""
+    order = [F.col("first_seen_at").asc_nulls_first(), F.asc("source_key"), F.asc("external_id")]
+    rows = listings.withColumn("__segment", segment)
+    sizes = rows.groupBy("__segment").agg(F.count(F.lit(1)).alias("n"))
+    sized = sizes.agg(F.array_sort(F.collect_list(F.struct("__segment", "n"))).alias("sizes"))  # one a day
+    before = F.aggregate("sizes", F.lit(0).cast("long"), lambda sum_, x: sum_ + F.when(x["__segment"] < F.col("__segment"), x["n"]).otherwise(F.when(x["__segment"].isNull() & F.col("__segment").isNotNull(), x["n"]).otherwise(0)))
+    place = F.row_number().over(Window.partitionBy("__segment").orderBy(*order))
+    starts = sizes.crossJoin(F.broadcast(sized)).select("__segment", before.alias("before"))
+    return rows.withColumn("place", place).join(starts, rows["__segment"].eqNullSafe(starts["__segment"])).select(*listings.columns, (F.col("place") + F.col("before")).alias("position"))
+
+
+def queue_run(listings: DataFrame, subs: DataFrame, outbox: DataFrame, sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queued rows, one row of counters) of a run over new ``listings``, with caps by filter.
+
+    A run looks at the listings in order for each filter, until its cap is reached: candidates, capped (filters that stopped
+    with listings left), not_matched, not_eligible, already_notified and queued count what it saw. Nothing is looked at pair
+    by pair: a filter's place of stopping says how many listings it saw, and the matches up to there are counted by kind.
+    """
+    listing = ["source_key", "external_id"]
+    placed = numbered(listings, F.to_date("first_seen_at"))
+    found = match(listings, subs).join(subs.select(F.col("id").alias("subscription_id"), "backfill_from", "cap"), "subscription_id").join(placed.select(*listing, "position"), listing)
+    found = found.withColumn("late", F.coalesce(F.col("first_seen_at") <= F.col("backfill_from"), F.lit(False)))
+    folded = fold_caps(found.where(~F.col("late")).drop("late"), sent, subs, outbox)
+    queued = folded.where(~F.col("stop")).select("user_id", "subscription_id", *listing)
+    total = listings.agg(F.count(F.lit(1)).alias("candidates"))  # one row
+    stops = folded.where("stop").select("subscription_id", F.col("position").alias("stop_at"))
+    seen = found.join(stops, "subscription_id", "left").where(F.col("stop_at").isNull() | (F.col("position") <= F.col("stop_at")))
+    matches = seen.agg(F.count(F.lit(1)).alias("matched"), F.count_if("late").alias("not_eligible"))
+    looked = subs.select(F.col("id").alias("subscription_id")).join(stops, "subscription_id", "left").join(F.broadcast(total)).agg(
+        F.coalesce(F.sum(F.coalesce("stop_at", "candidates")), F.lit(0)).alias("looked"), F.count_if(F.col("stop_at") < F.col("candidates")).alias("capped"))
+    out = total.join(looked).join(matches).join(queued.agg(F.count(F.lit(1)).alias("queued")))
+    return queued, out.select("candidates", "capped", (F.col("looked") - F.col("matched")).alias("not_matched"), "not_eligible", "queued", (F.col("matched") - F.col("not_eligible") - F.col("queued")).alias("already_notified"))
 
 
 # Receipts (fixed values: retry and batch limits, and what a code means).

@@ -26,7 +26,7 @@ def query(sql: str | None = None, *views: str):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = (f"WITH RECURSIVE {view_sql(*views)}\n{sql}" if views and not sql.lstrip().startswith(",") else f"WITH {view_sql(*views)}{sql}") if views else sql
+            ORACLE[f.__name__] = (f"WITH RECURSIVE {view_sql(*views)}\n{sql}" if views and not sql.lstrip().startswith(",") else f"WITH RECURSIVE {view_sql(*views)}{sql}") if views else sql
         return f
 
     return add
@@ -328,6 +328,82 @@ def match_counters(spark, sf_dir):
     return both.join(alerts_queued(spark, sf_dir).agg(F.count(F.lit(1)).alias("queued")))
 
 
+# All criteria, caps by filter ---------------------------------------------------------------------------------------
+
+OFFER_SQL = f"""{LISTING_SQL}, offer AS (SELECT l.* REPLACE (CASE WHEN s.hidden THEN NULL ELSE l.postcode_district END AS postcode_district), s.bills_included, s.tfl_zone FROM listing l JOIN said s USING (source_key, external_id)),
+wish AS (SELECT * REPLACE (list_transform(split(lower(property_types), ','), lambda x: x) AS property_types, split(upper(districts), ',') AS districts, split(lower(furnished), ',') AS furnished, CAST(split(zones, ',') AS INT[]) AS zones) FROM criteria),
+judged AS (SELECT w.id AS subscription_id, w.user_id, w.cap, w.backfill_from, o.source_key, o.external_id, o.first_seen_at, CASE
+    WHEN (price_min IS NOT NULL OR price_max IS NOT NULL) AND price_pcm IS NULL THEN 'price_pcm unknown' WHEN price_pcm < price_min THEN 'price_pcm below' WHEN price_pcm > price_max THEN 'price_pcm above'
+    WHEN (bedrooms_min IS NOT NULL OR bedrooms_max IS NOT NULL) AND bedrooms IS NULL THEN 'bedrooms unknown' WHEN bedrooms < bedrooms_min THEN 'bedrooms below' WHEN bedrooms > bedrooms_max THEN 'bedrooms above'
+    WHEN property_types IS NOT NULL AND property_type IS NULL THEN 'property_type unknown' WHEN NOT list_contains(property_types, lower(property_type)) THEN 'property_type not wished'
+    WHEN (districts IS NOT NULL OR zones IS NOT NULL) AND NOT coalesce(list_contains(districts, upper(postcode_district)), FALSE) AND NOT coalesce(list_contains(zones, tfl_zone), FALSE)
+      THEN CASE WHEN coalesce(postcode_district, '') = '' AND tfl_zone IS NULL THEN 'location unknown' ELSE 'outside areas' END
+    WHEN w.furnished IS NOT NULL AND coalesce(o.furnished, 'unknown') = 'unknown' THEN 'furnished unknown' WHEN NOT list_contains(w.furnished, lower(o.furnished)) THEN 'furnished not wished'
+    WHEN w.pets_allowed IS NOT NULL AND o.pets_allowed IS NULL THEN 'pets_allowed not stated' WHEN w.pets_allowed <> o.pets_allowed THEN 'pets_allowed differs'
+    WHEN w.bills_included IS NOT NULL AND o.bills_included IS NULL THEN 'bills_included not stated' WHEN w.bills_included <> o.bills_included THEN 'bills_included differs'
+    WHEN (available_before IS NOT NULL OR available_after IS NOT NULL) AND available_from IS NULL THEN 'availability unknown' WHEN available_from > available_before THEN 'available too late' WHEN available_from < available_after THEN 'available too early'
+    WHEN tenancy_max IS NOT NULL AND min_tenancy_months IS NULL THEN 'tenancy unknown' WHEN min_tenancy_months > tenancy_max THEN 'tenancy too long'
+    WHEN direct_only AND is_landlord_direct IS NOT TRUE THEN 'not landlord direct' END AS reason
+  FROM offer o, wish w)
+"""
+
+
+def offer(spark, sf_dir):
+    said = view(spark, sf_dir, "said")
+    return listing(spark, sf_dir).join(said, ["source_key", "external_id"]).withColumn("postcode_district", F.when(~F.col("hidden"), F.col("postcode_district"))).drop("hidden")
+
+
+def criteria(spark, sf_dir):
+    lists = {c: F.split(c, ",") for c in ("property_types", "districts", "furnished")} | {"zones": F.split("zones", ",").cast("array<int>")}
+    return view(spark, sf_dir, "criteria").withColumns(lists)
+
+
+@query(f"{OFFER_SQL} SELECT subscription_id, source_key, external_id FROM judged WHERE reason IS NULL", "raw_listing", "said", "criteria")
+def criteria_pairs(spark, sf_dir):
+    return M.match(offer(spark, sf_dir), criteria(spark, sf_dir)).select("subscription_id", "source_key", "external_id")
+
+
+@query(f"{OFFER_SQL} SELECT reason, count(*) AS n FROM judged GROUP BY reason", "raw_listing", "said", "criteria")
+def criteria_reasons(spark, sf_dir):
+    return M.refusals(offer(spark, sf_dir), criteria(spark, sf_dir))
+
+
+#: The run as a loop: a row of recursion a user and step, over the filters' beginnings and their matches in order.
+RUN_SQL = f"""{OFFER_SQL}{PRIOR_SQL}, st AS (SELECT user_id, count(*) AS sent FROM prior WHERE status IN ('queued', 'sent') AND created_at >= {LONDON.format(NOW)} GROUP BY user_id),
+placed AS (SELECT source_key, external_id, row_number() OVER (ORDER BY first_seen_at NULLS FIRST, source_key, external_id) AS position FROM offer),
+found AS MATERIALIZED (SELECT j.*, position, coalesce(first_seen_at <= backfill_from, FALSE) AS late, EXISTS (SELECT 1 FROM prior p WHERE p.user_id = j.user_id AND p.source_key = j.source_key AND p.external_id = j.external_id) AS known
+  FROM judged j JOIN placed USING (source_key, external_id) WHERE reason IS NULL),
+step AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY subscription_id, position) AS i
+  FROM (SELECT user_id, subscription_id, cap, position, late, known, source_key, external_id FROM found UNION ALL SELECT user_id, id, cap, 0, FALSE, FALSE, NULL, NULL FROM wish)),
+loop AS (
+  SELECT s.user_id, i, subscription_id, position, coalesce(sent, 0) AS tally, []::BIGINT[] AS taken, CASE WHEN coalesce(sent, 0) >= cap THEN subscription_id END AS stopped, FALSE AS queued, coalesce(sent, 0) >= cap AS stop
+  FROM step s LEFT JOIN st USING (user_id) WHERE i = 1
+  UNION ALL
+  SELECT user_id, i, subscription_id, position, tally + new, CASE WHEN new = 1 THEN list_append(taken, position) ELSE taken END,
+    CASE WHEN subscription_id IS NOT DISTINCT FROM stopped THEN stopped WHEN tally + new >= cap THEN subscription_id ELSE stopped END, new = 1, subscription_id IS DISTINCT FROM stopped AND tally + new >= cap
+  FROM (SELECT s.*, l.tally, l.taken, l.stopped,
+      CASE WHEN s.position > 0 AND s.subscription_id IS DISTINCT FROM l.stopped AND NOT s.late AND NOT s.known AND l.tally < s.cap AND NOT list_contains(l.taken, s.position) THEN 1 ELSE 0 END AS new
+    FROM loop l JOIN step s ON s.user_id = l.user_id AND s.i = l.i + 1)),
+stops AS (SELECT subscription_id, position AS stop_at FROM loop WHERE stop)
+"""
+
+
+@query(f"{RUN_SQL} SELECT l.user_id, l.subscription_id, source_key, external_id FROM loop l JOIN placed USING (position) WHERE queued", "raw_listing", "said", "criteria", "receipt")
+def alerts_by_filter(spark, sf_dir):
+    before = prior(spark, sf_dir)
+    return M.queue_run(offer(spark, sf_dir), criteria(spark, sf_dir), before, M.sent_today(before, F.expr(NOW)))[0]
+
+
+@query(f"""{RUN_SQL}, a AS (SELECT (SELECT count(*) FROM offer) AS candidates, (SELECT count(*) FROM loop WHERE queued) AS queued,
+    (SELECT CAST(sum(coalesce(stop_at, (SELECT count(*) FROM offer))) AS BIGINT) FROM wish LEFT JOIN stops ON subscription_id = id) AS looked, (SELECT count(*) FROM stops WHERE stop_at < (SELECT count(*) FROM offer)) AS capped,
+    (SELECT count(*) FROM found LEFT JOIN stops USING (subscription_id) WHERE position <= coalesce(stop_at, position)) AS matched,
+    (SELECT count(*) FROM found LEFT JOIN stops USING (subscription_id) WHERE position <= coalesce(stop_at, position) AND late) AS not_eligible)
+  SELECT candidates, capped, looked - matched AS not_matched, not_eligible, queued, matched - not_eligible - queued AS already_notified FROM a""", "raw_listing", "said", "criteria", "receipt")
+def run_queue_counters(spark, sf_dir):
+    before = prior(spark, sf_dir)
+    return M.queue_run(offer(spark, sf_dir), criteria(spark, sf_dir), before, M.sent_today(before, F.expr(NOW)))[1]
+
+
 # Outbox -------------------------------------------------------------------------------------------------------------
 
 

@@ -39,6 +39,35 @@ SELECT c_custkey AS id, CAST(floor(c_custkey / 2) AS BIGINT) AS user_id,
 FROM {customer}
 """
 
+#: All ten criteria; lists are joined by commas. Filters of a user have caps of their own.
+CRITERIA = """
+SELECT c_custkey AS id, CAST(floor(c_custkey / 4) AS BIGINT) AS user_id,
+       CASE WHEN c_custkey % 4 = 0 THEN CAST(300 + (c_custkey * 7) % 900 AS INT) END AS price_min,
+       CASE WHEN c_custkey % 3 <> 0 THEN CAST(900 + (c_custkey * 13) % 2500 AS INT) END AS price_max,
+       CASE WHEN c_custkey % 5 = 1 THEN CAST(c_custkey % 3 AS INT) END AS bedrooms_min,
+       CASE WHEN c_custkey % 5 IN (1, 2) THEN CAST(1 + c_custkey % 4 AS INT) END AS bedrooms_max,
+       CASE c_custkey % 6 WHEN 0 THEN 'flat,Room' WHEN 3 THEN 'house,maisonette,studio' END AS property_types,
+       CASE c_custkey % 7 WHEN 0 THEN 'se16,E1' WHEN 1 THEN 'W2,N1,SW10' WHEN 2 THEN 'RG30' END AS districts,
+       CASE c_custkey % 8 WHEN 0 THEN '1,2' WHEN 1 THEN '5' END AS zones,
+       CASE c_custkey % 9 WHEN 0 THEN 'furnished,part' WHEN 1 THEN 'Unfurnished' END AS furnished,
+       CASE c_custkey % 10 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS pets_allowed,
+       CASE c_custkey % 11 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS bills_included,
+       CASE WHEN c_custkey % 12 = 0 THEN DATE '2024-02-20' END AS available_before,
+       CASE WHEN c_custkey % 12 IN (0, 5) THEN DATE '2024-01-10' END AS available_after,
+       CASE WHEN c_custkey % 13 = 0 THEN CAST(6 + c_custkey % 8 AS INT) END AS tenancy_max,
+       CASE c_custkey % 14 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS direct_only,
+       CAST(1 + (c_custkey * 5) % 7 AS INT) AS cap,
+       TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (c_custkey % 100) AS backfill_from
+FROM {customer}
+"""
+
+#: What a listing says beside its canonical columns.
+SAID = """
+SELECT CASE WHEN p_partkey % 2 = 0 THEN 'direct' ELSE 'agent' END AS source_key, CAST(p_partkey AS STRING) AS external_id,
+       CASE p_partkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS bills_included, CASE WHEN p_partkey % 7 < 6 THEN CAST(1 + p_partkey % 7 AS INT) END AS tfl_zone, p_partkey % 9 = 0 AS hidden
+FROM {part}
+"""
+
 SIGHTING = """
 SELECT CAST(o_custkey AS STRING) AS external_id, CAST(o_orderdate AS DATE) AS run_day, o_orderkey AS ordinal,
        CAST(floor(o_totalprice / 100) AS INT) AS price_pcm, o_orderpriority AS title
@@ -136,7 +165,7 @@ FROM {part}
 
 #: Name, SQL, and the one table that each view reads.
 VIEWS = {
-    "raw_listing": (RAW_LISTING, "part"), "subscription": (SUBSCRIPTION, "customer"), "sighting": (SIGHTING, "orders"), "receipt": (RECEIPT, "events"), "run_event": (RUN, "events"),
+    "raw_listing": (RAW_LISTING, "part"), "subscription": (SUBSCRIPTION, "customer"), "sighting": (SIGHTING, "orders"), "criteria": (CRITERIA, "customer"), "said": (SAID, "part"), "receipt": (RECEIPT, "events"), "run_event": (RUN, "events"),
     "source": (SOURCE, "supplier"), "location": (LOCATION, "customer"), "source_location": (SOURCE_LOCATION, "orders"), "zone_list": (ZONE_LIST, "orders"), "schedule": (SCHEDULE, "supplier"),
     "subscriber": (SUBSCRIBER, "customer"), "user_channel": (USER_CHANNEL, "customer"), "channel": (CHANNEL, "customer"), "notification": (NOTIFICATION, "events"), "job_run": (JOB_RUN, "events"), "rule_version": (RULE_VERSION, "part"),
 }
