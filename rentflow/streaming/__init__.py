@@ -1,11 +1,11 @@
-"""Structured Streaming forms of the table operators. State is keyed and bounded by watermarks or by the state table."""
+"""Structured Streaming forms of the table operators. State is keyed and bounded by watermarks, timers or the state table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import matching, reconcile
+from ..operators import matching
 
 
 def event_volume(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
@@ -25,52 +25,7 @@ def match_new(listings: DataFrame, subs: DataFrame) -> DataFrame:
     return matching.match(listings, subs)
 
 
-def observe(sightings: DataFrame, state_path: str, checkpoint: str, keys: list[str], tracked: list[str], mode: str = "hot"):
-    """Reconciles every micro-batch with the state table and starts the query (available data, then it ends).
+from .caps import capped  # noqa: E402
+from .state import StateTable, observe  # noqa: E402
 
-    A batch writes the next state as ``version=<batch>``; a batch that is run again overwrites its own version and reads the
-    one before, so a restart repeats nothing. Old versions are the caller's to remove.
-    """
-    spark = sightings.sparkSession
-    columns = [*keys, "status", "miss_count", *tracked]
-
-    def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        kinds = dict(batch.dtypes) | {"status": "string", "miss_count": "int"}
-        if number:
-            state = session.read.parquet(f"{state_path}/version={number - 1}")
-        else:
-            state = session.createDataFrame([], ", ".join(f"{c} {kinds[c]}" for c in columns))
-        newest = reconcile.latest(batch, keys, ["seen_at"])
-        decided = reconcile.reconcile(state, newest.select(*keys, *tracked), keys, tracked, mode, F.lit("ok"))
-        decided.select(*columns).write.mode("overwrite").parquet(f"{state_path}/version={number}")
-
-    writer = sightings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    return writer.trigger(availableNow=True).start()
-
-
-def capped(pairs: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Of a stream of pairs (user_id, listing, cap, at) the first ``cap`` a user and UTC day, in order of arrival; a user's
-    tally is dropped a day after its last pair."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        sent = state.get[0] if state.exists else 0
-        for pdf in batches:
-            keep = []
-            for cap in pdf["cap"]:
-                keep.append(sent < cap)
-                sent += keep[-1]
-            out = pdf[keep]
-            if len(out):
-                yield pd.DataFrame({"user_id": out["user_id"], "listing": out["listing"], "day": key[1]})
-        state.update((sent,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
-
-    rows = pairs.withColumn("day", F.to_date("at")).select("user_id", "listing", "cap", "day")
-    return rows.groupBy("user_id", "day").applyInPandasWithState(step, "user_id long, listing string, day date", "sent int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+__all__ = ["StateTable", "capped", "event_volume", "match_new", "new_tasks", "observe"]
