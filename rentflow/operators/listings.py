@@ -54,9 +54,10 @@ def orphans(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     return child.join(parent.select(*keys).distinct(), keys, "left_anti")
 
 
-def health(rows: DataFrame, required: list[str], by: list[str], min_items: int, history: DataFrame | None = None, same_page: bool = False, id_col: str = "external_id") -> DataFrame:
+def health(rows: DataFrame, required: list[str], by: list[str], min_items: int, history: DataFrame | None = None, same_page: bool = False, id_col: str = "external_id", low: DataFrame | None = None) -> DataFrame:
     """A verdict for each batch: items, fill rates, duplicates, implausible rows, notes. ``history`` has ``by`` columns and
-    ``recent_average``; a batch named there without rows counts as empty, hence broken."""
+    ``recent_average``; a batch named there without rows counts as empty, hence broken. ``low`` (by, low), if given, has the
+    required fields that are filled too rarely."""
     price, beds = F.col("price_pcm"), F.col("bedrooms")
     odd = F.coalesce(~price.between(*PRICE_RANGE), F.lit(False)) | F.coalesce(~beds.between(*BEDROOM_RANGE), F.lit(False))
     out = rows.groupBy(*by).agg(
@@ -68,7 +69,10 @@ def health(rows: DataFrame, required: list[str], by: list[str], min_items: int,
         out = out.join(history.select(*by, "recent_average"), by, "full_outer").withColumn("items", F.coalesce("items", F.lit(0)))
     else:
         out = out.withColumn("recent_average", F.lit(None).cast("double"))
-    low = F.array_sort(F.filter(F.array(*[F.when(F.col(f"fill_{c}") < FILL_FLOOR, F.lit(c)) for c in required]), lambda x: x.isNotNull()))
+    if low is not None:
+        out, low = out.join(low, by, "left"), F.coalesce("low", F.array().cast("array<string>"))
+    else:
+        low = F.array_sort(F.filter(F.array(*[F.when(F.col(f"fill_{c}") < FILL_FLOOR, F.lit(c)) for c in required]).cast("array<string>"), lambda x: x.isNotNull()))
     duplicates = F.col("duplicates") > 0 if same_page else F.lit(False)
     thin = F.col("items") < F.col("recent_average") * VOLUME_RATIO
     steps = [(F.col("items") == 0, "broken", "no items"), (F.col("items") < min_items, "broken", "below floor"), (duplicates, "broken", "duplicate ids"), (F.size(low) > 0, "broken", "low fill"), (F.col("implausible") > F.col("items") * IMPLAUSIBLE_CEILING, "broken", "implausible"), (thin, "degraded", "low volume")]
@@ -77,7 +81,24 @@ def health(rows: DataFrame, required: list[str], by: list[str], min_items: int,
         verdict = F.when(when, name) if verdict is None else verdict.when(when, name)
         note = F.when(when, why) if note is None else note.when(when, why)
     out = out.withColumns({"verdict": verdict.otherwise("ok"), "note": note, "low_fields": F.array_join(low, ",")})
-    return out.withColumn("passed", F.col("verdict") != "broken")
+    return out.drop("low").withColumn("passed", F.col("verdict") != "broken")
+
+
+def fills(rows: DataFrame, by: list[str], contracts: DataFrame, source: str = "source_key") -> DataFrame:
+    """(by, field, required, fill): the share of a batch's rows that give a field of their own source's contract; a field that
+    ``rows`` has no column for is never given. ``by`` includes ``source``."""
+    named = [c for c in rows.columns if c not in by]
+    said = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), text.present(F.col(c).cast("string")).cast("int").alias("given")) for c in named])).alias("f"))
+    given = said.groupBy(*by, "f.field").agg(F.sum("f.given").alias("given"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("items"))
+    promised = sizes.join(contracts, source)
+    return promised.join(given, [*by, "field"], "left").select(*by, "field", "required", (F.coalesce("given", F.lit(0)) / F.col("items")).alias("fill"))
+
+
+def health_by_contract(rows: DataFrame, by: list[str], contracts: DataFrame, min_items: int, source: str = "source_key", **more) -> DataFrame:
+    """``health`` of batches of several sources at once, each by the required fields of its own contract."""
+    low = fills(rows, by, contracts, source).where(F.col("required") & (F.col("fill") < FILL_FLOOR)).groupBy(*by).agg(F.array_sort(F.collect_list("field")).alias("low"))  # fields are few
+    return health(rows, [], by, min_items, low=low, **more)
 
 
 def recent_average(counts: DataFrame, by: list[str], order: str, batches: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,14 +71,69 @@ def payload(body: Column, strategy: str) -> Column:
     return F.when(F.size(blocks) == 1, F.element_at(blocks, 1)).when(F.size(blocks) > 1, F.concat(F.lit("["), F.array_join(blocks, ","), F.lit("]")))
 
 
+PATH_STEP = re.compile(r"\.([A-Za-z_][\w-]*)|\[(\d+)\]|\['([^']*)'\]|\[\*\]")
+
+
+def path_steps(path: str) -> list[str | None]:
+    """A JSON path as its parts between ``[*]`` steps, each a path from ``$``; None stands for ``[*]``."""
+    steps: list[str | None] = []
+    at = 1
+    if not path.startswith("$"):
+        raise ValueError(f"a path starts with $: {path}")
+    while at < len(path):
+        found = PATH_STEP.match(path, at)
+        if not found:
+            raise ValueError(f"not a path of .name, [n], ['name'] and [*]: {path}")
+        name, index, quoted = found.groups()
+        if found[0] == "[*]":
+            steps.append(None)
+        else:
+            step = f"[{index}]" if index is not None else f'["{name if name is not None else quoted}"]'
+            if steps and steps[-1] is not None:
+                steps[-1] += step
+            else:
+                steps.append("$" + step)
+        at = found.end()
+    return steps
+
+
+def _elements(v: Column) -> Column:
+    """A list's elements, or the value itself as the only one."""
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+
+
+def _at(step: str) -> Callable[[Column], Column]:
+    return lambda v: F.try_variant_get(v, step, "variant")
+
+
+def path_values(v: Column, path: str) -> Column:
+    """All values that a path finds in a variant, in order; ``[*]`` steps into each element of a list."""
+    found = F.array(v)
+    for step in path_steps(path):
+        if step is None:
+            found = F.flatten(F.transform(found, _elements))
+        else:
+            found = F.filter(F.transform(found, _at(step)), lambda x: x.isNotNull())
+    return found
+
+
 def json_rows(pages: DataFrame, body: str, strategy: str, root: str, fields: dict[str, str], keys: list[str]) -> DataFrame:
-    """A row for each element under ``root`` (an object counts as one), with scalar ``fields`` by path; containers and
-    missing paths are null, a body that isn't JSON gives no rows."""
-    v = pages.withColumn("v", F.try_variant_get(F.try_parse_json(payload(F.col(body), strategy)), root, "variant"))
-    v = v.where(F.col("v").isNotNull())
-    many = F.schema_of_variant("v").startswith("ARRAY")
-    v = v.withColumn("item", F.explode(F.when(many, F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))))
-    return v.select(*keys, *[F.try_variant_get("item", path, "string").alias(name) for name, path in fields.items()])
+    """A row for each value that ``root`` finds, lists among them flattened one level, with scalar ``fields`` by path (the
+    first value found); containers and missing paths are null, a body that isn't JSON gives no rows.
+
+    Paths are made of .name, [n], ['name'] and [*]."""
+    v = pages.withColumn("v", F.try_parse_json(payload(F.col(body), strategy)))
+    v = v.where(F.col("v").isNotNull()).withColumn("item", F.explode(F.flatten(F.transform(path_values(F.col("v"), root), _elements))))
+
+    def first(path: str) -> Column:
+        if None in path_steps(path):
+            found = F.try_element_at(path_values(F.col("item"), path), F.lit(1))
+        else:
+            found = F.try_variant_get("item", "".join(s for s in path_steps(path) if s) or "$", "variant")
+        scalar = ~F.schema_of_variant(found).startswith("OBJECT") & ~F.schema_of_variant(found).startswith("ARRAY")
+        return F.when(scalar, F.try_variant_get(found, "$", "string"))
+
+    return v.select(*keys, *[first(path).alias(name) for name, path in fields.items()])
 
 
 class Tree(HTMLParser):

@@ -44,15 +44,49 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), body, F.when(pattern.endswith("$"), r"\z").otherwise(""))
 
 
+#: Lengths of the path prefixes by which rules are found.
+PREFIXES = (0, 1, 2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+
+
+def literal(pattern: Column) -> Column:
+    """What every path that fits the pattern begins with: the pattern up to its first ``*`` or its end mark."""
+    return F.split(F.regexp_replace(pattern, r"\$+$", ""), r"\*", 2)[0]
+
+
+def hot_hosts(paths: DataFrame, parts: int) -> DataFrame:
+    """(host, salts): hosts with more than a ``parts``-th of all rows, at most ``parts`` of them, and their shares."""
+    counts = paths.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    return counts.join(F.broadcast(total)).where(F.col("n") * parts > F.col("total")).select("host", F.ceil(F.col("n") * parts / F.col("total")).cast("int").alias("salts"))
+
+
+def candidates(rules_: DataFrame, paths: DataFrame, parts: int) -> DataFrame:
+    """(host, url, path, regex, rule): the rules of a url's host whose literal beginning the path has, by an equi-join.
+
+    A rule is filed under the longest of PREFIXES that its beginning fills, a path looks under each that it fills. Of hot
+    hosts the rules are repeated and the urls dealt out, so no key has much more than a ``parts``-th of the urls.
+    """
+    hot = F.broadcast(hot_hosts(paths, parts))
+    start = literal(F.col("rule.pattern"))
+    longest = F.array_max(F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length(start)))
+    filed = rules_.join(hot, "host", "left").withColumns({"start": start, "size": longest, "salt": F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))})
+    filed = filed.select("host", "size", F.expr("substring(start, 1, size)").alias("prefix"), "salt", "regex", "rule")
+    salt = F.pmod(F.xxhash64("url"), F.coalesce("salts", F.lit(1))).cast("int")
+    asked = paths.join(hot, "host", "left").select("host", "url", "path", salt.alias("salt"), F.explode(F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length("path"))).alias("size"))
+    asked = asked.withColumn("prefix", F.expr("substring(path, 1, size)"))
+    return asked.join(filed, ["host", "size", "prefix", "salt"]).select("host", "url", "path", "regex", "rule")
+
+
 def audit(table: DataFrame, urls: DataFrame, agent: str) -> DataFrame:
     """``urls`` (host, url, ...) with allowed and winning_rule: the longest pattern that fits, allow on ties, else allowed.
 
-    An equi-join on the host; the pattern is a residual. The best rule is a max over a struct, so it is combined before
-    the shuffle, and a host of many urls meets only its own rules."""
+    Rules are found by host and literal beginning, only those found are tried as regular expressions. The best rule is a max
+    over a struct, so it is combined before the shuffle."""
     mine = table.where(F.col("field").isin("allow", "disallow")).join(groups(table, agent), ["host", "group_no"], "left_semi")
     mine = mine.select("host", pattern_regex(F.col("value")).alias("regex"), F.struct(F.length("value").alias("size"), (F.col("field") == "allow").alias("allow"), F.col("value").alias("pattern")).alias("rule")).distinct()
     paths = urls.select("host", "url").distinct().withColumn("path", url_path(F.col("url")))
-    best = paths.join(mine, (paths["host"] == mine["host"]) & F.expr("path rlike regex")).groupBy(paths["host"], "url").agg(F.max("rule").alias("rule"))
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = candidates(mine, paths, parts).where(F.expr("path rlike regex")).groupBy("host", "url").agg(F.max("rule").alias("rule"))
     return urls.join(best, ["host", "url"], "left").select(*urls.columns, F.coalesce("rule.allow", F.lit(True)).alias("allowed"), F.col("rule.pattern").alias("winning_rule"))
 
 

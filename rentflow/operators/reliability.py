@@ -8,12 +8,29 @@ from pyspark.sql import functions as F
 BASE_SECONDS, MAX_SECONDS = 1800, 43_200
 
 
-def streaks(history: DataFrame, by: list[str], order: list[str], bad: Column) -> DataFrame:
-    """``streak``: bad rows in a row up to this one, 0 at a clean one."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    islands = history.withColumn("bad", bad).withColumn("island", F.sum((~F.col("bad")).cast("int")).over(w))
-    inside = Window.partitionBy(*by, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return islands.withColumn("streak", F.sum(F.col("bad").cast("int")).over(inside)).drop("island", "bad")
+def streaks(history: DataFrame, by: list[str], order: list[str], bad: Column, segment: Column | None = None) -> DataFrame:
+    """``streak``: bad rows in a row up to this one, 0 at a clean one (null counts as clean).
+
+    A segmented scan: rows are numbered inside segments (of ``by`` and a ``segment`` that never falls in ``order``; the day of
+    its first column unless given), so a source of any size is many tasks. Of each segment its length, trailing bad rows and
+    whether all are bad go on, and give the bad rows that it begins with; a source's segments are as few as days.
+    """
+    part = "__segment"
+    rows = history.withColumns({part: F.to_date(order[0]) if segment is None else segment, "__bad": F.coalesce(bad, F.lit(False))})
+    w = Window.partitionBy(*by, part).orderBy(*order)
+    islands = rows.withColumn("__island", F.sum((~F.col("__bad")).cast("int")).over(w))
+    inside = Window.partitionBy(*by, part, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = islands.withColumn("__run", F.sum(F.col("__bad").cast("int")).over(inside))
+    ends = runs.groupBy(*by, part).agg(F.max_by("__run", F.struct(*order)).alias("tail"), F.min("__bad").alias("all_bad"))
+    listed = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(part, "tail", "all_bad"))).alias("segments"))
+    start = F.struct(F.lit(0).cast("long").alias("now"), F.array().cast("array<bigint>").alias("before"))
+    step = lambda acc, x: F.struct((x["tail"] + F.when(x["all_bad"], acc["now"]).otherwise(0)).alias("now"), F.concat(acc["before"], F.array(acc["now"])).alias("before"))
+    carried = listed.select(*by, F.explode(F.arrays_zip(F.col("segments"), F.aggregate("segments", start, step)["before"].alias("before"))).alias("s"))
+    names = [f"__key{i}" for i in range(len(by) + 1)]
+    carried = carried.select(*[F.col(c).alias(k) for c, k in zip([*by, f"s.segments.{part}"], names, strict=True)], F.col("s.before").alias("__before"))
+    both = runs.join(carried, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip([*by, part], names, strict=True)], "left")
+    first = F.col("__bad") & (F.col("__island") == 0)
+    return both.select(*history.columns, (F.col("__run") + F.when(first, F.col("__before")).otherwise(0)).alias("streak"))
 
 
 def cooldown(fails: Column) -> Column:

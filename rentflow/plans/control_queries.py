@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import control as C
 from ..operators import pages as P
 from ..operators import rules as R
+from ..sources.contracts import CONTRACTS, RULES, contracts, rule_table
 from ..sources.views import table, view, view_sql
 from .listing_queries import DECISION_SQL, LISTING_SQL, NOW, decisions, listing
 
@@ -568,6 +569,17 @@ def jsonld_rows(spark, sf_dir):
     return P.json_rows(rows, "body", "jsonld", "$", {"id": "$.id", "kind": "$.kind", "price": "$.price"}, ["source_key", "external_id"])
 
 
+NESTED = """{"props": {"pages": [{"no": 1, "cards": [{"id": "%s", "price": %s, "tags": [{"t": "a"}, {"t": "b"}]}, {"id": "%s-2", "price": null, "tags": []}]}, {"no": 2, "cards": {"id": "%s-3", "tags": [{"t": {}}, {"t": "c"}]}}, {"no": 3}]}}"""
+
+
+@query("""SELECT source_key, external_id, external_id || s AS id, CASE WHEN s = '' THEN CAST(batch_no AS VARCHAR) END AS price, CASE WHEN s = '' THEN 'a' END AS tag, CASE WHEN s <> '-2' THEN f END AS second FROM raw_listing, (VALUES ('', 'b'), ('-2', NULL), ('-3', 'c')) v(s, f)""", "raw_listing")
+def nested_rows(spark, sf_dir):
+    """Cards of all pages of a payload: lists inside lists, a single object in a list's place, an empty list, a missing one."""
+    body = F.format_string(NESTED, "external_id", F.col("batch_no").cast("string"), "external_id", "external_id")
+    rows = view(spark, sf_dir, "raw_listing").select("source_key", "external_id", body.alias("body"))
+    return P.json_rows(rows, "body", "api_json", "$.props.pages[*].cards", {"id": "$.id", "price": "$.price", "tag": "$.tags[*].t", "second": "$.tags[1].t"}, ["source_key", "external_id"])
+
+
 @query("SELECT page_id, concat_ws(',', CASE WHEN contains(lower(html), '<nav') THEN '<nav' END, CASE WHEN contains(lower(html), '<script') THEN '<script' END) AS found, len(regexp_extract_all(html, 'href=\"/[a-z]+')) AS links FROM pages")
 def page_markers(spark, sf_dir):
     m = P.markers(F.col("html"), ("<nav", "<script"), 'href="/[a-z]+')
@@ -617,6 +629,79 @@ def health_passed(spark, sf_dir):
     return L.health(rows, ["price_pcm"], ["source_key", "batch_no"], min_items=12).select("source_key", "batch_no", "passed")
 
 
+# Contracts and rule sets ---------------------------------------------------------------------------------------------
+
+CONTRACT_SQL = ", contract(source_key, field, required) AS (VALUES " + ", ".join(f"('{k}', '{f}', {r})" for k, fields in CONTRACTS.items() for f, r, _ in fields) + """),
+given AS (SELECT source_key, batch_no % 4 AS batch, field, v FROM (SELECT source_key, batch_no, external_id, url, title, price_raw, bedrooms_raw, property_type_raw, postcode_raw, available_raw AS available_from_raw, tenancy_raw AS min_tenancy_raw, furnished_raw FROM raw_listing)
+  UNPIVOT INCLUDE NULLS (v FOR field IN (external_id, url, title, price_raw, bedrooms_raw, property_type_raw, postcode_raw, available_from_raw, min_tenancy_raw, furnished_raw))),
+sizes AS (SELECT source_key, batch_no % 4 AS batch, count(*) AS items FROM raw_listing GROUP BY ALL),
+fill AS (SELECT s.source_key, s.batch, c.field, c.required, coalesce(sum(CASE WHEN trim(v) <> '' THEN 1 ELSE 0 END), 0) / any_value(items)::DOUBLE AS fill
+  FROM sizes s JOIN contract c USING (source_key) LEFT JOIN given g ON g.source_key = s.source_key AND g.batch = s.batch AND g.field = c.field GROUP BY ALL)"""
+
+
+def _given(spark, sf_dir):
+    raw = view(spark, sf_dir, "raw_listing").withColumn("batch", F.col("batch_no") % 4).withColumnsRenamed({"available_raw": "available_from_raw", "tenancy_raw": "min_tenancy_raw"})
+    return raw.select("source_key", "batch", "external_id", "url", "title", "price_raw", "bedrooms_raw", "property_type_raw", "postcode_raw", "available_from_raw", "min_tenancy_raw", "furnished_raw")
+
+
+@query(f"{CONTRACT_SQL} SELECT source_key, batch, field, required, round(fill, 6) AS fill FROM fill", "raw_listing")
+def contract_fill(spark, sf_dir):
+    from ..operators import listings as L
+
+    return L.fills(_given(spark, sf_dir), ["source_key", "batch"], contracts(spark)).select("source_key", "batch", "field", "required", F.round("fill", 6).alias("fill"))
+
+
+@query(f"""{CONTRACT_SQL}, low AS (SELECT source_key, batch, string_agg(field, ',' ORDER BY field) AS low_fields FROM fill WHERE required AND fill < 0.95 GROUP BY ALL)
+  SELECT source_key, batch, items, CASE WHEN items < 60 OR low_fields IS NOT NULL THEN 'broken' ELSE 'ok' END AS verdict, CASE WHEN items < 60 THEN 'below floor' WHEN low_fields IS NOT NULL THEN 'low fill' END AS note, coalesce(low_fields, '') AS low_fields
+  FROM sizes LEFT JOIN low USING (source_key, batch)""", "raw_listing")
+def contract_health(spark, sf_dir):
+    """Two sources with different fields in one job."""
+    from ..operators import listings as L
+
+    rows = _given(spark, sf_dir).withColumns({"price_pcm": F.lit(None).cast("int"), "bedrooms": F.lit(None).cast("int")})
+    return L.health_by_contract(rows, ["source_key", "batch"], contracts(spark), min_items=60).select("source_key", "batch", "items", "verdict", "note", "low_fields")
+
+
+@query("SELECT source_key, page_kind, count(*) AS fields, 0 AS faults FROM (VALUES " + ", ".join(f"('{k}', '{kind}', '{f}')" for k, kinds in RULES.items() for kind, (_, fields) in kinds.items() for f in fields) + ") v(source_key, page_kind, field) WHERE source_key IN (SELECT source_key FROM raw_listing) GROUP BY ALL", "raw_listing")
+def rule_sets(spark, sf_dir):
+    """The built-in rule sets of the sources that there are listings of, checked as any other."""
+    from ..operators import rules
+
+    here = view(spark, sf_dir, "raw_listing").select("source_key").distinct()
+    return rules.problems(rule_table(spark)).join(here, "source_key", "left_semi").groupBy("source_key", "page_kind").agg(F.count(F.lit(1)).alias("fields"), F.count("problem").cast("int").alias("faults"))
+
+
+HEAD = "concat(coalesce(bedrooms_raw, '4 Beds'), ' ', coalesce(property_type_raw, 'House'), ', Rope Street, ', split_part(postcode_raw, ' ', 1))"
+CELL = "<tr><td>{}</td><td>{}</td></tr>"
+
+
+def _detail(spark, sf_dir):
+    """Pages as both sources lay them out, made from the raw listings."""
+    cell = lambda label, value: F.when(value.isNotNull(), F.concat(F.lit(f"<tr><th>{label}</th><td>"), value, F.lit("</td></tr>"))).otherwise("")
+    tick = F.when(F.col("flag_raw") == "No pets", '<i class="text-danger"></i>').when(F.col("flag_raw").isNotNull(), '<i class="text-success"></i>')
+    c, head = F.col, F.expr(HEAD)
+    direct = F.concat(F.lit("<html><body><h1> "), head, F.lit("</h1><table>"), cell("Rent PCM", c("price_raw")), cell("Available From", c("available_raw")), cell("Preferred Minimum Tenancy", c("tenancy_raw")), cell("Furnishing", c("furnished_raw")), cell("Pets Allowed", tick), F.lit('</table><p id="descriptionText">Said &amp; done<br>here</p></body></html>'))
+    agent = F.concat(
+        F.lit('<html><body><h1 itemprop="streetAddress">'), head, F.lit('</h1><div data-testid="primaryPrice"><span>'), c("price_raw"), F.lit("</span><span>£1 pw</span></div>"), F.lit("<dl><dt>Let available date: </dt><dd>"), F.coalesce("available_raw", F.lit("")), F.lit("</dd></dl>"),
+        F.coalesce(F.concat(F.lit('<p data-testid="info-reel-BEDROOMS-text">'), c("bedrooms_raw"), F.lit("</p>")), F.lit("")), F.lit('<ul data-testid="keyFeatures"><li>EPC Rating: C</li></ul></body></html>'),
+    )
+    return view(spark, sf_dir, "raw_listing").select("source_key", "external_id", F.when(c("source_key") == "direct", direct).otherwise(agent).alias("body"))
+
+
+@query(rf"""SELECT source_key, external_id, {HEAD} AS title, CASE WHEN source_key = 'direct' THEN price_raw ELSE coalesce(nullif(regexp_extract(price_raw, '(£\s*[0-9,]+(\.[0-9]{{2}})?\s*p(cm|w))', 1), ''), '£1 pw') END AS price_raw, available_raw AS available_from_raw,
+  CASE WHEN source_key = 'agent' THEN bedrooms_raw ELSE nullif(regexp_extract({HEAD}, '^\s*([0-9]+\s*Bed|Studio|Room)', 1), '') END AS bedrooms_raw, regexp_extract({HEAD}, '([A-Za-z]{{1,2}}[0-9]{{1,2}}[A-Za-z]?)\s*$', 1) AS postcode_raw,
+  CASE WHEN source_key = 'direct' THEN CASE WHEN flag_raw = 'No pets' THEN 'false' WHEN flag_raw IS NOT NULL THEN 'true' END END AS pets_allowed, CASE WHEN source_key = 'agent' THEN 'C' END AS epc_rating,
+  CASE WHEN source_key = 'direct' THEN 'Said & done here' END AS description, CAST(source_key = 'direct' AS VARCHAR) AS is_landlord_direct FROM raw_listing""", "raw_listing")
+def detail_fields(spark, sf_dir):
+    """Both sources' detail pages, each read by its own rule set."""
+    from .. import extend
+
+    known = {n: extend.Source(n, lambda df: df, r) for n, r in RULES.items()}
+    items = extend.source_items(_detail(spark, sf_dir), "external_id", "body", "detail", known)
+    names = ("title", "price_raw", "available_from_raw", "bedrooms_raw", "postcode_raw", "pets_allowed", "epc_rating", "description", "is_landlord_direct")
+    return items.select("source_key", "external_id", *[F.col("fields")[n].alias(n) for n in names])
+
+
 # Life-cycle times, unreachable users, enumerations, stages -----------------------------------------------------------
 
 STAMPS = "SELECT external_id, CAST(min(run_day) AS TIMESTAMP) AS first_seen_at, CAST(max(run_day) AS TIMESTAMP) AS last_seen_at, CASE WHEN count(*) % 5 = 0 THEN CAST(max(run_day) AS TIMESTAMP) END AS delisted_at FROM sighting WHERE run_day < DATE '1998-01-01' GROUP BY external_id"
