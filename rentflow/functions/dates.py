@@ -68,3 +68,11 @@ def available_from(c: Column, reference: Column) -> Column:
 def as_date(c: Column) -> Column:
     """The first ten characters as an ISO date, else null."""
     return F.try_to_date(F.substring(c.cast("string"), 1, 10), "yyyy-MM-dd")
+
+
+def as_timestamp(c: Column) -> Column:
+    """An ISO date or date and time, with a blank or a T between them, to the microsecond, with or without a zone; else null."""
+    said = c.cast("string")
+    whole = said.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:[.]\d{1,6})?)?)?(?:Z|[+-]\d{2}:\d{2})?)?$")
+    hour_only = F.regexp_replace(said, r"^(.{10})[T ](\d{2})(Z|[+-].*)?$", "$1T$2:00$3")
+    return F.when(whole, hour_only.try_cast("timestamp"))

@@ -35,14 +35,21 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFr
     return told.where(F.size("reject_reasons") == 0).drop("reject_reasons"), told.where(F.size("reject_reasons") > 0)
 
 
-def listing_rules() -> dict[str, Column]:
-    """Domains of a canonical listing (fixed values)."""
-    return {
+def listing_rules(columns: list[str] | None = None) -> dict[str, Column]:
+    """Domains of a canonical listing (fixed values), of the ``columns`` that a table has."""
+    rules = {
         "price_pcm": F.col("price_pcm").between(100, 100_000),
         "bedrooms": F.col("bedrooms").between(0, 20),
+        "bathrooms": F.col("bathrooms").between(0, 20),
         "furnished": F.col("furnished").isin("furnished", "unfurnished", "part", "unknown"),
-        "min_tenancy_months": F.col("min_tenancy_months").between(0, 60),
+        "min_tenancy_months": F.col("min_tenancy_months").between(0, 120),
+        "tfl_zone": F.col("tfl_zone").between(1, 9),
+        "lat": F.col("lat").between(-90, 90),
+        "lng": F.col("lng").between(-180, 180),
+        "photo_count": F.col("photo_count") >= 0,
+        "status": F.col("status").isin("active", "delisted"),
     }
+    return rules if columns is None else {name: rule for name, rule in rules.items() if name in columns}
 
 
 def unique_violations(df: DataFrame, keys: list[str], where: Column | None = None) -> DataFrame:

@@ -99,6 +99,26 @@ def policy(table: DataFrame, agent: str) -> DataFrame:
     return maps.join(own, "host", "left").select("host", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "delay", "n_sitemaps")
 
 
+def sitemaps(table: DataFrame) -> DataFrame:
+    """(host, url) of every sitemap that a host's rules name, whoever they speak to."""
+    return table.where(F.col("field") == "sitemap").select("host", F.col("value").alias("url")).distinct()
+
+
+def summary(texts: DataFrame, agent: str) -> DataFrame:
+    """(host, group_tokens, n_rules, delay, n_sitemaps, blanket, unreadable) of answers (host, status, body): what their rules say
+    to the agent. An answer other than 200, or an empty one, is unreadable, and nothing there counts as permitted."""
+    read = (F.col("status") == 200) & (F.coalesce("body", F.lit("")) != "")
+    table = rules(texts.where(read))
+    spoken = table.join(groups(table, agent), ["host", "group_no"], "left_semi").groupBy("host").agg(F.array_join(F.array_sort(F.collect_set("token")), "/").alias("group_tokens"))  # tokens of one group
+    readable = texts.where(read).select("host").distinct()
+    roots = readable.withColumn("url", F.concat(F.lit("https://"), "host", F.lit("/")))
+    blanket = audit(table, roots, agent).select("host", (~F.col("allowed")).alias("blanket"))
+    told = readable.join(spoken, "host", "left").join(policy(table, agent), "host", "left").join(blanket, "host", "left")
+    told = told.select("host", "group_tokens", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "delay", F.coalesce("n_sitemaps", F.lit(0)).alias("n_sitemaps"), "blanket", F.lit(False).alias("unreadable"))
+    shut = texts.where(~F.coalesce(read, F.lit(False))).select("host").distinct().join(readable, "host", "left_anti")
+    return told.unionByName(shut.select("host", F.lit(None).cast("string").alias("group_tokens"), F.lit(0).alias("n_rules"), F.lit(None).cast("double").alias("delay"), F.lit(0).alias("n_sitemaps"), F.lit(True).alias("blanket"), F.lit(True).alias("unreadable")))
+
+
 def shut_out(table: DataFrame, agent: str) -> DataFrame:
     """(host, blanket): whether the agent may not even read ``/``."""
     roots = table.select("host").distinct().withColumn("url", F.concat(F.lit("https://"), "host", F.lit("/")))

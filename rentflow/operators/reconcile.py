@@ -6,6 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DELIST_AFTER = 2
+# The columns of a listing that are worth an update.
+TRACKED = (
+    "price_pcm",
+    "bedrooms",
+    "bathrooms",
+    "property_type",
+    "furnished",
+    "pets_allowed",
+    "bills_included",
+    "available_from",
+    "min_tenancy_months",
+    "deposit_pcm",
+    "postcode",
+    "postcode_district",
+    "tfl_zone",
+    "title",
+    "is_landlord_direct",
+)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -67,6 +85,14 @@ def stamped(decisions: DataFrame, stamps: DataFrame, keys: list[str], as_of: Col
     })
 
 
+def stored(state: DataFrame, keys: list[str], wanted: DataFrame | None = None, only_active: bool = False) -> DataFrame:
+    """(keys, status, miss_count, TRACKED) of stored listings: those of the ``wanted`` keys, or all; for a sweep the active
+    ones only. Tracked columns that the state doesn't have are null."""
+    rows = state.where("status = 'active'") if only_active else state
+    rows = rows.join(wanted.select(*keys).distinct(), keys, "left_semi") if wanted is not None else rows
+    return rows.select(*keys, "status", "miss_count", *[F.col(c) if c in state.columns else F.lit(None).alias(c) for c in TRACKED])
+
+
 def summary(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("new_price").alias("price_changes"))
 

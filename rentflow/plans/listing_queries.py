@@ -105,7 +105,7 @@ def listing_rejects(spark, sf_dir):
 @query(f"{LISTING_SQL} SELECT source_key, external_id, 'price_pcm' AS reasons FROM listing WHERE price_pcm * 20 NOT BETWEEN 100 AND 60000", "raw_listing")
 def domain_violations(spark, sf_dir):
     rows = listing(spark, sf_dir).withColumn("price_pcm", F.col("price_pcm") * 20)
-    rules = L.listing_rules() | {"price_pcm": F.col("price_pcm").between(100, 60_000)}
+    rules = L.listing_rules(rows.columns) | {"price_pcm": F.col("price_pcm").between(100, 60_000)}
     return L.validate(rows, rules)[1].select("source_key", "external_id", F.array_join("reject_reasons", ",").alias("reasons"))
 
 
