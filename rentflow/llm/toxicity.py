@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 Every word of the examples is a term. A term's weight is (1 + ln tf) x IDF, with IDF over all documents, times a gain of 1
-or more that grows with how clearly the labelled classes differ in it; no term is left out. Examples are indexed by term;
+or more that grows with how clearly the labelled classes differ in it; no term is left out. A word that no example has can't
+meet one, but counts in its text's norm, as a word of a single text. Examples are indexed by term;
 postings are cut into blocks of like examples with their largest weight. A search ranks the blocks by the upper bound that
 these weights give, looks into the best ones first and then into those whose bound can still improve the list, so that
 the neighbours are exact. Their votes count by squared cosine against a prior; an isotonic fit on leave-one-out votes of
@@ -63,9 +64,10 @@ class Index:
     A weight is (1 + ln count) x factor of the term / norm of the example; postings hold the count alone, in few bytes, as
     the index travels to every task."""
 
-    def __init__(self, factor: np.ndarray, ids: np.ndarray, labels: np.ndarray, ends: np.ndarray, term: np.ndarray, count: np.ndarray) -> None:
-        """Examples as flat arrays: example i has the terms and counts from ends[i] to ends[i + 1]; those without are left out."""
-        self.factor, many = factor, np.diff(ends)
+    def __init__(self, factor: np.ndarray, ids: np.ndarray, labels: np.ndarray, ends: np.ndarray, term: np.ndarray, count: np.ndarray, rare: float = 0.0) -> None:
+        """Examples as flat arrays: example i has the terms and counts from ends[i] to ends[i + 1]; those without are left out.
+        ``rare`` is the factor of a word that no example has."""
+        self.factor, self.rare, many = factor, rare, np.diff(ends)
         row = np.repeat(np.arange(len(ids)), many)
         weight = (1 + np.log(count)) * factor[term]
         norm = np.sqrt(np.bincount(row, weight * weight, len(ids)))
@@ -92,9 +94,10 @@ class Index:
         self.most = np.nextafter(most.astype(np.float32), np.float32(2))
         self.lists = np.searchsorted(key[begin] // self.blocks, np.arange(len(factor) + 1)).astype(np.int32)
 
-    def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def vector(self, term: np.ndarray, count: np.ndarray, strange: float = 0.0) -> np.ndarray:
+        """A text's weights over the norm of all its words; ``strange`` is the sum of (1 + ln count) ** 2 of those no example has."""
         w = (1 + np.log(count.astype(np.float64))) * self.factor[term]
-        return w / (math.sqrt(float(w @ w)) or 1.0)
+        return w / (math.sqrt(float(w @ w) + strange * self.rare * self.rare) or 1.0)
 
     def _entries(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The block entries of these terms, each with the query's weight of the term."""
@@ -128,11 +131,11 @@ class Index:
         order = np.lexsort((term, self.place))
         return np.searchsorted(self.place[order], np.arange(len(self.ids) + 1)), term[order], self.count[order]
 
-    def search(self, term: np.ndarray, count: np.ndarray, k: int, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, term: np.ndarray, count: np.ndarray, k: int, leave: int | None = None, strange: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, ties to the smaller id; ``leave`` is a place to pass over."""
         if not len(term) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        unit = self.vector(term, count)
+        unit = self.vector(term, count, strange)
         entry, weight = self._entries(term, unit)
         block = self.block[entry]
         bound = np.bincount(block, weight * self.most[entry], self.blocks) * (1 + 1e-9)
@@ -157,9 +160,9 @@ class Index:
 class Model:
     """Index, class weights and shares; all bounded by the sample of examples."""
 
-    def __init__(self, factor: np.ndarray, ids: np.ndarray, labels: np.ndarray, ends: np.ndarray, term: np.ndarray, count: np.ndarray, class_weight: tuple[float, float]) -> None:
+    def __init__(self, factor: np.ndarray, ids: np.ndarray, labels: np.ndarray, ends: np.ndarray, term: np.ndarray, count: np.ndarray, class_weight: tuple[float, float], rare: float = 0.0) -> None:
         self.class_weight = np.array(class_weight)
-        self.index = Index(factor, ids, labels, ends, term, count)
+        self.index = Index(factor, ids, labels, ends, term, count, rare)
         full = np.diff(ends) > 0
         mass = [self.class_weight[c] * (labels == c).sum() for c in (0, 1)]
         self.prior = float((mass[1] + 0.5) / (sum(mass) + 1)) if len(labels) else 0.0
@@ -171,9 +174,9 @@ class Model:
         weight = cosine * cosine * self.class_weight[labels]
         return float((weight @ labels + PRIOR_WEIGHT * self.prior) / (weight.sum() + PRIOR_WEIGHT))
 
-    def score(self, term: np.ndarray, count: np.ndarray, knots: np.ndarray, levels: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+    def score(self, term: np.ndarray, count: np.ndarray, strange: float, knots: np.ndarray, levels: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
         """Probability, and the evidence: the nearest examples' (id, cosine). Knots and levels are the calibration."""
-        place, cosine = self.index.search(term, count, NEIGHBOURS)
+        place, cosine = self.index.search(term, count, NEIGHBOURS, strange=strange)
         if not len(place):
             return self.plain, []
         p = float(np.interp(self.vote(place, cosine), knots, levels))
@@ -248,17 +251,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, class_rows: int) ->
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = told.value
         for batch in slices(batches):
-            flat_t, flat_n, sizes = [], [], [0]
+            flat_t, flat_n, sizes, strange = [], [], [0], []
             for text in batch.column("text").to_pylist():
                 found = terms(text)
                 known = place.keys() & found.keys()
                 flat_t += [place[w] for w in known]
                 flat_n += [found[w] for w in known]
                 sizes.append(len(flat_t))
+                strange.append(math.fsum((1 + math.log(c)) ** 2 for w, c in found.items() if w not in place))
             at = pa.array(sizes, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(at, pa.array(flat_t, pa.int32())), pa.ListArray.from_arrays(at, pa.array(flat_n, pa.int32()))], ["id", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(at, pa.array(flat_t, pa.int32())), pa.ListArray.from_arrays(at, pa.array(flat_n, pa.int32())), pa.array(strange, pa.float64())], ["id", "terms", "counts", "strange"])
 
-    features = materialise(docs.mapInArrow(featured, f"id {kind}, terms array<int>, counts array<int>"), "features")
+    features = materialise(docs.mapInArrow(featured, f"id {kind}, terms array<int>, counts array<int>, strange double"), "features")
     size = len(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, class_rows: int) ->
     counts = features.select("terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
     df[counts["term"].to_numpy()] = counts["df"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    model = Model(idf * gain, ids, label, ends, term, count, class_weight)
+    # A word that no example has weighs as one of a single text, without gain.
+    model = Model(idf * gain, ids, label, ends, term, count, class_weight, float(np.log((1 + df[-1]) / 2) + 1))
 
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
     told.destroy()
@@ -314,14 +319,14 @@ def score(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_
             got = []
             ends = batch.column("terms").offsets.to_numpy()
             term, count = batch.column("terms").values.to_numpy(), batch.column("counts").values.to_numpy()
-            for a, b in zip(ends, ends[1:], strict=False):
+            for a, b, strange in zip(ends, ends[1:], batch.column("strange").to_pylist(), strict=False):
                 order = np.argsort(term[a:b])
                 t, n = term[a:b][order], count[a:b][order]
-                key = xxhash.xxh3_128_intdigest(t.tobytes() + n.tobytes())
+                key = xxhash.xxh3_128_intdigest(t.tobytes() + n.tobytes() + str(strange).encode())
                 if key not in seen:
                     if len(seen) > 5_000:
                         seen.clear()
-                    seen[key] = model.value.score(t, n, *line)
+                    seen[key] = model.value.score(t, n, strange, *line)
                 got.append(seen[key])
             evidence = pa.array([[{"id": i, "cosine": c} for i, c in near] for _, near in got], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p for p, _ in got], pa.float64()), evidence], ["id", "score", "evidence"])

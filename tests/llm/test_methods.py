@@ -37,6 +37,42 @@ def test_op9_finds_the_rare_class(spark, large):
     assert np.mean(bad) >= 0.85 and np.mean(good) >= 0.97
 
 
+def test_op3_cosines_are_those_of_whole_texts(spark, sf_dir, monkeypatch):
+    """From the raw texts, without gain: words that no example has count in the norm."""
+    monkeypatch.setattr(toxicity, "GAIN", 0.0)
+    some = [(r.doc_id, r.text) for r in read(spark, sf_dir, "documents").orderBy("doc_id").limit(120).collect()]
+    odd = [(900, "nasty"), (901, "nasty " + " ".join(f"unseen{i}" for i in range(200))), (902, "nasty nasty vile unseen unseen")]
+    marks = [(i, i % 7 == 0) for i, _ in some] + [(800, True), (801, True)]
+    texts = some + [(800, "nasty vile words here"), (801, "nasty only")] + odd
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in marks], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, "doc_id", "text", labels, "toxic").collect()}
+
+    held = {i for i, _ in marks if fold_of(i) == 0}
+    first: dict[str, int] = {}
+    for i, t in sorted(texts):
+        if i in dict(marks) and i not in held:
+            first.setdefault(t, i)
+    counts = {i: toxicity.terms(t) for i, t in texts}
+    df = Counter(w for c in counts.values() for w in c)
+    known = {w for i in first.values() for w in counts[i]}
+    idf = {w: math.log((1 + len(texts)) / (1 + (df[w] if w in known else 1))) + 1 for w in df}
+    vector = {i: {w: (1 + math.log(n)) * idf[w] for w, n in c.items()} for i, c in counts.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
+    for i, _ in texts:
+        full = sorted(((-sum(x * vector[e].get(w, 0.0) for w, x in vector[i].items()) / (norm[i] * norm[e]), e) for e in first.values() if norm[i] and norm[e]))
+        near = [(e, -c) for c, e in full[:3] if c < 0]
+        assert [r.cosine for r in got[i].evidence] == pytest.approx([c for _, c in near], abs=1e-9), i
+        assert {r.id for r in got[i].evidence} <= {e for c, e in full if near and -c >= near[-1][1] - 1e-9}
+    assert got[901].evidence[0].cosine < 0.2 < got[900].evidence[0].cosine and got[901].score < got[900].score
+
+
+def fold_of(doc_id):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode()) % 5
+
+
 def test_op3_search_is_a_full_scan():
     rng = np.random.default_rng(3)
     n, size = 900, 400
