@@ -1,10 +1,11 @@
 """Near-duplicate join on five-word shingles: MinHash LSH forest, exact verification.
 
 Texts with equal shingle sets are one set. Each set has a label of DEPTH MinHash values in each of TREES prefix tries. The
-labels of all sets are sorted; sets whose label shares LEAST_DEPTH values or more with a neighbour in that order are the
+labels of all sets are sorted; sets whose label shares the least prefix in use with a neighbour in that order are the
 branching part of the tries, all that any prefix length in use can match. Matching begins with long prefixes. The pairs
 that share a prefix are verified exactly, and the verified links tell how many more a pair of their similarity leaves
-unmatched at this length; while that is more than the target recall allows, prefixes are shortened by one value.
+unmatched at this length; while that is more than the target recall allows, prefixes are shortened by one value. At the
+least prefix even a pair right at the threshold meets the target, so that shortening always ends with the target met.
 
 Candidates are put in order of (smallest id met along shared nodes, set size, id) and cut into blocks. Two blocks are compared if
 members of them share a trie node and their sizes allow the threshold; a task hands on counts, a spanning forest of what
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -28,10 +30,9 @@ from .common import NEAR, SHINGLE_WORDS, discard, materialise, partitions, slice
 from .components import components
 
 TREES = 48
-#: Values of a label; the prefix length that matching begins with, and the one below which it never goes.
+#: Values of a label, and the prefix length that matching begins with.
 DEPTH = 12
 FIRST_DEPTH = 8
-LEAST_DEPTH = 5
 #: MinHash functions; each tree's label takes DEPTH of them.
 FUNCTIONS = 192
 #: Share of the links that must be expected to have met in some tree.
@@ -41,6 +42,8 @@ BLOCK = 128
 BLOCK_SHINGLES = 500_000
 #: Times that the smallest id met in a trie is handed on along the nodes, so that sets of one group stand together.
 SPREAD = 3
+#: Bytes that a task's memory of word hashes may take.
+HASH_BYTES = 24 << 20
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -53,11 +56,27 @@ def missed(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np
     return (1 - np.asarray(similarity, float) ** depth) ** trees
 
 
+def least_depth(threshold: float, trees: int = TREES) -> int:
+    """The longest prefix, up to FIRST_DEPTH, at which a pair of that similarity goes unmatched as seldom as the target
+    recall allows. Raises ValueError for thresholds at which no prefix does (below about 0.17)."""
+    for depth in range(FIRST_DEPTH, 0, -1):
+        if missed(threshold, depth, trees) <= 1 - TARGET_RECALL:
+            return depth
+    raise ValueError(f"a similarity of {threshold} is too low for {trees} trees")
+
+
 class _Hashes(dict):
+    """Hashes of words met; emptied when the words held, with about 150 bytes each beside their letters, fill HASH_BYTES."""
+
+    held = 0
+
     def __missing__(self, word: str) -> int:
-        if len(self) > 100_000:
+        h = xxhash.xxh64_intdigest(word)
+        self.held += 150 + 4 * len(word)
+        if self.held > HASH_BYTES:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+            self.held = 150 + 4 * len(word)
+        self[word] = h
         return h
 
 
@@ -100,10 +119,9 @@ class Forest:
         return [label[i : i + DEPTH + 1] for i in range(0, len(label), DEPTH + 1)]
 
 
-def _branching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's sorted (label, id): rows whose label shares a least prefix with a neighbour, and the first and last
-    prefix of the task, whose neighbours may lie in another."""
-    least = LEAST_DEPTH + 1
+def _branching(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's sorted (label, id): rows whose label shares its first ``least`` bytes with a neighbour, and the first and
+    last prefix of the task, whose neighbours may lie in another."""
     before, held, first = None, None, None  # prefix and last row of the run so far; the task's first prefix
     for batch in batches:
         label, ids = batch.column("label").to_pylist(), batch.column("id").to_pylist()
@@ -189,10 +207,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
 
     Words are runs of letters and digits, lower-cased. A text of one to four words is one shingle. Null, empty and wordless
     texts link to nothing: their class is their own id. Null ids give a row of null class and no links. A row that repeats
-    an id and shingle set counts once. An empty table gives no rows. Other columns are ignored.
+    an id and shingle set counts once. An empty table gives no rows. Other columns are ignored. A threshold that
+    the tries can't serve at the target recall raises ValueError (``least_depth``).
     """
     spark = df.sparkSession
-    forest = Forest()
+    forest, floor = Forest(), least_depth(threshold)
     tasks = partitions(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -215,7 +234,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     # The tries' branching part: labels of the sets' smallest documents, in order.
     own = told.join(sets.select("set", "rep"), "set").where(F.col("id") == F.col("rep")).dropDuplicates(["id"])
     label = own.select("id", F.explode("labels").alias("label"))
-    tries = label.repartitionByRange(tasks, "label", "id").sortWithinPartitions("label").mapInArrow(_branching, "label binary, id long")
+    tries = label.repartitionByRange(tasks, "label", "id").sortWithinPartitions("label").mapInArrow(partial(_branching, floor + 1), "label binary, id long")
     tries = materialise(tries, "tries")
     member = sets.select(F.col("rep").alias("id"), "many", "set")
 
@@ -226,7 +245,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
             keys = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in got], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["id", "set", "s"])
 
-    for depth in range(FIRST_DEPTH, LEAST_DEPTH - 1, -1):
+    for depth in range(FIRST_DEPTH, floor - 1, -1):
         # Nodes at this prefix length that hold several sets, and the order and blocks of those sets.
         node = tries.select("id", F.substring("label", 1, depth + 1).alias("node")).distinct()
         shared = node.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)

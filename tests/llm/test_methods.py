@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rentflow.llm import langid, neighbours, pieces, quality, queries, sharding, toxicity, urls
 from rentflow.llm.common import discard, materialise, read
 from rentflow.llm.decontaminate import contained
-from rentflow.llm.jaccard import missed, near_duplicates
+from rentflow.llm.jaccard import FIRST_DEPTH, TARGET_RECALL, _Hashes, least_depth, missed, near_duplicates
 
 
 @pytest.fixture(scope="module")
@@ -202,6 +202,31 @@ def test_op5_recall_of_pairs_at_the_threshold(spark):
     assert sum(r.n_links for r in near_duplicates(df, "doc_id", "text").collect()) == 2 * want
 
 
+def test_op5_least_depth_follows_the_threshold(spark):
+    """At the least prefix a pair right at the threshold meets the target; one value more would not, unless it is the first."""
+    for threshold in (0.2, 0.3, 0.5, 0.65, 0.8, 0.9):
+        depth = least_depth(threshold)
+        assert missed(threshold, depth) <= 1 - TARGET_RECALL
+        assert depth == FIRST_DEPTH or missed(threshold, depth + 1) > 1 - TARGET_RECALL
+    with pytest.raises(ValueError):
+        near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "doc_id", "text", threshold=0.1)
+    rows = []
+    for g in range(120):  # 96 of 196 shingles changed places with others: about half are common
+        words = [f"g{g}w{x}" for x in range(200)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:134] + [f"g{g}x{x}" for x in range(66)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in near_duplicates(df, "doc_id", "text", threshold=0.49).collect()}
+    common, union = 134 - 4, 2 * 196 - (134 - 4)
+    assert 100 * common >= 49 * union and all(got[i] == 1 for i in range(240))
+
+
+def test_op5_word_memory_is_bounded_by_bytes():
+    hashes = _Hashes()
+    for i in range(40):
+        assert hashes[f"{i}" + "x" * 1_000_000] == hashes[f"{i}" + "x" * 1_000_000]
+    assert len(hashes) < 8
+
+
 def test_op6_tree_decides(spark):
     rules = [(f"shop.test/sale/x{i}", "block") for i in range(25)]
     paths = [f"/sale/{chr(97 + i % 20)}y{i}z" for i in range(10)] + [f"/sale/x{i}q" for i in range(25)] + ["/about/us"]
