@@ -106,7 +106,7 @@ def shard(df: DataFrame, id_col: str, text_col: str, shards: int, max_rows: int
     where = _pairs(spark, sorted(place.items()), "h", "own")
     ranged = _ranges(rows.join(F.broadcast(where), "h", "left"), max_rows)  # shards / LARGE_GROUP rows at most
     rest = F.col("own").isNull().cast("long")
-    sums = ranged.groupBy("range_id").agg(F.count(F.lit(1)).alias("n"), F.sum(rest).alias("rest_n"), F.sum(rest * F.col("size")).alias("rest_bytes"))
+    sums = ranged.groupBy("range_id").agg(F.count(F.lit(1)).alias("n"), F.sum(rest).alias("rest_n"), F.sum(rest * F.col("size")).alias("rest_bytes"), F.min("h").alias("low"), F.max("h").alias("high"))
     # Running sums over the ranges, in two levels: inside each top range, and over the few top ranges.
     sums = sums.withColumn("top", F.coalesce(F.get("range_id", F.lit(0)), F.lit(-1)))
     tops = sums.groupBy("top").agg(*[F.sum(c).alias(c) for c in ("n", "rest_n", "rest_bytes")])
@@ -114,8 +114,11 @@ def shard(df: DataFrame, id_col: str, text_col: str, shards: int, max_rows: int
         return [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in ("n", "rest_n", "rest_bytes")]
 
     tops = tops.select("top", *before(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)))  # FANOUT + 1 rows at most
-    inner = sums.select("range_id", "top", *before(Window.partitionBy("top").orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = inner.alias("i").join(F.broadcast(tops).alias("t"), "top").select("range_id", *[(F.col(f"i.{c}_before") + F.col(f"t.{c}_before")).alias(f"{c}_before") for c in ("n", "rest_n", "rest_bytes")])
+    inner = sums.select("range_id", "top", "rest_bytes", F.when(F.col("low") == F.col("high"), F.col("low")).alias("one_text"), *before(Window.partitionBy("top").orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)))
+    offsets = inner.alias("i").join(F.broadcast(tops).alias("t"), "top").select("range_id", "rest_bytes", "one_text", *[(F.col(f"i.{c}_before") + F.col(f"t.{c}_before")).alias(f"{c}_before") for c in ("n", "rest_n", "rest_bytes")])
+    # A group of more than max_rows rows fills several ranges, each of this text alone: it is one group all the same.
+    spread = offsets.groupBy("one_text").agg(F.min("rest_bytes_before").alias("spread_start"), F.sum("rest_bytes").alias("spread_bytes"), F.count(F.lit(1)).alias("pieces")).where("one_text IS NOT NULL AND pieces > 1")
+    offsets = offsets.join(spread.drop("pieces"), "one_text", "left").drop("one_text", "rest_bytes")
     inside = Window.partitionBy("range_id").orderBy("h", "row_id", "nth")
     until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("range_id", "h")
@@ -124,7 +127,7 @@ def shard(df: DataFrame, id_col: str, text_col: str, shards: int, max_rows: int
         "rest_row": F.col("rest_n_before") + F.sum(rest).over(until) - 1,
         "start": F.col("rest_bytes_before") + F.sum(rest * F.col("size")).over(until) - F.col("size"),
     })
-    placed = placed.withColumns({"group_start": F.min("start").over(group), "group_bytes": F.sum("size").over(group)})
+    placed = placed.withColumns({"group_start": F.coalesce("spread_start", F.min("start").over(group)), "group_bytes": F.coalesce("spread_bytes", F.sum("size").over(group))})
     whole = F.col("group_bytes") * shards <= F.lit(total) * LARGE_GROUP
     middle = F.when(whole, F.col("group_start") + F.col("group_bytes") / 2).otherwise(F.col("start") + F.col("size") / 2)
     # The rest fills what the large groups left of each shard.
