@@ -3,7 +3,9 @@
 The text view hashes words and word shapes; the metadata view has language, source and counts of characters, lines, marks
 and repeats. Both are logistic regressions, fitted on a bounded sample of labelled rows. Features of all documents are
 computed once. In each round both views score all other documents, each names the HANDED rows of either class that it is
-surest of in the whole table, the other view learns from them, and both are fitted anew. Each view's score is calibrated on
+surest of in the whole table, the other view learns from them, and both are fitted anew. Near copies (texts that have one of
+four MinHash values of their five-word shingles in common) count as one row there, and those of a labelled row not at all,
+so that no group of copies fills a round. Each view's score is calibrated on
 labelled rows that it didn't learn from (Platt), and the calibrated log odds are averaged with weights that the same rows
 give. The fitted views then score all documents.
 """
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLDS, materialise, slices
+from .common import FOLDS, SHINGLE_WORDS, materialise, slices
 
 #: Labelled rows that the views are fitted on, at most.
 LABELLED_ROWS = 6000
@@ -30,7 +32,7 @@ LABELLED_ROWS = 6000
 TEXT_FEATURES = 1 << 14
 NAME_FEATURES = 64
 ROUNDS = 4
-#: Rows a class that a view hands to the other in a round, the surest of all, and how sure it must be.
+#: Different texts a class that a view hands to the other in a round, the surest of all, and how sure it must be.
 HANDED = 200
 SURE = 0.9
 
@@ -39,20 +41,50 @@ NUMBERS = 12
 
 
 @lru_cache(300_000)
+def _known(s: str) -> int:
+    return zlib.crc32(s.encode())
+
+
+def _crc(s: str) -> int:
+    """crc32, remembered for words of up to 40 characters, so that the memory is bounded in bytes."""
+    return _known(s) if len(s) <= 40 else zlib.crc32(s.encode())
+
+
 def _hash(s: str, size: int) -> int:
-    return zlib.crc32(s.encode()) % size
+    return _crc(s) % size
+
+
+#: Odd factors of a shingle's words in its hash; the first COPY_KEYS also mix it for that many MinHash values.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+COPY_KEYS = 4
 
 
-def text_counts(text: str | None) -> tuple[list[int], list[int], list[float]]:
-    """Hashed words and mark runs with their counts, and the shares of the commonest, of repeats and of marks."""
-    found = Counter(WORD.findall(text.lower())) if text else Counter()
+def copy_keys(words: list[str]) -> list[int]:
+    """MinHash values of the runs of five words (of all words, if fewer); near copies nearly always have one in common."""
+    if not words:
+        return [0] * COPY_KEYS
+    codes = np.array([_crc(w) for w in words], np.uint64)
+    k = min(SHINGLE_WORDS, len(codes))
+    h = np.zeros(len(codes) - k + 1, np.uint64)
+    for i in range(k):
+        h += codes[i : i + len(h)] * FACTORS[i]
+    h ^= h >> np.uint64(29)
+    mixed = (h * f for f in FACTORS[:COPY_KEYS])
+    return [int((m ^ (m >> np.uint64(32))).min() >> np.uint64(1)) for m in mixed]
+
+
+def text_counts(text: str | None) -> tuple[list[int], list[int], list[float], list[int]]:
+    """Hashed words and mark runs with their counts, the shares of the commonest, of repeats and of marks, and the keys
+    of near copies."""
+    words = WORD.findall(text.lower()) if text else []
+    found = Counter(words)
     said: dict[int, int] = {}
     for w, n in found.items():
         i = _hash(w if w[0].isalnum() else "mark " + w[:3], TEXT_FEATURES - 8)
         said[i] = said.get(i, 0) + n
     total = sum(found.values())
     marks = sum(n for w, n in found.items() if not w[0].isalnum())
-    return list(said), list(said.values()), [max(found.values()) / total, 1 - len(found) / total, marks / total] if total else [0.0] * 3
+    return list(said), list(said.values()), [max(found.values()) / total, 1 - len(found) / total, marks / total] if total else [0.0] * 3, copy_keys(words)
 
 
 def meta_view(text: str | None, lang: str | None, source: str | None) -> list[float]:
@@ -159,12 +191,27 @@ def _platt(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-FEATURES = "at array<int>, n array<int>, numbers array<double>, names array<int>"
+FEATURES = "copy array<long>, at array<int>, n array<int>, numbers array<double>, names array<int>"
+
+
+def _keys(copy: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Keys of near copies, a row each."""
+    copy = copy.combine_chunks() if isinstance(copy, pa.ChunkedArray) else copy
+    return copy.flatten().to_numpy(zero_copy_only=False).reshape(-1, COPY_KEYS)
+
+
+def _first_of_copies(rows: pa.Table) -> pa.Table:
+    """The HANDED surest rows, one of each set of near copies: the surest, of smallest id."""
+    rows = rows.sort_by([("p", "descending"), ("id", "ascending")])
+    keys, left = _keys(rows["copy"]), np.arange(len(rows))
+    for k in range(COPY_KEYS):
+        left = left[np.sort(np.unique(keys[left, k], return_index=True)[1])]
+    return rows.take(pa.array(left[:HANDED]))
 
 
 def _surest(features: DataFrame, views: Views, known: set[int], handed: list[set[int]]) -> pa.Table:
-    """The HANDED rows of each class that each view is surest of, in the whole table but for ``known`` ids: (view, y, p,
-    id, features). A task keeps no more of them than that."""
+    """The HANDED different texts of each class that each view is surest of, in the whole table but for copies of the
+    labelled rows and of those handed before: (view, y, p, id, features). A task keeps no more of them than that."""
     model = features.sparkSession.sparkContext.broadcast((views, known, handed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,24 +220,27 @@ def _surest(features: DataFrame, views: Views, known: set[int], handed: list[set
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("id").to_pylist()
+            copies = _keys(batch.column("copy")).tolist()
             for view, odds in enumerate(views.odds(Rows.of(batch))):
                 p = _p(odds)
-                free = np.array([i is not None and i not in known and i not in handed[view] for i in ids])
+                free = np.fromiter((known.isdisjoint(c) and handed[view].isdisjoint(c) for c in copies), bool, len(copies)) & batch.column("id").is_valid().to_numpy(zero_copy_only=False)
                 for y in (0, 1):
                     sure = np.where(free, p if y else 1 - p, 0.0)
-                    top = np.argsort(-sure, kind="stable")[:HANDED]
-                    top = top[sure[top] >= SURE]
+                    top = np.flatnonzero(sure >= SURE)
+                    narrow = pa.table({"p": sure[top], "id": batch.column("id").take(pa.array(top)), "copy": batch.column("copy").take(pa.array(top)), "at": top})
+                    top = _first_of_copies(narrow)["at"].to_numpy()
                     rows = pa.Table.from_batches([batch.take(pa.array(top))]).append_column("p", pa.array(sure[top], pa.float64()))
-                    both = pa.concat_tables([best[view, y], rows]) if (view, y) in best else rows
-                    best[view, y] = both.sort_by([("p", "descending"), ("id", "ascending")]).slice(0, HANDED)
+                    best[view, y] = _first_of_copies(pa.concat_tables([best[view, y], rows]) if (view, y) in best else rows)
         for (view, y), rows in best.items():
             rows = rows.append_column("view", pa.array([view] * len(rows), pa.int32())).append_column("y", pa.array([y] * len(rows), pa.int32()))
-            yield from rows.select(["view", "y", "p", "id", "at", "n", "numbers", "names"]).combine_chunks().to_batches()
+            yield from rows.select(["view", "y", "p", "id", "copy", "at", "n", "numbers", "names"]).combine_chunks().to_batches()
 
     named = features.mapInArrow(run, f"view int, y int, p double, id {dict(features.dtypes)['id']}, {FEATURES}")
+    for k in range(COPY_KEYS):  # tasks may name copies of one text
+        surest = Window.partitionBy("view", "y", F.col("copy")[k]).orderBy(F.desc("p"), "id")
+        named = named.withColumn("nth", F.row_number().over(surest)).where("nth = 1").drop("nth")
     place = F.row_number().over(Window.partitionBy("view", "y").orderBy(F.desc("p"), "id"))
-    return named.withColumn("place", place).where(F.col("place") <= HANDED).drop("place").dropDuplicates(["view", "y", "id"]).toArrow()  # 4 x HANDED rows
+    return named.withColumn("place", place).where(F.col("place") <= HANDED).drop("place").toArrow()  # 4 x HANDED rows
 
 
 def train(features: DataFrame, labelled: pa.Table) -> Views:
@@ -204,7 +254,7 @@ def train(features: DataFrame, labelled: pa.Table) -> Views:
     columns = ["at", "n", "numbers", "names"]
     base = labelled.filter(pa.array(~tuned)).select(columns)
     taught = [(base, label[~tuned], np.ones((~tuned).sum()))] * 2
-    known, handed = set(labelled["id"].to_pylist()), [set(), set()]
+    known, handed = set(_keys(labelled["copy"]).ravel().tolist()), [set(), set()]
     for turn in range(ROUNDS):
         for view, (rows, y, weight) in enumerate(taught):
             views.fit(view, Rows.of(rows.combine_chunks().to_batches()[0]), y, weight)
@@ -213,7 +263,7 @@ def train(features: DataFrame, labelled: pa.Table) -> Views:
         found = _surest(features, views, known, handed).sort_by([("view", "ascending"), ("y", "ascending"), ("p", "descending"), ("id", "ascending")])
         for view in (0, 1):
             mine = found.filter(pc.equal(found["view"], view))
-            handed[view] |= set(mine["id"].to_pylist())
+            handed[view] |= set(_keys(mine["copy"]).ravel().tolist())
             rows, y, weight = taught[1 - view]  # the other view learns from them
             taught[1 - view] = pa.concat_tables([rows, mine.select(columns)]), np.append(y, mine["y"].to_numpy()), np.append(weight, np.full(len(mine), 0.5))
     if tuned.any():
@@ -244,7 +294,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col
             flat = [pa.array([x for g in got for x in g[k]], pa.int32()) for k in (0, 1)]
             numbers = [[*meta_view(text, lang, source), *g[2]] for text, lang, source, g in zip(t["text"], t["lang"], t["source"], got, strict=True)]
             names = [[_hash(f"lang {lang}", NAME_FEATURES), _hash(f"source {source}", NAME_FEATURES)] for lang, source in zip(t["lang"], t["source"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, flat[0]), pa.ListArray.from_arrays(ends, flat[1]), pa.array(numbers, pa.list_(pa.float64())), pa.array(names, pa.list_(pa.int32()))], ["id", "at", "n", "numbers", "names"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([g[3] for g in got], pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat[0]), pa.ListArray.from_arrays(ends, flat[1]), pa.array(numbers, pa.list_(pa.float64())), pa.array(names, pa.list_(pa.int32()))], ["id", "copy", "at", "n", "numbers", "names"])
 
     features = materialise(rows.mapInArrow(seen, f"id {kind}, {FEATURES}"), "features")
     chosen = features.join(F.broadcast(marks), "id").withColumn("split", F.pmod(F.xxhash64(F.lit("split"), "id"), F.lit(1 << 30)))  # labelled_rows rows at most

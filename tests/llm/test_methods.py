@@ -272,6 +272,64 @@ def test_op9_awkward(spark):
     assert run(docs.limit(0), labels) == [] and len(run(docs, labels.limit(0))) == len(rows)
 
 
+def test_op9_copies_fill_no_round(spark, monkeypatch):
+    """Of 60 copies and 30 near copies of one sure text one is handed on; the other places go to other texts."""
+    monkeypatch.setattr(quality, "HANDED", 5)
+    clean = "good clean prose about the garden and the river in the old town by the quiet hills"
+    rows = [(i, (f"{clean} with story {i} and a further tale {i * 7}" if i % 2 else f"junk### junk$$$ {i} *** {i} spam&&& {i}"), "en", "s") for i in range(1, 160)]
+    rows += [(1000 + i, "junk### junk$$$ junk### spam&&& junk$$$ spam&&& junk###", "en", "s") for i in range(60)]
+    rows += [(2000 + i, "junk### junk$$$ junk### spam&&& junk$$$ spam&&& junk### " * 3 + f"{i}", "en", f"s{i % 3}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 80)], "doc_id long, quality int")
+    taken, surest = [], quality._surest
+
+    def seen(*a):
+        taken.append(surest(*a))
+        return taken[-1]
+
+    monkeypatch.setattr(quality, "_surest", seen)
+    assert quality.score(docs, "doc_id", "text", "lang", "source", labels, "quality").count() == len(rows)
+    handed = [(t["view"][i].as_py(), tuple(t["copy"][i].as_py()), t["id"][i].as_py()) for t in taken for i in range(t.num_rows)]
+    assert handed and len({(view, copy) for view, copy, _ in handed}) == len(handed)
+    for view in (0, 1):
+        ids = [i for v, _, i in handed if v == view]
+        assert sum(1000 <= i < 2000 for i in ids) <= 1 and sum(i >= 2000 for i in ids) <= 1 and len(ids) > 2
+    a, b = " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(1, 400))
+    assert quality.copy_keys([]) == [0] * 4 and not set(quality.copy_keys(["a"])) & set(quality.copy_keys(["b"]))
+    assert set(quality.copy_keys(a.split())) & set(quality.copy_keys(b.split()))
+
+
+def test_op2_groups_of_many_rows_stay_whole(spark):
+    """Groups of equal texts that are cut into several ranges for work are still judged as one."""
+    rows = [(1000 * g + i, None if g == 7 else f"t{g}") for g in range(400) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df, "doc_id", "text", shards=8, max_rows=11).collect()
+    assert len(got) == len(rows)
+    where, by = defaultdict(set), defaultdict(list)
+    for r in got:
+        where[r.text_crc32, r["size"]].add(r.shard)
+        by[r.shard].append(r)
+    assert all(len(v) == 1 for (_, size), v in where.items() if size > 1)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+    sizes = [sum(r["size"] for r in by[i]) for i in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * 30 * 5
+
+
+def test_long_texts_of_joins_and_shards(spark):
+    """Texts of a million characters: their sizes count whole, and an end that differs is no copy of a start."""
+    start = " ".join(f"w{i % 9973}x{i % 31}" for i in range(110_000))
+    rows = [(1, start), (2, start + " end"), (3, start[: len(start) // 3]), (4, "short text of six words here"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("clash"))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(df, "doc_id", "text").collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0)}
+    sizes = {r.doc_id: r["size"] for r in sharding.shard(df, "doc_id", "text", shards=2).collect()}
+    assert sizes == {i: len(t or "") + 1 for i, t in rows}
+    pages = [(1, "https://a.test/" + "d/" * 200_000), (2, "https://a.test/?" + "q" * 400_000), *((i, "https://b.test/") for i in range(3, 9))]
+    pages = spark.createDataFrame(pages, "page_id long, url string")
+    judged = {r.page_id: r for r in urls.judge(pages, "page_id", "url", [("a.test/d/", "block")]).collect()}
+    assert (judged[1].verdict, len(judged[1].path)) == ("block", 400_001) and (judged[2].verdict, judged[2].path) == ("allow", "/")
+
+
 def test_discard(spark):
     df = materialise(spark.range(3).toDF("n"), "test")
     discard(df)
