@@ -211,7 +211,8 @@ def _first_of_copies(rows: pa.Table) -> pa.Table:
 
 def _surest(features: DataFrame, views: Views, known: set[int], handed: list[set[int]]) -> pa.Table:
     """The HANDED different texts of each class that each view is surest of, in the whole table but for copies of the
-    labelled rows and of those handed before: (view, y, p, id, features). A task keeps no more of them than that."""
+    labelled rows and of those handed before: (view, y, p, id, features). A task keeps no more of them than that. Rows are
+    ranked without their features, which are read again for the chosen ones."""
     model = features.sparkSession.sparkContext.broadcast((views, known, handed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,20 +228,19 @@ def _surest(features: DataFrame, views: Views, known: set[int], handed: list[set
                 for y in (0, 1):
                     sure = np.where(free, p if y else 1 - p, 0.0)
                     top = np.flatnonzero(sure >= SURE)
-                    narrow = pa.table({"p": sure[top], "id": batch.column("id").take(pa.array(top)), "copy": batch.column("copy").take(pa.array(top)), "at": top})
-                    top = _first_of_copies(narrow)["at"].to_numpy()
-                    rows = pa.Table.from_batches([batch.take(pa.array(top))]).append_column("p", pa.array(sure[top], pa.float64()))
+                    rows = pa.table({"p": sure[top], "id": batch.column("id").take(pa.array(top)), "copy": batch.column("copy").take(pa.array(top))})
                     best[view, y] = _first_of_copies(pa.concat_tables([best[view, y], rows]) if (view, y) in best else rows)
         for (view, y), rows in best.items():
             rows = rows.append_column("view", pa.array([view] * len(rows), pa.int32())).append_column("y", pa.array([y] * len(rows), pa.int32()))
-            yield from rows.select(["view", "y", "p", "id", "copy", "at", "n", "numbers", "names"]).combine_chunks().to_batches()
+            yield from rows.select(["view", "y", "p", "id", "copy"]).combine_chunks().to_batches()
 
-    named = features.mapInArrow(run, f"view int, y int, p double, id {dict(features.dtypes)['id']}, {FEATURES}")
+    named = features.mapInArrow(run, f"view int, y int, p double, id {dict(features.dtypes)['id']}, copy array<long>")
     for k in range(COPY_KEYS):  # tasks may name copies of one text
         surest = Window.partitionBy("view", "y", F.col("copy")[k]).orderBy(F.desc("p"), "id")
         named = named.withColumn("nth", F.row_number().over(surest)).where("nth = 1").drop("nth")
     place = F.row_number().over(Window.partitionBy("view", "y").orderBy(F.desc("p"), "id"))
-    return named.withColumn("place", place).where(F.col("place") <= HANDED).drop("place").toArrow()  # 4 x HANDED rows
+    chosen = named.withColumn("place", place).where(F.col("place") <= HANDED).drop("place")  # 4 x HANDED rows
+    return features.join(F.broadcast(chosen), ["id", "copy"]).dropDuplicates(["view", "y", "id"]).toArrow()
 
 
 def train(features: DataFrame, labelled: pa.Table) -> Views:
