@@ -190,3 +190,12 @@ def test_op10_empty(spark):
 
 def test_words_of_nothing(spark):
     assert spark.range(1).select(words(F.lit(None).cast("string")).alias("w")).first().w == []
+
+
+def test_op1_null_ids_repeated_rows_and_no_rows(spark):
+    line = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(3))[:150]
+    rows = [(1, "A" + line + "x"), (2, "B" + line + "y"), (2, "B" + line + "y"), (None, line), (None, line), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' AS body", "1 AS ranges")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.digest(df, "doc_id", "text").collect())
+    assert got == [(0, 150, 0, 0), (0, 150, 0, 0), (1, 152, 0, 0), (2, 152, 150, 1), (2, 152, 150, 1), (3, 0, 0, 0), (4, 0, 0, 0)]
+    assert suffixes.digest(df.limit(0), "doc_id", "text").count() == 0
