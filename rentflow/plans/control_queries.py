@@ -8,7 +8,7 @@ from ..operators import control as C
 from ..operators import pages as P
 from ..operators import rules as R
 from ..sources.contracts import CONTRACTS, RULES, contracts, rule_table
-from ..sources.views import table, view, view_sql
+from ..sources.views import spread, table, view, view_sql
 from .listing_queries import DECISION_SQL, LISTING_SQL, NOW, decisions, listing
 
 QUERIES, ORACLE = {}, {}
@@ -685,7 +685,7 @@ def _detail(spark, sf_dir):
         F.lit('<html><body><h1 itemprop="streetAddress">'), head, F.lit('</h1><div data-testid="primaryPrice"><span>'), c("price_raw"), F.lit("</span><span>£1 pw</span></div>"), F.lit("<dl><dt>Let available date: </dt><dd>"), F.coalesce("available_raw", F.lit("")), F.lit("</dd></dl>"),
         F.coalesce(F.concat(F.lit('<p data-testid="info-reel-BEDROOMS-text">'), c("bedrooms_raw"), F.lit("</p>")), F.lit("")), F.lit('<ul data-testid="keyFeatures"><li>EPC Rating: C</li></ul></body></html>'),
     )
-    return view(spark, sf_dir, "raw_listing").select("source_key", "external_id", F.when(c("source_key") == "direct", direct).otherwise(agent).alias("body"))
+    return spread(spark, sf_dir, "raw_listing").select("source_key", "external_id", F.when(c("source_key") == "direct", direct).otherwise(agent).alias("body"))
 
 
 @query(rf"""SELECT source_key, external_id, {HEAD} AS title, CASE WHEN source_key = 'direct' THEN price_raw ELSE coalesce(nullif(regexp_extract(price_raw, '(£\s*[0-9,]+(\.[0-9]{{2}})?\s*p(cm|w))', 1), ''), '£1 pw') END AS price_raw, available_raw AS available_from_raw,
