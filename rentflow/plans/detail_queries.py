@@ -54,13 +54,15 @@ def stored(spark, sf_dir):
     return R.stored(rows, ["source_key", "external_id"])
 
 
-def incoming(spark, sf_dir):
-    rows = stored(spark, sf_dir).where("CAST(external_id AS INT) % 10 <> 9")
+def incoming(rows):
+    """What comes in for the ``stored`` rows."""
+    rows = rows.where("CAST(external_id AS INT) % 10 <> 9")
     return rows.selectExpr("source_key", "external_id", *[f"{e} AS {c}" for c, e in INCOMING.items()])
 
 
 def seen(spark, sf_dir):
-    return R.reconcile(stored(spark, sf_dir), incoming(spark, sf_dir), ["source_key", "external_id"], list(R.TRACKED), "sweep", F.lit("ok"), absent="overwrite")
+    rows = stored(spark, sf_dir).persist()  # both sides of the join come from it
+    return R.reconcile(rows, incoming(rows), ["source_key", "external_id"], list(R.TRACKED), "sweep", F.lit("ok"), absent="overwrite")
 
 
 DIFFER = "concat_ws(',', " + ", ".join(f"CASE WHEN o.{c} IS DISTINCT FROM n.{c} THEN '{c}' END" for c in R.TRACKED) + ")"
